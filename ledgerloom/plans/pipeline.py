@@ -1,0 +1,65 @@
+"""End-to-end plans. Each is one lazy frame from scan to result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ledgerloom.config import ForecastWindow, JobRequest, LagWindow, YearWindow
+from ledgerloom.operators.baseline import mean_over_windows, naive_backtest, persistence_mape
+from ledgerloom.operators.clean import clean_ledger
+from ledgerloom.operators.encode import one_hot_codes
+from ledgerloom.operators.explore import driver_correlation, monthly_indices, peak_shift_days, two_level_panel
+from ledgerloom.operators.features import ar_matrix, feature_matrix
+from ledgerloom.operators.lasso import backtest
+from ledgerloom.operators.panel import monthly_panel
+from ledgerloom.operators.quality import ledger_report, require
+from ledgerloom.sources.drivers import monthly_series
+
+
+def feature_plan(
+    ledger: DataFrame, drivers: DataFrame, request: JobRequest, check: bool = False
+) -> DataFrame:
+    """Feature run of a job request: clean, fill, lag, drop filled months.
+
+    ``ledger`` is normalised, ``drivers`` long and cleaned. The requested codes
+    become one-hot columns. ``check`` runs the ledger checks first and raises.
+    """
+    clean = clean_ledger(ledger, request.price_years)
+    if check:
+        require(ledger_report(clean, request.rm_codes, request.target))
+    panel = monthly_panel(clean, codes=list(request.rm_codes))
+    features = feature_matrix(
+        panel, monthly_series(drivers), list(request.drivers), request.lags, request.driver_years
+    )
+    return one_hot_codes(features, request.rm_codes)
+
+
+def naive_plan(
+    ledger: DataFrame, years: YearWindow, lags: LagWindow, horizons: list[int], windows: list[ForecastWindow]
+) -> DataFrame:
+    """How wrong is "as ``h`` months ago", per code, averaged over the windows?"""
+    panel = monthly_panel(clean_ledger(ledger, years))
+    return naive_backtest(ar_matrix(panel, lags), horizons, windows)
+
+
+def forecast_plan(
+    features: DataFrame, drivers: list[str], lags: LagWindow, horizons: list[int], windows: list[ForecastWindow]
+) -> DataFrame:
+    """Mean window error per code and horizon: persistence, AR models, AR and drivers."""
+    keys = ["rm_code", "feature_set", "horizon"]
+    models = backtest(features, drivers, lags, horizons, windows).where("status = 'ok'")
+    naive = persistence_mape(features, horizons, windows).withColumn("feature_set", F.lit("NAIVE"))
+    columns = [*keys, "test", "mape_pct"]
+    return mean_over_windows(models.select(*columns).unionByName(naive.select(*columns)), keys)
+
+
+def exploration_plan(
+    ledger: DataFrame, calendar_rows: DataFrame, names: list[str], n_months: int
+) -> dict[str, DataFrame]:
+    """Monthly panel beside its indices, correlations and peak shifts."""
+    panel = two_level_panel(ledger, monthly_indices(calendar_rows, names), names, n_months)
+    return {
+        "panel": panel,
+        "correlation": driver_correlation(panel, names),
+        "peak_shift": peak_shift_days(panel, names),
+    }
