@@ -63,7 +63,7 @@ def _fit_windows(rows: pd.DataFrame, columns: list[str], windows, alphas, min_tr
     for number, (start, end) in enumerate(windows, start=1):
         n = int((ts < start).sum())
         test = (ts >= start) & (ts < end)
-        base = {"test": number, "n_train": n, "n_test": int(test.sum())}
+        base = {"test": number, "n_train": n, "n_test": int(test.sum()), "coefs": None}
         if n < min_train:
             yield base | {"status": "too few training rows"}
             continue

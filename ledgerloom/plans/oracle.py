@@ -24,7 +24,7 @@ def ledger(code: str = "l_partkey", years=(YEARS.first, YEARS.last)) -> str:
         source = "lineitem JOIN part ON l_partkey = p_partkey"
     return f"""
 ledger AS (
-  SELECT {code} AS rm_code, l_shipdate AS ts, l_extendedprice / l_quantity AS price,
+  SELECT {code} AS rm_code, l_shipdate AS ts, round(100 * l_extendedprice / l_quantity) AS price,
          l_quantity AS weight, l_suppkey AS supplier_no, {MONTH.format('l_shipdate')} AS month_idx
   FROM {source} WHERE year(l_shipdate) BETWEEN {years[0]} AND {years[1]}
 )"""
@@ -92,7 +92,7 @@ NAMED = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 DAILY = f"""
 daily AS (
-  SELECT {NAMED} AS driver, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value
+  SELECT {NAMED} AS driver, CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice)) AS value
   FROM orders GROUP BY 1, 2
 )"""
 
@@ -138,7 +138,7 @@ days AS (
 
 
 def ape(actual: str, predicted: str) -> str:
-    return f"abs({actual} - {predicted}) / greatest(abs({actual}), {EPS})"
+    return f"abs({actual} - ({predicted})) / greatest(abs({actual}), {EPS})"
 
 
 def hot(column: str, value, name: str) -> str:
@@ -153,7 +153,7 @@ def brand_name(brand: str) -> str:
 FULL = """
 full_ledger AS (
   SELECT l_shipdate AS ts, lower(p_type) AS group_desc, l_partkey AS rm_code,
-         l_extendedprice / l_quantity AS price, l_quantity AS weight, n_name AS site,
+         round(100 * l_extendedprice / l_quantity) AS price, l_quantity AS weight, n_name AS site,
          l_suppkey AS supplier_no, l_orderkey AS purchase_no
   FROM lineitem JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
@@ -262,10 +262,10 @@ def flagged(code_column: str) -> str:
 
 ORACLES: dict[str, str] = {
     "scan_ledger": f"WITH {FULL} SELECT * FROM full_ledger",
-    "driver_series": f"WITH {SERIES} SELECT driver, month_idx, {rnd('value', 4)} AS value FROM series",
+    "driver_series": f"WITH {SERIES} SELECT driver, month_idx, {rnd('value')} AS value FROM series",
     "driver_electricity": f"""
       SELECT 'Electricity' AS driver, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
-             {MONTH.format('o_orderdate')} AS month_idx, {rnd('avg(o_totalprice)', 4)} AS value
+             {MONTH.format('o_orderdate')} AS month_idx, {rnd('avg(round(o_totalprice))')} AS value
       FROM orders WHERE year(o_orderdate) BETWEEN {YEARS.first} AND {YEARS.last} GROUP BY 1, 2, 3""",
     "json_records_parse": """
       SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
@@ -302,7 +302,7 @@ ORACLES: dict[str, str] = {
     "month_offset": f"""
       SELECT date, {BACKS} FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)""",
     "shift_series_days": f"""WITH {DAILY}
-      SELECT driver, CAST(date + {q.SHIFT_DAYS} AS DATE) AS date, {rnd('value', 4)} AS value
+      SELECT driver, CAST(date + {q.SHIFT_DAYS} AS DATE) AS date, {rnd('value')} AS value
       FROM daily WHERE date + {q.SHIFT_DAYS} >= DATE '{q.FLOOR_DAY}'""",
     "horizon_prune": f"""WITH {ar_matrix('l_suppkey')}
       SELECT rm_code, month_idx, ts, {rnd('average_price')} AS average_price,
@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
       SELECT rm_code, month_idx, {rnd('avg(price)')} AS avg_price FROM ledger
       WHERE rm_code NOT IN ({", ".join(f"'{b}'" for b in q.BRANDS[:-1])}) GROUP BY 1, 2""",
     "log_roundtrip": f"""
-      SELECT l_partkey AS rm_code, l_shipdate AS ts, {rnd('ln(l_extendedprice / l_quantity)')} AS log_price,
+      SELECT l_partkey AS rm_code, l_shipdate AS ts, {rnd('ln(round(100 * l_extendedprice / l_quantity))')} AS log_price,
              TRUE AS is_inverse FROM lineitem""",
     "month_grid": f"""WITH {panel()}
       SELECT rm_code, CAST(month_idx // 12 AS INTEGER) AS year, CAST(month_idx % 12 + 1 AS INTEGER) AS month
@@ -356,26 +356,26 @@ ORACLES: dict[str, str] = {
       SELECT rm_code, month_idx, ts, {rnd('price')} AS average_price FROM panel WHERE NOT is_imputed""",
     "driver_ffill": f"""WITH {CALENDAR},{DAILY}
       SELECT c.driver, days.date, {MONTH.format('days.date')} AS month_idx, {rnd('''last_value(value IGNORE NULLS)
-        OVER (PARTITION BY c.driver ORDER BY days.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''', 4)} AS value
+        OVER (PARTITION BY c.driver ORDER BY days.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''')} AS value
       FROM days CROSS JOIN (SELECT DISTINCT driver FROM daily) c
       LEFT JOIN daily ON daily.driver = c.driver AND daily.date = days.date""",
     "driver_panel": f"""WITH {SERIES}
-      SELECT month_idx, {", ".join(f"{rnd(d, 4)} AS {d}" for d in DRIVERS)} FROM wide""",
+      SELECT month_idx, {", ".join(f"{rnd(d)} AS {d}" for d in DRIVERS)} FROM wide""",
     "driver_lags": f"""WITH {DRIVER_LAGS}
-      SELECT month_idx, {", ".join(f"{rnd(c, 4)} AS {c}" for c in DRIVER_COLUMNS)} FROM driver_lags""",
+      SELECT month_idx, {", ".join(f"{rnd(c)} AS {c}" for c in DRIVER_COLUMNS)} FROM driver_lags""",
     "ar_lags": f"""WITH {panel()},{lagged()}
       SELECT rm_code, month_idx, is_imputed, {", ".join(f"{rnd(c)} AS {c}" for c in ["price", *AR_COLUMNS])}
       FROM lagged""",
     "feature_matrix": f"""WITH {FEATURES}
       SELECT rm_code, month_idx, ts, {", ".join(f"{rnd(c)} AS {c}" for c in ["average_price", *AR_COLUMNS])},
-             {", ".join(f"{rnd(c, 4)} AS {c}" for c in DRIVER_COLUMNS)}
+             {", ".join(f"{rnd(c)} AS {c}" for c in DRIVER_COLUMNS)}
       FROM features""",
     "calendar_indices": f"""WITH {CALENDAR},{SERIES}
       SELECT days.date, CAST(year(days.date) AS INTEGER) AS year, CAST(month(days.date) AS INTEGER) AS month,
-             {rnd('o.value', 4)} AS DAILY, {", ".join(
-               f"{rnd(f's_{d}.value', 4)} AS {d}" for d in DRIVERS)}
+             {rnd('o.value')} AS DAILY, {", ".join(
+               f"{rnd(f's_{d}.value')} AS {d}" for d in DRIVERS)}
       FROM days LEFT JOIN (
-        SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value FROM orders GROUP BY 1) o
+        SELECT CAST(o_orderdate AS DATE) AS date, avg(round(o_totalprice)) AS value FROM orders GROUP BY 1) o
         ON o.date = days.date
       {" ".join(f"LEFT JOIN series s_{d} ON s_{d}.driver = '{d}' AND s_{d}.month_idx = "
                 f"year(days.date) * 12 + month(days.date) - 1" for d in DRIVERS)}""",
@@ -407,7 +407,7 @@ ORACLES: dict[str, str] = {
     "distinct_group_of_codes": f"WITH {FULL} SELECT DISTINCT group_desc FROM full_ledger",
     "monthly_panel_two_level": f"""WITH {TWO_LEVEL}
       SELECT rm_code, month_idx, weight, {rnd('price')} AS price,
-             {", ".join(f"{rnd(d, 4)} AS {d}" for d in DRIVERS)}, date
+             {", ".join(f"{rnd(d)} AS {d}" for d in DRIVERS)}, date
       FROM two_level""",
     "driver_correlation": f"""WITH {TWO_LEVEL},
       corrs AS ({" UNION ALL ".join(
@@ -444,7 +444,7 @@ ORACLES: dict[str, str] = {
         SELECT lower(p_type) AS group_desc, avg_price AS a, predicted_price AS p
         FROM shifted JOIN part ON rm_code = p_partkey WHERE predicted_price IS NOT NULL)
       SELECT group_desc, count(*) AS n, {rnd(f"avg({ape('a', 'p')})", 5)} AS mape,
-             {rnd(f"100 * avg({ape('a', 'p')})", 5)} AS mape_pct, {rnd('avg((a - p) * (a - p))', 1)} AS mse,
+             {rnd(f"100 * avg({ape('a', 'p')})", 5)} AS mape_pct, {rnd('avg((a - p) * (a - p))', -4)} AS mse,
              {rnd('avg(abs(a - p))', 5)} AS mae,
              {rnd('1 - avg((a - p) * (a - p)) / var_pop(a)', 5)} AS r2
       FROM pairs GROUP BY 1""",

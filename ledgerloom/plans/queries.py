@@ -87,7 +87,7 @@ def scan_ledger(spark, sf_dir):
 
 @query
 def driver_series(spark, sf_dir):
-    return round_columns(tables.driver_series(spark, sf_dir), ["value"], 4)
+    return round_columns(tables.driver_series(spark, sf_dir), ["value"])
 
 
 @query
@@ -95,9 +95,9 @@ def driver_electricity(spark, sf_dir):
     monthly = (
         table(spark, sf_dir, "orders")
         .groupBy(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"))
-        .agg(F.avg("o_totalprice").alias("Electricity"))
+        .agg(F.avg(F.round("o_totalprice")).alias("Electricity"))
     )
-    return round_columns(series.clean_year_month(monthly, YEARS), ["value"], 4)
+    return round_columns(series.clean_year_month(monthly, YEARS), ["value"])
 
 
 @query
@@ -216,7 +216,7 @@ def month_offset(spark, sf_dir):
 @query
 def shift_series_days(spark, sf_dir):
     daily = tables.daily_drivers(spark, sf_dir)
-    return round_columns(series.shift_days(daily, SHIFT_DAYS, FLOOR_DAY), ["value"], 4)
+    return round_columns(series.shift_days(daily, SHIFT_DAYS, FLOOR_DAY), ["value"])
 
 
 @query
@@ -354,19 +354,19 @@ def driver_ffill(spark, sf_dir):
     cells = names.withColumn("days", days.agg(F.collect_list("date")).scalar())
     daily = tables.daily_drivers(spark, sf_dir)
     full = cells.select("driver", F.explode("days").alias("date")).join(daily, ["driver", "date"], "left")
-    return round_columns(series.clean_series(full, YEARS), ["value"], 4)
+    return round_columns(series.clean_series(full, YEARS), ["value"])
 
 
 @query
 def driver_panel(spark, sf_dir):
     wide = features.driver_panel(tables.driver_series(spark, sf_dir), DRIVERS)
-    return round_columns(wide, DRIVERS, 4)
+    return round_columns(wide, DRIVERS)
 
 
 @query
 def driver_lags(spark, sf_dir):
     wide = features.driver_lags(tables.driver_series(spark, sf_dir), DRIVERS, LAGS, YEARS)
-    return round_columns(wide, features.driver_names(DRIVERS, LAGS.lags), 4)
+    return round_columns(wide, features.driver_names(DRIVERS, LAGS.lags))
 
 
 @query
@@ -381,7 +381,7 @@ def feature_matrix(spark, sf_dir):
     drivers = tables.driver_series(spark, sf_dir)
     matrix = features.feature_matrix(_panel(spark, sf_dir), drivers, DRIVERS, LAGS, YEARS)
     rounded = round_columns(matrix, ["average_price", *features.ar_names(LAGS.lags)])
-    return round_columns(rounded, features.driver_names(DRIVERS, LAGS.lags), 4)
+    return round_columns(rounded, features.driver_names(DRIVERS, LAGS.lags))
 
 
 @query
@@ -389,14 +389,14 @@ def calendar_indices(spark, sf_dir):
     days = calendars.calendar_of(tables.purchases(spark, sf_dir))
     orders = table(spark, sf_dir, "orders")
     day = orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.avg("o_totalprice").alias("value")
+        F.avg(F.round("o_totalprice")).alias("value")
     )
     monthly = tables.driver_series(spark, sf_dir).select(
         "driver", year_of("month_idx").alias("year"), month_of("month_idx").alias("month"), "value"
     )
     per_driver = {d: monthly.where(F.col("driver") == d) for d in DRIVERS}
     joined = calendars.join_series(days.select("date", "year", "month"), {"DAILY": day}, per_driver)
-    return round_columns(joined, ["DAILY", *DRIVERS], 4)
+    return round_columns(joined, ["DAILY", *DRIVERS])
 
 
 @query
@@ -485,7 +485,7 @@ def _exploration(spark, sf_dir) -> dict[str, DataFrame]:
 @query
 def monthly_panel_two_level(spark, sf_dir):
     rows = _exploration(spark, sf_dir)["panel"]
-    return round_columns(round_columns(rows, ["price"]), DRIVERS, 4)
+    return round_columns(round_columns(rows, ["price"]), DRIVERS)
 
 
 @query
@@ -532,7 +532,7 @@ def forecast_errors(spark, sf_dir):
     forecast = tables.with_group(baseline.naive_shift_forecast(monthly, 1), spark, sf_dir)
     errors = baseline.naive_errors(forecast, ["group_desc"])
     return round_columns(
-        round_columns(errors, ["mape", "mape_pct", "mae", "r2"], 5), ["mse"], 1
+        round_columns(errors, ["mape", "mape_pct", "mae", "r2"], 5), ["mse"], -4
     )
 
 
@@ -606,7 +606,7 @@ def tuned_regressor(spark, sf_dir):
     names = features.ar_names(LAGS.lags)
     before = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
     best = regress.tune(
-        matrix.where(before), names, ["rm_code", "month_idx"], depths=[2, 4], rounds=[10], folds=3
+        matrix.where(before), names, ["rm_code", "month_idx"], depths=[2, 3], rounds=[5], folds=3
     ).bestModel
     scored = regress.predict(best, matrix.where(~before))
     return baseline.naive_errors(scored, ["rm_code"], "average_price", "prediction")

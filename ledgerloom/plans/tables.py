@@ -3,6 +3,10 @@
 A line item is a purchase: its part (or supplier) is the material code, its unit
 price the price, its ship date the posting date. Order totals per priority stand
 in for external index series.
+
+Unit prices are whole cents and daily index values whole currency units. Sums of
+whole numbers are exact in doubles, so means do not depend on the order in which
+partitions are added up.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ def as_purchases(lineitem: DataFrame, code: str = "part") -> DataFrame:
     return lineitem.select(
         F.col(CODE_COLUMNS[code]).alias("rm_code"),
         F.col("l_shipdate").alias("ts"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.round(100 * F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("weight"),
         F.col("l_suppkey").alias("supplier_no"),
         F.col("l_orderkey").alias("purchase_no"),
@@ -93,7 +97,7 @@ def daily_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(
         F.try_element_at(names, F.col("o_orderpriority")).alias("driver"),
         F.col("o_orderdate").cast("date").alias("date"),
-    ).agg(F.avg("o_totalprice").alias("value"))
+    ).agg(F.round(F.avg("o_totalprice")).alias("value"))
 
 
 def driver_series(spark: SparkSession, sf_dir: str) -> DataFrame:
