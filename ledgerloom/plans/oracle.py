@@ -15,7 +15,7 @@ MONTH = "CAST(year({0}) * 12 + month({0}) - 1 AS INTEGER)"
 
 def rnd(expr: str, places: int = 6) -> str:
     scale = f"1e{places}"
-    return f"round(({expr}) * {scale}) / {scale}"
+    return f"floor(({expr}) * {scale} + 0.5) / {scale}"
 
 
 def ledger(code: str = "l_partkey", years=(YEARS.first, YEARS.last)) -> str:
@@ -24,7 +24,7 @@ def ledger(code: str = "l_partkey", years=(YEARS.first, YEARS.last)) -> str:
         source = "lineitem JOIN part ON l_partkey = p_partkey"
     return f"""
 ledger AS (
-  SELECT {code} AS rm_code, l_shipdate AS ts, round(100 * l_extendedprice / l_quantity) AS price,
+  SELECT {code} AS rm_code, l_shipdate AS ts, floor(100 * l_extendedprice / l_quantity + 0.5) AS price,
          l_quantity AS weight, l_suppkey AS supplier_no, {MONTH.format('l_shipdate')} AS month_idx
   FROM {source} WHERE year(l_shipdate) BETWEEN {years[0]} AND {years[1]}
 )"""
@@ -92,7 +92,7 @@ NAMED = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 DAILY = f"""
 daily AS (
-  SELECT {NAMED} AS driver, CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice)) AS value
+  SELECT {NAMED} AS driver, CAST(o_orderdate AS DATE) AS date, floor(avg(o_totalprice) + 0.5) AS value
   FROM orders GROUP BY 1, 2
 )"""
 
@@ -153,7 +153,7 @@ def brand_name(brand: str) -> str:
 FULL = """
 full_ledger AS (
   SELECT l_shipdate AS ts, lower(p_type) AS group_desc, l_partkey AS rm_code,
-         round(100 * l_extendedprice / l_quantity) AS price, l_quantity AS weight, n_name AS site,
+         floor(100 * l_extendedprice / l_quantity + 0.5) AS price, l_quantity AS weight, n_name AS site,
          l_suppkey AS supplier_no, l_orderkey AS purchase_no
   FROM lineitem JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
     "driver_series": f"WITH {SERIES} SELECT driver, month_idx, {rnd('value')} AS value FROM series",
     "driver_electricity": f"""
       SELECT 'Electricity' AS driver, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
-             {MONTH.format('o_orderdate')} AS month_idx, {rnd('avg(round(o_totalprice))')} AS value
+             {MONTH.format('o_orderdate')} AS month_idx, {rnd('avg(floor(o_totalprice + 0.5))')} AS value
       FROM orders WHERE year(o_orderdate) BETWEEN {YEARS.first} AND {YEARS.last} GROUP BY 1, 2, 3""",
     "json_records_parse": """
       SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
       SELECT rm_code, month_idx, {rnd('avg(price)')} AS avg_price FROM ledger
       WHERE rm_code NOT IN ({", ".join(f"'{b}'" for b in q.BRANDS[:-1])}) GROUP BY 1, 2""",
     "log_roundtrip": f"""
-      SELECT l_partkey AS rm_code, l_shipdate AS ts, {rnd('ln(round(100 * l_extendedprice / l_quantity))')} AS log_price,
+      SELECT l_partkey AS rm_code, l_shipdate AS ts, {rnd('ln(floor(100 * l_extendedprice / l_quantity + 0.5))')} AS log_price,
              TRUE AS is_inverse FROM lineitem""",
     "month_grid": f"""WITH {panel()}
       SELECT rm_code, CAST(month_idx // 12 AS INTEGER) AS year, CAST(month_idx % 12 + 1 AS INTEGER) AS month
@@ -375,7 +375,7 @@ ORACLES: dict[str, str] = {
              {rnd('o.value')} AS DAILY, {", ".join(
                f"{rnd(f's_{d}.value')} AS {d}" for d in DRIVERS)}
       FROM days LEFT JOIN (
-        SELECT CAST(o_orderdate AS DATE) AS date, avg(round(o_totalprice)) AS value FROM orders GROUP BY 1) o
+        SELECT CAST(o_orderdate AS DATE) AS date, avg(floor(o_totalprice + 0.5)) AS value FROM orders GROUP BY 1) o
         ON o.date = days.date
       {" ".join(f"LEFT JOIN series s_{d} ON s_{d}.driver = '{d}' AND s_{d}.month_idx = "
                 f"year(days.date) * 12 + month(days.date) - 1" for d in DRIVERS)}""",

@@ -19,7 +19,7 @@ from ledgerloom.functions.months import (
     plain_label,
     year_of,
 )
-from ledgerloom.functions.rounding import round_columns, scaled_round
+from ledgerloom.functions.rounding import round_columns, scaled_round, whole
 from ledgerloom.operators import baseline, charts, clean, encode, explore, features, lasso
 from ledgerloom.operators import panel as panels
 from ledgerloom.operators import quality, regress, scaling, split
@@ -95,7 +95,7 @@ def driver_electricity(spark, sf_dir):
     monthly = (
         table(spark, sf_dir, "orders")
         .groupBy(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"))
-        .agg(F.avg(F.round("o_totalprice")).alias("Electricity"))
+        .agg(F.avg(whole("o_totalprice")).alias("Electricity"))
     )
     return round_columns(series.clean_year_month(monthly, YEARS), ["value"])
 
@@ -389,7 +389,7 @@ def calendar_indices(spark, sf_dir):
     days = calendars.calendar_of(tables.purchases(spark, sf_dir))
     orders = table(spark, sf_dir, "orders")
     day = orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.avg(F.round("o_totalprice")).alias("value")
+        F.avg(whole("o_totalprice")).alias("value")
     )
     monthly = tables.driver_series(spark, sf_dir).select(
         "driver", year_of("month_idx").alias("year"), month_of("month_idx").alias("month"), "value"

@@ -16,6 +16,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.config import LagWindow, YearWindow, half_years
+from ledgerloom.functions.rounding import whole
 from ledgerloom.operators.clean import clean_ledger
 from ledgerloom.sources.drivers import clean_series, monthly_series
 
@@ -45,7 +46,7 @@ def as_purchases(lineitem: DataFrame, code: str = "part") -> DataFrame:
     return lineitem.select(
         F.col(CODE_COLUMNS[code]).alias("rm_code"),
         F.col("l_shipdate").alias("ts"),
-        F.round(100 * F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        whole(100 * F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("weight"),
         F.col("l_suppkey").alias("supplier_no"),
         F.col("l_orderkey").alias("purchase_no"),
@@ -97,7 +98,7 @@ def daily_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(
         F.try_element_at(names, F.col("o_orderpriority")).alias("driver"),
         F.col("o_orderdate").cast("date").alias("date"),
-    ).agg(F.round(F.avg("o_totalprice")).alias("value"))
+    ).agg(whole(F.avg("o_totalprice")).alias("value"))
 
 
 def driver_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.config import YearWindow
@@ -22,7 +24,9 @@ def clean_series(series: DataFrame, years: YearWindow) -> DataFrame:
 
     The year filter comes first: a value from before the window fills nothing.
     """
-    inside = series.where(F.year("date").between(years.first, years.last))
+    inside = series.where(
+        F.col("date").between(F.lit(date(years.first, 1, 1)), F.lit(date(years.last, 12, 31)))
+    )
     return fill_forward(inside, "date").select(
         "driver", "date", month_idx("date").alias("month_idx"), "value"
     )
