@@ -75,13 +75,15 @@ def test_driver_lags_reach_past_the_series(spark, rows_of):
 def test_large_driver_table_is_not_hinted(spark, monkeypatch):
     left = spark.range(5).select(F.col("id").cast("int").alias("month_idx"))
     wide = spark.range(5).select(F.col("id").cast("int").alias("month_idx"), F.lit(1.0).alias("v"))
-    assert "BroadcastHint" in str(X.join_monthly(left, wide, 5)._jdf.queryExecution().analyzed()) or (
-        "broadcast" in str(X.join_monthly(left, wide, 5)._jdf.queryExecution().logical()).lower()
-    )
+
+    def hinted():
+        joined = X.join_monthly(left, wide, 5)
+        assert joined.count() == 5
+        return "strategy=broadcast" in joined._jdf.queryExecution().logical().toString()
+
+    assert hinted()
     monkeypatch.setattr(X, "BROADCAST_BYTES", 10)
-    joined = X.join_monthly(left, wide, 5)
-    assert "hint" not in str(joined._jdf.queryExecution().logical()).lower()
-    assert joined.count() == 5
+    assert not hinted()
 
 
 def test_prune_keeps_lag_eleven(spark):

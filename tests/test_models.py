@@ -1,0 +1,72 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.metrics import log_price, unlog_price
+from ledgerloom.functions.rounding import scaled_round
+from ledgerloom.operators import regress, scaling
+
+
+def test_standardize_fits_on_training_rows_only(spark):
+    rows = [("A", 1.0, False), ("A", 3.0, False), ("A", 100.0, True)]
+    frame = spark.createDataFrame(rows, "k string, x double, is_test boolean")
+    got = scaling.standardize(frame, ["k"], ["x"], ~F.col("is_test")).orderBy("x").collect()
+    assert [r["x"] for r in got] == [-1.0, 1.0, 98.0]
+
+
+def test_constant_column_scales_by_one(spark):
+    frame = spark.createDataFrame([("A", 0.1)] * 7, "k string, x double")
+    assert {round(r["x"], 12) for r in scaling.standardize(frame, ["k"], ["x"]).collect()} == {0.0}
+    assert {r["x"] for r in scaling.robust_scale(frame, ["k"], ["x"]).collect()} == {0.0}
+
+
+def test_robust_scale_interpolates_quartiles(spark):
+    frame = spark.createDataFrame([("A", float(v)) for v in (1, 2, 3, 10)], "k string, x double")
+    got = sorted(r["x"] for r in scaling.robust_scale(frame, ["k"], ["x"]).collect())
+    median, spread = 2.5, 4.75 - 1.75
+    assert got == pytest.approx([(v - median) / spread for v in (1, 2, 3, 10)])
+
+
+def test_log_is_paired_with_its_inverse(spark):
+    frame = spark.createDataFrame([(2.5,)], "p double")
+    assert frame.select(unlog_price(log_price("p")).alias("p")).first()["p"] == pytest.approx(2.5)
+
+
+def test_scaled_round(spark):
+    frame = spark.createDataFrame([(1.25, -1.26, 123456.0)], "a double, b double, c double")
+    row = frame.select(scaled_round("a", 1), scaled_round("b", 1), scaled_round("c", -3)).first()
+    assert tuple(row) == (1.3, -1.3, 123000.0)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rows = [(k, float(k % 7), float(k % 5), 3.0 * (k % 7) + k % 5) for k in range(120)]
+    frame = spark.createDataFrame(rows, "k int, a double, b double, average_price double")
+    search = regress.tune(frame, ["a", "b"], ["k"], depths=[1, 3], rounds=[5], folds=2)
+    return frame, search
+
+
+def test_tuning_prefers_the_deeper_trees(trained):
+    _, search = trained
+    assert len(search.avgMetrics) == 2
+    assert search.bestModel.stages[-1].getOrDefault("maxDepth") == 3
+
+
+def test_saved_model_keeps_its_scaler(trained, tmp_path):
+    frame, search = trained
+    path = str(tmp_path / "model")
+    regress.save_model(search.bestModel, path)
+    again = regress.predict(regress.load_model(path), frame).orderBy("k")
+    first = regress.predict(search.bestModel, frame).orderBy("k")
+    assert [r["prediction"] for r in again.collect()] == [r["prediction"] for r in first.collect()]
+    assert "k" in again.columns
+
+
+def test_folds_do_not_depend_on_partitions(spark):
+    frame = spark.range(100).withColumn("ts", F.lit(datetime(2020, 1, 1)))
+    fold = regress.fold_of(["id"], 5, 1).alias("f")
+    one = frame.repartition(1).select("id", fold)
+    many = frame.repartition(9).select("id", fold)
+    assert one.exceptAll(many).count() == 0
+    assert {r["f"] for r in one.collect()} == set(range(5))

@@ -1,0 +1,60 @@
+"""What the physical plans must and must not contain."""
+
+import re
+
+import pytest
+
+from conftest import SMALL
+from ledgerloom.operators.features import ar_lags
+from ledgerloom.operators.panel import monthly_panel
+from ledgerloom.plans import tables
+from ledgerloom.plans.queries import QUERIES
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def purchases(spark):
+    return tables.clean_purchases(spark, SMALL)
+
+
+def test_twelve_lags_share_one_window_and_three_exchanges(purchases):
+    text = plan(ar_lags(monthly_panel(purchases), tables.LAGS))
+    main = "\n".join(line for line in text.splitlines() if not re.match(r"^[\s:]*:", line))
+    windows = re.findall(r"\+- Window \[|^Window \[", main, flags=re.M)
+    assert len(windows) == 2  # one lead for the gaps, one node for all lags
+    assert len(re.findall("Exchange hashpartitioning", main)) == 3
+
+
+def test_panel_aggregates_in_hash_buffers(purchases):
+    text = plan(monthly_panel(purchases))
+    assert "SortAggregate" not in text
+
+
+def test_year_filter_reaches_the_scan_with_few_columns(purchases):
+    text = plan(monthly_panel(purchases))
+    assert "GreaterThanOrEqual(l_shipdate" in text
+    schemas = re.findall(r"ReadSchema: (\S+)", text)
+    assert all("l_discount" not in s and "l_orderkey" not in s for s in schemas)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"ingest_incremental", "tuned_regressor"}))
+def test_no_cross_join_and_no_row_udf(spark, name):
+    text = plan(QUERIES[name](spark, SMALL))
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "MapInPandas"):
+        assert operator not in text
+
+
+@pytest.mark.parametrize("name", ["backtest_matrix", "lasso_ar", "coef_export"])
+def test_models_move_rows_once(spark, name):
+    text = plan(QUERIES[name](spark, SMALL))
+    assert text.count("FlatMapGroupsInPandas") == 1
+    assert "REPARTITION_BY_NUM" in text
+
+
+def test_global_windows_are_absent(spark):
+    for name in ("volume_share_code", "driver_lags", "codes_per_group", "driver_panel"):
+        text = plan(QUERIES[name](spark, SMALL))
+        assert "Window" not in text or "SinglePartition" not in text.split("Window", 1)[1].split("Exchange", 2)[1][:40]
