@@ -63,11 +63,12 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Ite
         first = events.argmin(axis=1)
         here = np.arange(len(rows))
         step = np.minimum(events[here, first], alpha - floor)
-        yield rows, alpha, alpha - step, w, d
         going = events[here, first] < alpha - floor
+        low = np.where(going, alpha - step, floor)
+        yield rows, alpha, low, w, d
         kind, feature = np.divmod(first, size)
         w = w + step[:, None] * d
-        alpha = alpha - step
+        alpha = low
         left = np.full(len(rows), -1)
         gone = going & (kind == 2)
         w[gone, feature[gone]] = 0.0
@@ -120,8 +121,17 @@ def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.nda
             grams.append(xt.T @ xt / len(yt))
             corrs.append(xt.T @ yt / len(yt))
             held.append((xv.T @ xv, xv.T @ yv, yv @ yv, ((yv - yv.mean()) ** 2).sum()))
-    gram, corr = np.array(grams), np.array(corrs)
-    q, c, yy, sst = (np.array(part) for part in zip(*held))
+    scores = fold_scores(np.array(grams), np.array(corrs), [np.array(part) for part in zip(*held)], alphas)
+    return best_alpha(scores.reshape(len(n_rows), k, len(alphas)))
+
+
+def fold_scores(gram: np.ndarray, corr: np.ndarray, held: list[np.ndarray], alphas: np.ndarray) -> np.ndarray:
+    """R2 of each problem on its held-out rows, at every ``alpha``.
+
+    ``held`` describes those rows, centred by the training means: ``X'X``,
+    ``X'y``, ``y'y`` and the sum of squares of ``y`` around its own mean.
+    """
+    q, c, yy, sst = held
     sse = np.repeat(yy[:, None], len(alphas), axis=1)
     for rows, high, low, w, d in lasso_segments(gram, corr, np.full(len(corr), alphas.min())):
         qw, qd = (np.einsum("bij,bj->bi", q[rows], v) for v in (w, d))
@@ -135,6 +145,11 @@ def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.nda
     varies = sst > 0
     score = np.where(varies[:, None], 1 - sse / np.where(varies, sst, 1.0)[:, None], 0.0)
     score[~varies & (sse <= 0).all(axis=1)] = 1.0
-    mean = score.reshape(len(n_rows), k, len(alphas)).mean(axis=1)
+    return score
+
+
+def best_alpha(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the best mean score per problem, and that score; ``[b, folds, alphas]``."""
+    mean = scores.mean(axis=1)
     best = mean.argmax(axis=1)
     return best, mean[np.arange(len(best)), best]

@@ -84,11 +84,10 @@ def driver_report(series: DataFrame) -> DataFrame:
 def feature_report(features: DataFrame, missing: DataFrame, names: list[str], lags: LagWindow) -> DataFrame:
     """No nulls, and no row in a month without a purchase."""
     columns = feature_names(names, lags)
-    nulls = expectations(features, null_checks(["average_price", *columns]))
-    overlap = features.join(missing, ["rm_code", "month_idx"], "left_semi")
-    return nulls.unionByName(
-        overlap.agg(F.count(F.lit(1)).alias("imputed_target")).transform(unfold_checks)
-    )
+    unbought = missing.select("rm_code", "month_idx", F.lit(True).alias("_unbought"))
+    marked = features.join(unbought, ["rm_code", "month_idx"], "left")
+    checks = null_checks(["average_price", *columns])
+    return expectations(marked, checks | {"imputed_target": F.col("_unbought").isNotNull()})
 
 
 def require(report: DataFrame) -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.config import ForecastWindow, JobRequest, LagWindow, YearWindow
 from ledgerloom.operators.baseline import mean_over_windows, naive_backtest, persistence_mape
@@ -13,7 +16,22 @@ from ledgerloom.operators.features import ar_matrix, feature_matrix
 from ledgerloom.operators.lasso import backtest
 from ledgerloom.operators.panel import monthly_panel
 from ledgerloom.operators.quality import ledger_report, require
-from ledgerloom.sources.drivers import monthly_series
+from ledgerloom.sources.drivers import monthly_series, read_driver_series, read_electricity
+from ledgerloom.sources.ledger import read_ledger
+
+
+def read_request(
+    spark: SparkSession, request: JobRequest, driver_paths: Mapping[str, str]
+) -> tuple[DataFrame, DataFrame]:
+    """Ledger and drivers of a request from landed CSV files."""
+    series = []
+    for driver in request.drivers:
+        if driver == "Electricity":
+            series.append(read_electricity(spark, request.electricity_path, request.driver_years))
+        else:
+            path = driver_paths[driver]
+            series.append(read_driver_series(spark, path, driver, request.driver_years))
+    return read_ledger(spark, request.ledger_path), reduce(DataFrame.unionByName, series)
 
 
 def feature_plan(

@@ -22,11 +22,11 @@ from ledgerloom.functions.months import (
 from ledgerloom.functions.rounding import round_columns, scaled_round, whole
 from ledgerloom.operators import baseline, charts, clean, encode, explore, features, lasso
 from ledgerloom.operators import panel as panels
-from ledgerloom.operators import quality, regress, scaling, split
+from ledgerloom.operators import pooled, quality, regress, scaling, split
 from ledgerloom.config import LagWindow
 from ledgerloom.plans import pipeline, tables
 from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, PRIORITIES, WINDOWS, YEARS, table
-from ledgerloom.session import shared_dir
+from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import calendar as calendars
 from ledgerloom.sources import drivers as series
 from ledgerloom.sources import json_records, sinks
@@ -599,10 +599,23 @@ def coef_export(spark, sf_dir):
     return sinks.coefficient_table(lasso.coefficients(models), features.feature_names(DRIVERS, LAGS))
 
 
+@query
+def pooled_lasso(spark, sf_dir):
+    """One model for all codes on a random split, scored per code on either side."""
+    panel = panels.monthly_panel(_brand_ledger(spark, sf_dir))
+    matrix = features.feature_matrix(panel, tables.driver_series(spark, sf_dir), DRIVERS, LAGS, YEARS)
+    hot = encode.one_hot_codes(cut_lineage(matrix), BRANDS)
+    rows = split.hash_split(hot, ["rm_code", "month_idx"], TEST_PERCENT, SPLIT_SEED)
+    columns = [*BRANDS, *features.feature_names(DRIVERS, LAGS)]
+    model = pooled.fit_pooled(rows.where("not is_test"), columns, ["rm_code", "month_idx"])
+    scored = model.predict(rows)
+    return baseline.naive_errors(scored, ["rm_code", "is_test"], "average_price", "prediction")
+
+
 @query
 def tuned_regressor(spark, sf_dir):
     """Boosted trees tuned on the training rows, scored on the later ones."""
-    matrix = _supplier_ar(spark, sf_dir)
+    matrix = cut_lineage(_supplier_ar(spark, sf_dir))
     names = features.ar_names(LAGS.lags)
     before = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
     best = regress.tune(

@@ -67,10 +67,11 @@ def test_folds_are_contiguous_blocks():
     assert L.contiguous_folds(12, 5).tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 4, 4]
 
 
-def test_search_equals_direct_fits():
+@pytest.mark.parametrize("seed", [11, 12, 13])
+@pytest.mark.parametrize("alphas", [np.linspace(0.01, 1, 7), np.linspace(0.3, 0.9, 40), np.array([0.05])])
+def test_search_equals_direct_fits(seed, alphas):
     """Scores from Gram matrices against predictions made row by row."""
-    x, y = standardised(11, 43, 5)
-    alphas = np.linspace(0.01, 1, 7)
+    x, y = standardised(seed, 43, 5)
     n = 37
     best, r2 = L.search_alpha(x[None], y[None], [n], alphas, 5)
     fold = L.contiguous_folds(n, 5)
@@ -88,6 +89,19 @@ def test_search_equals_direct_fits():
     assert r2[0] == pytest.approx(mean.max(), abs=1e-9)
 
 
+def test_score_at_every_alpha_of_the_grid():
+    """The smallest alpha is a breakpoint of the walk and must be scored too."""
+    for seed in range(8):
+        x, y = standardised(seed, 40, 4)
+        gram, corr = (x.T @ x / 40)[None], (x.T @ y / 40)[None]
+        held = [(x.T @ x)[None], (x.T @ y)[None], np.array([y @ y]), np.array([y @ y])]
+        alphas = lasso.alpha_grid(0.01)
+        got = L.fold_scores(gram, corr, held, alphas)[0]
+        for k in (0, 1, 50, 299):
+            w = L.lasso_weights(gram, corr, alphas[k : k + 1])[0]
+            assert got[k] == pytest.approx(1 - ((y - x @ w) ** 2).sum() / (y @ y), abs=1e-9)
+
+
 def test_alpha_grid_is_a_fixed_tenth():
     grid = lasso.alpha_grid(0.01)
     assert len(grid) == 300 and grid[0] == 0.01 and grid[1] == pytest.approx(0.01 + 0.99 * 10 / 2999)
