@@ -262,10 +262,10 @@ def flagged(code_column: str) -> str:
 
 ORACLES: dict[str, str] = {
     "scan_ledger": f"WITH {FULL} SELECT * FROM full_ledger",
-    "driver_series": f"WITH {SERIES} SELECT driver, month_idx, {rnd('value')} AS value FROM series",
+    "driver_series": f"WITH {SERIES} SELECT driver, month_idx, value FROM series",
     "driver_electricity": f"""
       SELECT 'Electricity' AS driver, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
-             {MONTH.format('o_orderdate')} AS month_idx, {rnd('avg(floor(o_totalprice + 0.5))')} AS value
+             {MONTH.format('o_orderdate')} AS month_idx, avg(floor(o_totalprice + 0.5)) AS value
       FROM orders WHERE year(o_orderdate) BETWEEN {YEARS.first} AND {YEARS.last} GROUP BY 1, 2, 3""",
     "json_records_parse": """
       SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
@@ -279,7 +279,7 @@ ORACLES: dict[str, str] = {
              CAST(week(date) AS INTEGER) AS iso_week, CAST(isoyear(date) AS INTEGER) AS iso_year
       FROM days""",
     "ingest_incremental": f"""WITH {panel()}
-      SELECT rm_code, month_idx, ts, {rnd('price')} AS price, n_purchases, is_imputed FROM panel""",
+      SELECT rm_code, month_idx, ts, price, n_purchases, is_imputed FROM panel""",
     "clean_ledger": f"""WITH {FULL}
       SELECT rm_code, group_desc, ts, price, CAST(year(ts) AS INTEGER) AS year,
              CAST(month(ts) AS INTEGER) AS month, {MONTH.format('ts')} AS month_idx
@@ -294,7 +294,7 @@ ORACLES: dict[str, str] = {
       WHERE rm_code IN (SELECT p_partkey FROM part WHERE lower(p_type) = 'promo')""",
     "one_hot_codes": f"""WITH {panel('p_brand')}
       SELECT rm_code, CAST(month_idx // 12 AS INTEGER) AS year, CAST(month_idx % 12 + 1 AS INTEGER) AS month,
-             month_idx, ts, {rnd('price')} AS average_price, is_imputed, {flagged('rm_code')}
+             month_idx, ts, price AS average_price, is_imputed, {flagged('rm_code')}
       FROM panel""",
     "one_hot_dates": f"WITH {CALENDAR} SELECT date, {date_flags()} FROM days",
     "month_label_and_index": f"""WITH {ledger()}
@@ -302,15 +302,15 @@ ORACLES: dict[str, str] = {
     "month_offset": f"""
       SELECT date, {BACKS} FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)""",
     "shift_series_days": f"""WITH {DAILY}
-      SELECT driver, CAST(date + {q.SHIFT_DAYS} AS DATE) AS date, {rnd('value')} AS value
+      SELECT driver, CAST(date + {q.SHIFT_DAYS} AS DATE) AS date, value
       FROM daily WHERE date + {q.SHIFT_DAYS} >= DATE '{q.FLOOR_DAY}'""",
     "horizon_prune": f"""WITH {ar_matrix('l_suppkey')}
-      SELECT rm_code, month_idx, ts, {rnd('average_price')} AS average_price,
-             {", ".join(f"{rnd(f'AR_{i}')} AS AR_{i}" for i in LAGS.from_horizon(6))}
+      SELECT rm_code, month_idx, ts, average_price,
+             {", ".join(f"AR_{i}" for i in LAGS.from_horizon(6))}
       FROM ar_matrix""",
     "interaction_terms": f"""WITH {ar_matrix('p_brand', q.SHORT_LAGS.lags)}
       SELECT rm_code, month_idx, {", ".join(
-          rnd(f"CASE WHEN rm_code = '{b}' THEN AR_{i} ELSE 0 END") + f" AS {brand_name(b)}_ar_{i}"
+          f"CASE WHEN rm_code = '{b}' THEN AR_{i} ELSE 0 END AS {brand_name(b)}_ar_{i}"
           for b in q.BRANDS for i in q.SHORT_LAGS.lags)}
       FROM ar_matrix""",
     "period_flag": f"""WITH {CALENDAR}
@@ -321,12 +321,12 @@ ORACLES: dict[str, str] = {
              CAST(day(l_shipdate) AS INTEGER) AS day, count(*) AS n
       FROM lineitem GROUP BY 1, 2, 3, 4, 5""",
     "quarter_end_points": f"""WITH {ledger()}
-      SELECT rm_code, concat(year(ts), '-', month(ts)) AS year_month, {rnd('avg(price)')} AS avg_price
+      SELECT rm_code, concat(year(ts), '-', month(ts)) AS year_month, avg(price) AS avg_price
       FROM ledger WHERE month(ts) IN (3, 6, 9, 12) GROUP BY 1, 2""",
     "drop_incomplete": f"""WITH {panel()},{lagged()}
-      SELECT rm_code, month_idx, is_imputed, {rnd('AR_12')} AS AR_12 FROM lagged WHERE {complete(LAGS.lags)}""",
+      SELECT rm_code, month_idx, is_imputed, AR_12 FROM lagged WHERE {complete(LAGS.lags)}""",
     "base_category_rows": f"""WITH {ledger('p_brand')}
-      SELECT rm_code, month_idx, {rnd('avg(price)')} AS avg_price FROM ledger
+      SELECT rm_code, month_idx, avg(price) AS avg_price FROM ledger
       WHERE rm_code NOT IN ({", ".join(f"'{b}'" for b in q.BRANDS[:-1])}) GROUP BY 1, 2""",
     "log_roundtrip": f"""
       SELECT l_partkey AS rm_code, l_shipdate AS ts, {rnd('ln(floor(100 * l_extendedprice / l_quantity + 0.5))')} AS log_price,
@@ -343,45 +343,45 @@ ORACLES: dict[str, str] = {
       SELECT rm_code, month_idx, ts, price, FALSE AS is_imputed FROM ledger
       UNION ALL SELECT rm_code, month_idx, ts, price, TRUE FROM panel WHERE is_imputed""",
     "monthly_avg_price": f"""WITH {ledger()}
-      SELECT rm_code, month_idx, {rnd('avg(price)')} AS avg_price FROM ledger GROUP BY 1, 2""",
+      SELECT rm_code, month_idx, avg(price) AS avg_price FROM ledger GROUP BY 1, 2""",
     "monthly_last": f"""WITH {ledger()}
       SELECT rm_code, month_idx, max(ts) AS last_ts, last(price ORDER BY ts, price) AS last_price,
              last(weight ORDER BY ts, weight) AS last_weight
       FROM ledger GROUP BY 1, 2""",
     "monthly_target": f"""WITH {panel()}
       SELECT rm_code, CAST(month_idx // 12 AS INTEGER) AS year, CAST(month_idx % 12 + 1 AS INTEGER) AS month,
-             month_idx, ts, {rnd('price')} AS average_price, is_imputed, lower(p_type) AS group_desc
+             month_idx, ts, price AS average_price, is_imputed, lower(p_type) AS group_desc
       FROM panel JOIN part ON rm_code = p_partkey""",
     "exclude_imputed": f"""WITH {panel()}
-      SELECT rm_code, month_idx, ts, {rnd('price')} AS average_price FROM panel WHERE NOT is_imputed""",
+      SELECT rm_code, month_idx, ts, price AS average_price FROM panel WHERE NOT is_imputed""",
     "driver_ffill": f"""WITH {CALENDAR},{DAILY}
-      SELECT c.driver, days.date, {MONTH.format('days.date')} AS month_idx, {rnd('''last_value(value IGNORE NULLS)
-        OVER (PARTITION BY c.driver ORDER BY days.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''')} AS value
+      SELECT c.driver, days.date, {MONTH.format('days.date')} AS month_idx, last_value(value IGNORE NULLS)
+        OVER (PARTITION BY c.driver ORDER BY days.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
       FROM days CROSS JOIN (SELECT DISTINCT driver FROM daily) c
       LEFT JOIN daily ON daily.driver = c.driver AND daily.date = days.date""",
     "driver_panel": f"""WITH {SERIES}
-      SELECT month_idx, {", ".join(f"{rnd(d)} AS {d}" for d in DRIVERS)} FROM wide""",
+      SELECT month_idx, {", ".join(DRIVERS)} FROM wide""",
     "driver_lags": f"""WITH {DRIVER_LAGS}
-      SELECT month_idx, {", ".join(f"{rnd(c)} AS {c}" for c in DRIVER_COLUMNS)} FROM driver_lags""",
+      SELECT month_idx, {", ".join(DRIVER_COLUMNS)} FROM driver_lags""",
     "ar_lags": f"""WITH {panel()},{lagged()}
-      SELECT rm_code, month_idx, is_imputed, {", ".join(f"{rnd(c)} AS {c}" for c in ["price", *AR_COLUMNS])}
+      SELECT rm_code, month_idx, is_imputed, {", ".join(["price", *AR_COLUMNS])}
       FROM lagged""",
     "feature_matrix": f"""WITH {FEATURES}
-      SELECT rm_code, month_idx, ts, {", ".join(f"{rnd(c)} AS {c}" for c in ["average_price", *AR_COLUMNS])},
-             {", ".join(f"{rnd(c)} AS {c}" for c in DRIVER_COLUMNS)}
+      SELECT rm_code, month_idx, ts, {", ".join(["average_price", *AR_COLUMNS])},
+             {", ".join(DRIVER_COLUMNS)}
       FROM features""",
     "calendar_indices": f"""WITH {CALENDAR},{SERIES}
       SELECT days.date, CAST(year(days.date) AS INTEGER) AS year, CAST(month(days.date) AS INTEGER) AS month,
-             {rnd('o.value')} AS DAILY, {", ".join(
-               f"{rnd(f's_{d}.value')} AS {d}" for d in DRIVERS)}
+             o.value AS DAILY, {", ".join(
+               f"s_{d}.value AS {d}" for d in DRIVERS)}
       FROM days LEFT JOIN (
         SELECT CAST(o_orderdate AS DATE) AS date, avg(floor(o_totalprice + 0.5)) AS value FROM orders GROUP BY 1) o
         ON o.date = days.date
       {" ".join(f"LEFT JOIN series s_{d} ON s_{d}.driver = '{d}' AND s_{d}.month_idx = "
                 f"year(days.date) * 12 + month(days.date) - 1" for d in DRIVERS)}""",
     "residual_topk": f"""WITH {ledger()},{SHIFTED.format(k=1)}
-      SELECT rm_code, month_idx, {rnd('avg_price', 4)} AS avg_price, {rnd('predicted_price', 4)} AS predicted_price,
-             {rnd('abs(avg_price - predicted_price)', 4)} AS abs_error
+      SELECT rm_code, month_idx, avg_price, predicted_price,
+             abs(avg_price - predicted_price) AS abs_error
       FROM shifted WHERE predicted_price IS NOT NULL
       ORDER BY abs(avg_price - predicted_price) DESC, rm_code, month_idx LIMIT {q.TOP_K}""",
     "volume_by_year": """
@@ -392,7 +392,7 @@ ORACLES: dict[str, str] = {
         f"coalesce(sum(l_quantity) FILTER (year(l_shipdate) = {y}), 0) AS y{y}" for y in q.YEAR_LIST)}
       FROM lineitem GROUP BY 1""",
     "site_flags": f"""WITH {FULL}
-      SELECT rm_code, site, CAST(ts AS DATE) AS date, sum(weight) AS weight, {rnd('avg(price)')} AS price,
+      SELECT rm_code, site, CAST(ts AS DATE) AS date, sum(weight) AS weight, avg(price) AS price,
              {", ".join(f"CAST(site = '{s}' AS INTEGER) AS SITE_{s}" for s in q.SITES)}
       FROM full_ledger GROUP BY 1, 2, 3""",
     "volume_share_group": f"WITH {FULL} {share('full_ledger', 'group_desc')}",
@@ -407,7 +407,7 @@ ORACLES: dict[str, str] = {
     "distinct_group_of_codes": f"WITH {FULL} SELECT DISTINCT group_desc FROM full_ledger",
     "monthly_panel_two_level": f"""WITH {TWO_LEVEL}
       SELECT rm_code, month_idx, weight, {rnd('price')} AS price,
-             {", ".join(f"{rnd(d)} AS {d}" for d in DRIVERS)}, date
+             {", ".join(DRIVERS)}, date
       FROM two_level""",
     "driver_correlation": f"""WITH {TWO_LEVEL},
       corrs AS ({" UNION ALL ".join(
@@ -427,7 +427,7 @@ ORACLES: dict[str, str] = {
       FROM price_peaks CROSS JOIN driver_peaks""",
     "price_evolution": f"""WITH {panel()}
       SELECT lower(p_type) AS group_desc, rm_code, CAST(month_idx // 12 AS INTEGER) AS year,
-             CAST(month_idx % 12 + 1 AS INTEGER) AS month, {rnd('price')} AS price,
+             CAST(month_idx % 12 + 1 AS INTEGER) AS month, price,
              concat(month_idx // 12, '-', month_idx % 12 + 1) AS year_month,
              month_idx % 12 + 1 IN (3, 6, 9, 12) AS is_tick
       FROM panel JOIN part ON rm_code = p_partkey""",
@@ -437,7 +437,7 @@ ORACLES: dict[str, str] = {
     "persistence_mape": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS}, scores AS ({PERSISTENCE})
       SELECT rm_code, test, n, horizon, {rnd('mape_pct', 3)} AS mape_pct FROM scores""",
     "naive_shift_forecast": f"""WITH {ledger()},{SHIFTED.format(k=3)}
-      SELECT rm_code, month_idx, {rnd('avg_price')} AS avg_price, {rnd('predicted_price')} AS predicted_price
+      SELECT rm_code, month_idx, avg_price, predicted_price
       FROM shifted WHERE predicted_price IS NOT NULL""",
     "forecast_errors": f"""WITH {ledger()},{SHIFTED.format(k=1)},
       pairs AS (
@@ -450,9 +450,9 @@ ORACLES: dict[str, str] = {
       FROM pairs GROUP BY 1""",
     "actual_vs_pred_long": f"""WITH {ar_matrix(lags=q.SHORT_LAGS.lags)}
       SELECT rm_code, month_idx, ts >= TIMESTAMP '{q.CUT}' AS is_forecast, 'ground_truth' AS kind,
-             {rnd('average_price')} AS value FROM ar_matrix
+             average_price AS value FROM ar_matrix
       UNION ALL
-      SELECT rm_code, month_idx, ts >= TIMESTAMP '{q.CUT}', 'prediction', {rnd('AR_1')} FROM ar_matrix""",
+      SELECT rm_code, month_idx, ts >= TIMESTAMP '{q.CUT}', 'prediction', AR_1 FROM ar_matrix""",
     "standardize_train": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS},{TRAIN_TEST}
       SELECT rm_code, test, month_idx, is_test, {rnd(zscore('average_price'))} AS average_price,
              {rnd(zscore('AR_1'))} AS AR_1

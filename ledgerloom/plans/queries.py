@@ -87,7 +87,7 @@ def scan_ledger(spark, sf_dir):
 
 @query
 def driver_series(spark, sf_dir):
-    return round_columns(tables.driver_series(spark, sf_dir), ["value"])
+    return tables.driver_series(spark, sf_dir)
 
 
 @query
@@ -97,7 +97,7 @@ def driver_electricity(spark, sf_dir):
         .groupBy(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"))
         .agg(F.avg(whole("o_totalprice")).alias("Electricity"))
     )
-    return round_columns(series.clean_year_month(monthly, YEARS), ["value"])
+    return series.clean_year_month(monthly, YEARS)
 
 
 @query
@@ -136,7 +136,7 @@ def ingest_incremental(spark, sf_dir):
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     arriving = clean.clean_ledger(tables.as_purchases(stream), YEARS)
     ingest.ingest(arriving, root).awaitTermination()
-    return round_columns(ingest.stored_panel(spark, root), ["price"])
+    return ingest.stored_panel(spark, root)
 
 
 # Projections and filters
@@ -179,7 +179,7 @@ def one_hot_codes(spark, sf_dir):
     target = panels.monthly_target(panels.monthly_panel(_brand_ledger(spark, sf_dir)))
     hot = encode.one_hot_codes(target, BRANDS)
     plain = {brand: brand.replace("#", "_").lower() for brand in BRANDS}
-    return round_columns(hot.withColumnsRenamed(plain), ["average_price"])
+    return hot.withColumnsRenamed(plain)
 
 
 @query
@@ -216,14 +216,13 @@ def month_offset(spark, sf_dir):
 @query
 def shift_series_days(spark, sf_dir):
     daily = tables.daily_drivers(spark, sf_dir)
-    return round_columns(series.shift_days(daily, SHIFT_DAYS, FLOOR_DAY), ["value"])
+    return series.shift_days(daily, SHIFT_DAYS, FLOOR_DAY)
 
 
 @query
 def horizon_prune(spark, sf_dir):
     matrix = _supplier_ar(spark, sf_dir)
-    pruned = features.prune_horizon(matrix, [], LAGS, 6)
-    return round_columns(pruned, ["average_price", *features.ar_names(LAGS.from_horizon(6))])
+    return features.prune_horizon(matrix, [], LAGS, 6)
 
 
 @query
@@ -235,7 +234,7 @@ def interaction_terms(spark, sf_dir):
     return crossed.select(
         "rm_code",
         "month_idx",
-        *[scaled_round(f"`{n}`").alias(n.replace("#", "_").lower()) for n in names],
+        *[F.col(f"`{n}`").alias(n.replace("#", "_").lower()) for n in names],
     )
 
 
@@ -260,7 +259,7 @@ def quarter_end_points(spark, sf_dir):
     return points.select(
         "rm_code",
         plain_label("year", "month").alias("year_month"),
-        scaled_round("avg_price").alias("avg_price"),
+        "avg_price",
     )
 
 
@@ -268,16 +267,14 @@ def quarter_end_points(spark, sf_dir):
 def drop_incomplete(spark, sf_dir):
     lagged = features.ar_lags(_panel(spark, sf_dir), LAGS)
     complete = clean.complete_rows(lagged, features.ar_names(LAGS.lags))
-    return round_columns(complete.select("rm_code", "month_idx", "is_imputed", "AR_12"), ["AR_12"])
+    return complete.select("rm_code", "month_idx", "is_imputed", "AR_12")
 
 
 @query
 def base_category_rows(spark, sf_dir):
     monthly = panels.monthly_avg_price(_brand_ledger(spark, sf_dir))
     hot = encode.one_hot_codes(monthly, BRANDS[:-1])
-    return round_columns(
-        encode.base_category(hot, BRANDS[:-1]).select("rm_code", "month_idx", "avg_price"), ["avg_price"]
-    )
+    return encode.base_category(hot, BRANDS[:-1]).select("rm_code", "month_idx", "avg_price")
 
 
 @query
@@ -319,7 +316,7 @@ def impute_ffill(spark, sf_dir):
 @query
 def monthly_avg_price(spark, sf_dir):
     monthly = panels.monthly_avg_price(tables.clean_purchases(spark, sf_dir))
-    return round_columns(monthly, ["avg_price"])
+    return monthly
 
 
 @query
@@ -331,8 +328,7 @@ def monthly_last(spark, sf_dir):
 @query
 def monthly_target(spark, sf_dir):
     target = panels.monthly_target(_panel(spark, sf_dir))
-    grouped = tables.with_group(target, spark, sf_dir)
-    return round_columns(grouped, ["average_price"])
+    return tables.with_group(target, spark, sf_dir)
 
 
 @query
@@ -340,7 +336,7 @@ def exclude_imputed(spark, sf_dir):
     ledger = tables.clean_purchases(spark, sf_dir)
     target = panels.monthly_target(panels.monthly_panel(ledger))
     bought = panels.exclude_imputed(target, panels.missing_cells(ledger))
-    return round_columns(bought.select("rm_code", "month_idx", "ts", "average_price"), ["average_price"])
+    return bought.select("rm_code", "month_idx", "ts", "average_price")
 
 
 # Features
@@ -354,34 +350,31 @@ def driver_ffill(spark, sf_dir):
     cells = names.withColumn("days", days.agg(F.collect_list("date")).scalar())
     daily = tables.daily_drivers(spark, sf_dir)
     full = cells.select("driver", F.explode("days").alias("date")).join(daily, ["driver", "date"], "left")
-    return round_columns(series.clean_series(full, YEARS), ["value"])
+    return series.clean_series(full, YEARS)
 
 
 @query
 def driver_panel(spark, sf_dir):
-    wide = features.driver_panel(tables.driver_series(spark, sf_dir), DRIVERS)
-    return round_columns(wide, DRIVERS)
+    return features.driver_panel(tables.driver_series(spark, sf_dir), DRIVERS)
 
 
 @query
 def driver_lags(spark, sf_dir):
-    wide = features.driver_lags(tables.driver_series(spark, sf_dir), DRIVERS, LAGS, YEARS)
-    return round_columns(wide, features.driver_names(DRIVERS, LAGS.lags))
+    return features.driver_lags(tables.driver_series(spark, sf_dir), DRIVERS, LAGS, YEARS)
 
 
 @query
 def ar_lags(spark, sf_dir):
     lagged = features.ar_lags(_panel(spark, sf_dir), LAGS)
     names = ["price", *features.ar_names(LAGS.lags)]
-    return round_columns(lagged.select("rm_code", "month_idx", "is_imputed", *names), names)
+    return lagged.select("rm_code", "month_idx", "is_imputed", *names)
 
 
 @query
 def feature_matrix(spark, sf_dir):
     drivers = tables.driver_series(spark, sf_dir)
     matrix = features.feature_matrix(_panel(spark, sf_dir), drivers, DRIVERS, LAGS, YEARS)
-    rounded = round_columns(matrix, ["average_price", *features.ar_names(LAGS.lags)])
-    return round_columns(rounded, features.driver_names(DRIVERS, LAGS.lags))
+    return matrix
 
 
 @query
@@ -395,8 +388,7 @@ def calendar_indices(spark, sf_dir):
         "driver", year_of("month_idx").alias("year"), month_of("month_idx").alias("month"), "value"
     )
     per_driver = {d: monthly.where(F.col("driver") == d) for d in DRIVERS}
-    joined = calendars.join_series(days.select("date", "year", "month"), {"DAILY": day}, per_driver)
-    return round_columns(joined, ["DAILY", *DRIVERS])
+    return calendars.join_series(days.select("date", "year", "month"), {"DAILY": day}, per_driver)
 
 
 @query
@@ -404,8 +396,7 @@ def residual_topk(spark, sf_dir):
     forecast = baseline.naive_shift_forecast(
         panels.monthly_avg_price(tables.clean_purchases(spark, sf_dir)), 1
     )
-    top = baseline.largest_errors(forecast, TOP_K, ["rm_code", "month_idx"])
-    return round_columns(top, ["avg_price", "predicted_price", "abs_error"], 4)
+    return baseline.largest_errors(forecast, TOP_K, ["rm_code", "month_idx"])
 
 
 # Exploration
@@ -430,7 +421,7 @@ def volume_pivot(spark, sf_dir):
 @query
 def site_flags(spark, sf_dir):
     ledger = tables.purchases(spark, sf_dir).join(tables.site_of_supplier(spark, sf_dir), "supplier_no")
-    return round_columns(explore.site_flags(ledger, SITES), ["price"])
+    return explore.site_flags(ledger, SITES)
 
 
 @query
@@ -484,8 +475,7 @@ def _exploration(spark, sf_dir) -> dict[str, DataFrame]:
 
 @query
 def monthly_panel_two_level(spark, sf_dir):
-    rows = _exploration(spark, sf_dir)["panel"]
-    return round_columns(round_columns(rows, ["price"]), DRIVERS)
+    return round_columns(_exploration(spark, sf_dir)["panel"], ["price"])
 
 
 @query
@@ -501,7 +491,7 @@ def peak_shift_days(spark, sf_dir):
 @query
 def price_evolution(spark, sf_dir):
     filled = tables.with_group(_panel(spark, sf_dir), spark, sf_dir)
-    return round_columns(charts.price_evolution(filled), ["price"])
+    return charts.price_evolution(filled)
 
 
 # Baselines
@@ -523,7 +513,7 @@ def persistence_mape(spark, sf_dir):
 def naive_shift_forecast(spark, sf_dir):
     monthly = panels.monthly_avg_price(tables.clean_purchases(spark, sf_dir))
     forecast = baseline.naive_shift_forecast(monthly, 3)
-    return round_columns(forecast, ["avg_price", "predicted_price"])
+    return forecast
 
 
 @query
@@ -540,7 +530,7 @@ def forecast_errors(spark, sf_dir):
 def actual_vs_pred_long(spark, sf_dir):
     lagged = features.ar_matrix(_panel(spark, sf_dir), SHORT_LAGS)
     rows = charts.actual_vs_predicted(lagged, ["rm_code", "month_idx"], "average_price", "AR_1", CUT)
-    return round_columns(rows, ["value"])
+    return rows
 
 
 # Models
