@@ -1,6 +1,6 @@
 """Price-panel analytics on Spark.
 
-Every operator takes and returns DataFrames, so pipelines are composed with
+Every operator takes and returns DataFrames, so runs are composed with
 ``df.transform(...)`` and stay lazy until the caller writes or collects.
 """
 

@@ -45,8 +45,8 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Ite
         system[:, range(width), range(width)] += np.where(on, 1e-13, 1.0)
         d = np.zeros_like(w)
         d[here, used] = np.linalg.solve(system, sign[here, used][:, :, None])[:, :, 0]
-        slope = np.einsum("bij,bj->bi", gram, d)
-        rest = corr - np.einsum("bij,bj->bi", gram, w)
+        both = gram @ np.stack([d, w], axis=2)
+        slope, rest = both[:, :, 0], corr - both[:, :, 1]
         outside = ~active
         held = left >= 0
         outside[np.flatnonzero(held), left[held]] = False
@@ -112,12 +112,13 @@ def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.nda
     """
     grams, corrs, held = [], [], []
     for b, n in enumerate(n_rows):
-        fold = contiguous_folds(n, k)
-        for f in range(k):
-            train, test = fold != f, fold == f
-            xm, ym = x[b, :n][train].mean(axis=0), y[b, :n][train].mean()
-            xt, yt = x[b, :n][train] - xm, y[b, :n][train] - ym
-            xv, yv = x[b, :n][test] - xm, y[b, :n][test] - ym
+        ends = np.flatnonzero(np.diff(contiguous_folds(n, k), append=k)) + 1
+        for start, end in zip([0, *ends[:-1]], ends):
+            xt = np.concatenate([x[b, :start], x[b, end:n]])
+            yt = np.concatenate([y[b, :start], y[b, end:n]])
+            xm, ym = xt.mean(axis=0), yt.mean()
+            xt, yt = xt - xm, yt - ym
+            xv, yv = x[b, start:end] - xm, y[b, start:end] - ym
             grams.append(xt.T @ xt / len(yt))
             corrs.append(xt.T @ yt / len(yt))
             held.append((xv.T @ xv, xv.T @ yv, yv @ yv, ((yv - yv.mean()) ** 2).sum()))

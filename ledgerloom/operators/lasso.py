@@ -8,6 +8,7 @@ joined to the rows, so nothing is replicated.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,15 @@ MODEL_FIELDS = {
 }
 
 
+@dataclass(frozen=True)
+class FeaturePlan:
+    """Columns of one feature set, and which of them each horizon knows."""
+
+    name: str
+    columns: list[str]
+    known: dict[int, np.ndarray]
+
+
 def alpha_grid(alpha_bottom: float) -> np.ndarray:
     """Evenly spaced draws of the full grid: a fixed choice instead of a random one."""
     grid = np.linspace(alpha_bottom, ALPHA_TOP, ALPHA_POINTS)
@@ -55,59 +65,66 @@ def _scaled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.where(flat, 1.0, np.sqrt(var))
 
 
-def _fit_windows(rows: pd.DataFrame, columns: list[str], windows, alphas, min_train: int) -> Iterator[dict]:
-    """One model per test window for one code and one column set."""
+def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train: int) -> Iterator[dict]:
+    """One model per horizon and test window for one code and one feature set.
+
+    All of them are solved together: a column a horizon rules out is zero in
+    that model and can never be picked.
+    """
     ts = rows["ts"].to_numpy().astype("datetime64[us]")
-    x, y = rows[columns].to_numpy(float), rows["average_price"].to_numpy(float)
-    jobs, xs, ys, scales = [], [], [], []
+    x, y = rows[plan.columns].to_numpy(float), rows["average_price"].to_numpy(float)
+    jobs, xs, ys = [], [], []
     for number, (start, end) in enumerate(windows, start=1):
         n = int((ts < start).sum())
         test = (ts >= start) & (ts < end)
-        base = {"test": number, "n_train": n, "n_test": int(test.sum()), "coefs": None}
+        status = None
         if n < min_train:
-            yield base | {"status": "too few training rows"}
-            continue
-        if not test.any():
-            yield base | {"status": "no test rows"}
-            continue
-        xm, xs_ = _scaled(x[:n])
-        ym, ys_ = _scaled(y[:n])
-        xs.append((x - xm) / xs_)
-        ys.append((y - ym) / ys_)
-        scales.append((ym, ys_))
-        jobs.append((base, test))
+            status = "too few training rows"
+        elif not test.any():
+            status = "no test rows"
+        else:
+            x_mean, x_scale = _scaled(x[:n])
+            y_mean, y_scale = _scaled(y[:n])
+            zx, zy = (x - x_mean) / x_scale, (y - y_mean) / y_scale
+        for horizon, known in plan.known.items():
+            cell = {"horizon": horizon, "test": number, "n_train": n, "n_test": int(test.sum())}
+            if status:
+                yield cell | {"status": status, "coefs": None}
+                continue
+            jobs.append((cell, test, known, y_mean, y_scale))
+            xs.append(zx * known)
+            ys.append(zy)
     if not jobs:
         return
     zx, zy = np.array(xs), np.array(ys)
-    sizes = [base["n_train"] for base, _ in jobs]
+    sizes = [cell["n_train"] for cell, *_ in jobs]
     best, r2 = search_alpha(zx, zy, sizes, alphas, FOLDS)
     gram = np.array([zx[b, :n].T @ zx[b, :n] / n for b, n in enumerate(sizes)])
     corr = np.array([zx[b, :n].T @ zy[b, :n] / n for b, n in enumerate(sizes)])
     weights = lasso_weights(gram, corr, alphas[best])
     gaps = optimality_gap(gram, corr, alphas[best], weights)
-    for b, (base, test) in enumerate(jobs):
-        ym, ys_ = scales[b]
-        predicted = zx[b][test] @ weights[b] * ys_ + ym
+    for b, (cell, test, known, y_mean, y_scale) in enumerate(jobs):
+        predicted = zx[b][test] @ weights[b] * y_scale + y_mean
         miss = np.abs(y[test] - predicted) / np.maximum(np.abs(y[test]), EPSILON)
-        yield base | {
+        yield cell | {
             "status": "ok",
             "alpha": float(alphas[best[b]]),
             "cv_r2": float(r2[b]),
             "mape_pct": float(100 * miss.mean()),
             "optimality_gap": float(gaps[b]),
             "coefs": [
-                {"feature": name, "coef": float(value)} for name, value in zip(columns, weights[b])
+                {"feature": plan.columns[j], "coef": float(weights[b][j])} for j in np.flatnonzero(known)
             ],
         }
 
 
-def _fit_code(plans, windows, alphas, min_train: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _fit_code(plans: list[FeaturePlan], windows, alphas, min_train: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         out = [
-            {"feature_set": name, "horizon": horizon} | cell
-            for name, horizon, columns in plans
-            for cell in _fit_windows(rows, columns, windows, alphas, min_train)
+            {"feature_set": plan.name} | cell
+            for plan in plans
+            for cell in _fit_cells(rows, plan, windows, alphas, min_train)
         ]
         models = pd.DataFrame(out).reindex(columns=list(MODEL_FIELDS))
         models.insert(0, "rm_code", rows["rm_code"].iloc[0])
@@ -138,18 +155,20 @@ def backtest(
     """
     spark = features.sparkSession
     names = list(drivers)
+    horizons = list(horizons)
     plans = []
     for feature_set in feature_sets:
         if feature_set not in FEATURE_SETS:
             raise ValueError(f"unknown feature set {feature_set!r}")
-        for horizon in horizons:
-            used = names if feature_set == "ALL" else []
-            plans.append((feature_set, horizon, feature_names(used, lags, horizon)))
+        used = names if feature_set == "ALL" else []
+        widest = feature_names(used, lags, min(horizons))
+        known = {h: np.isin(widest, feature_names(used, lags, h)) for h in horizons}
+        plans.append(FeaturePlan(feature_set, widest, known))
     bounds = [
         (np.datetime64(w.start, "us"), np.datetime64(w.end, "us"))
         for w in map(ForecastWindow.of, windows)
     ]
-    columns = sorted({c for _, _, used in plans for c in used})
+    columns = sorted({c for plan in plans for c in plan.columns})
     partitions = partitions or max(
         4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )

@@ -473,6 +473,17 @@ ORACLES: dict[str, str] = {
     "lasso_univariate": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS},{TRAIN_TEST}, scores AS ({LASSO_ONE})
       SELECT rm_code, horizon, test, n_train, n_test, {rnd('beta', 5)} AS beta, {rnd('mape_pct', 5)} AS mape_pct
       FROM scores""",
+    "backtest_cells": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS},
+      counts AS (
+        SELECT c.rm_code, w.test,
+               CAST(count(*) FILTER (f.ts < w.a) AS INTEGER) AS n_train,
+               CAST(count(*) FILTER (f.ts >= w.a AND f.ts < w.b) AS INTEGER) AS n_test
+        FROM (SELECT DISTINCT rm_code FROM ar_matrix) c CROSS JOIN windows w
+        JOIN ar_matrix f ON f.rm_code = c.rm_code GROUP BY 1, 2)
+      SELECT rm_code, horizon, test, n_train, n_test,
+             CASE WHEN n_train < 10 THEN 'too few training rows' WHEN n_test = 0 THEN 'no test rows'
+                  ELSE 'ok' END AS status
+      FROM counts CROSS JOIN (VALUES {", ".join(f"(CAST({h} AS INTEGER))" for h in HORIZONS)}) h(horizon)""",
     "quality_report": f"""WITH {FULL}, {FEATURES},
       clean AS (SELECT * FROM full_ledger WHERE year(ts) BETWEEN {YEARS.first} AND {YEARS.last})
       SELECT 'ledger' AS stage, 'is_empty' AS check, CAST(count(*) = 0 AS BIGINT) AS violations FROM clean

@@ -24,7 +24,7 @@ from ledgerloom.operators import baseline, charts, clean, encode, explore, featu
 from ledgerloom.operators import panel as panels
 from ledgerloom.operators import pooled, quality, regress, scaling, split
 from ledgerloom.config import LagWindow
-from ledgerloom.plans import pipeline, tables
+from ledgerloom.plans import jobs, tables
 from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, PRIORITIES, WINDOWS, YEARS, table
 from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import calendar as calendars
@@ -470,7 +470,7 @@ def _exploration(spark, sf_dir) -> dict[str, DataFrame]:
     joined = calendars.join_series(
         days, {d: daily.where(F.col("driver") == d) for d in DRIVERS}, {}
     )
-    return pipeline.exploration_plan(ledger, joined, DRIVERS, YEARS.n_months)
+    return jobs.exploration_plan(ledger, joined, DRIVERS, YEARS.n_months)
 
 
 @query
@@ -499,7 +499,7 @@ def price_evolution(spark, sf_dir):
 
 @query
 def naive_backtest(spark, sf_dir):
-    scores = pipeline.naive_plan(tables.purchases(spark, sf_dir), YEARS, LAGS, HORIZONS, WINDOWS)
+    scores = jobs.naive_plan(tables.purchases(spark, sf_dir), YEARS, LAGS, HORIZONS, WINDOWS)
     return round_columns(scores, ["mape_pct"], 4)
 
 
@@ -569,6 +569,13 @@ def lasso_ar(spark, sf_dir):
     return lasso.train_ar(_supplier_ar(spark, sf_dir), LAGS, HORIZONS, WINDOWS).drop("coefs")
 
 
+@query
+def backtest_cells(spark, sf_dir):
+    """Which models were trained, on how many rows."""
+    models = lasso.train_ar(_supplier_ar(spark, sf_dir), LAGS, HORIZONS, WINDOWS)
+    return models.select("rm_code", "horizon", "test", "n_train", "n_test", "status")
+
+
 @query
 def lasso_all(spark, sf_dir):
     matrix = _supplier_features(spark, sf_dir)
@@ -578,7 +585,7 @@ def lasso_all(spark, sf_dir):
 @query
 def backtest_matrix(spark, sf_dir):
     """Mean error over the windows per code, horizon and feature set, beside persistence."""
-    return pipeline.forecast_plan(_supplier_features(spark, sf_dir), DRIVERS, LAGS, HORIZONS, WINDOWS)
+    return jobs.forecast_plan(_supplier_features(spark, sf_dir), DRIVERS, LAGS, HORIZONS, WINDOWS)
 
 
 @query

@@ -1,3 +1,4 @@
+import re
 import sys
 from datetime import datetime
 from pathlib import Path
@@ -12,6 +13,9 @@ from ledgerloom.session import local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
+# Operators no query may need: all-pairs joins and row-at-a-time Python.
+FORBIDDEN = re.compile("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython")
+
 
 @pytest.fixture(scope="session")
 def spark():

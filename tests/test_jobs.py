@@ -6,7 +6,7 @@ import pytest
 
 from conftest import month
 from ledgerloom.config import JobRequest, half_years
-from ledgerloom.plans import pipeline
+from ledgerloom.plans import jobs
 from ledgerloom.operators.quality import check_feature_columns
 
 
@@ -41,8 +41,8 @@ def request_files(tmp_path):
 
 def test_request_to_features(spark, request_files, rows_of):
     request, paths = request_files
-    ledger, drivers = pipeline.read_request(spark, request, paths)
-    features = pipeline.feature_plan(ledger, drivers, request, check=True)
+    ledger, drivers = jobs.read_request(spark, request, paths)
+    features = jobs.feature_plan(ledger, drivers, request, check=True)
     check_feature_columns(features, list(request.drivers), request.lags)
     # id columns, target, two drivers and AR at three lags, one flag per code
     assert len(features.columns) == 5 + (2 + 1) * 3 + 2
@@ -56,17 +56,17 @@ def test_request_to_features(spark, request_files, rows_of):
 
 def test_wrong_target_is_refused(spark, request_files):
     request, paths = request_files
-    ledger, drivers = pipeline.read_request(spark, request, paths)
+    ledger, drivers = jobs.read_request(spark, request, paths)
     mixed = JobRequest(**{**request.__dict__, "rm_codes": ("RM01/0001", "RM02/0001")})
     with pytest.raises(ValueError, match="code_outside_target: 1"):
-        pipeline.feature_plan(ledger, drivers, mixed, check=True)
+        jobs.feature_plan(ledger, drivers, mixed, check=True)
 
 
 def test_forecast_plan_compares_three_methods(spark, request_files):
     request, paths = request_files
-    ledger, drivers = pipeline.read_request(spark, request, paths)
-    features = pipeline.feature_plan(ledger, drivers, request)
+    ledger, drivers = jobs.read_request(spark, request, paths)
+    features = jobs.feature_plan(ledger, drivers, request)
     windows = half_years(date(2020, 1, 1), 2)
-    scores = pipeline.forecast_plan(features, list(request.drivers), request.lags, [1, 3], windows).toPandas()
+    scores = jobs.forecast_plan(features, list(request.drivers), request.lags, [1, 3], windows).toPandas()
     assert set(scores.feature_set) == {"NAIVE", "AR", "ALL"}
     assert len(scores) == 2 * 3 * 2 and (scores.n_windows == 2).all()
