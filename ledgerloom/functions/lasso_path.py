@@ -40,13 +40,15 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Ite
         used = np.argsort(~active, axis=1, kind="stable")[:, :width]
         here = np.arange(len(rows))[:, None]
         on = active[here, used]
-        system = gram[here[:, :, None], used[:, :, None], used[:, None, :]]
+        towards = gram[here, used]
+        system = np.take_along_axis(towards, used[:, None, :], axis=2)
         system = np.where(on[:, :, None] & on[:, None, :], system, 0.0)
         system[:, range(width), range(width)] += np.where(on, 1e-13, 1.0)
+        step_used = np.linalg.solve(system, sign[here, used][:, :, None])[:, :, 0]
         d = np.zeros_like(w)
-        d[here, used] = np.linalg.solve(system, sign[here, used][:, :, None])[:, :, 0]
-        both = gram @ np.stack([d, w], axis=2)
-        slope, rest = both[:, :, 0], corr - both[:, :, 1]
+        d[here, used] = step_used
+        both = np.stack([step_used, w[here, used]], axis=1) @ towards
+        slope, rest = both[:, 0], corr - both[:, 1]
         outside = ~active
         held = left >= 0
         outside[np.flatnonzero(held), left[held]] = False
@@ -76,8 +78,9 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Ite
         left[gone] = feature[gone]
         for joined, direction in ((going & (kind == 0), 1.0), (going & (kind == 1), -1.0)):
             sign[joined, feature[joined]] = direction
-        rows, gram, corr, floor = rows[going], gram[going], corr[going], floor[going]
-        w, alpha, sign, left = w[going], alpha[going], sign[going], left[going]
+        if not going.all():
+            rows, gram, corr, floor = rows[going], gram[going], corr[going], floor[going]
+            w, alpha, sign, left = w[going], alpha[going], sign[going], left[going]
     raise ArithmeticError("the path did not reach its smallest alpha")
 
 
@@ -110,7 +113,10 @@ def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.nda
     ``x`` is ``[b, n, p]`` and ``y`` ``[b, n]``; problem ``b`` uses its first
     ``n_rows[b]`` rows. Returns the chosen index and mean R2 per problem.
     """
-    grams, corrs, held = [], [], []
+    grams, corrs, spread = [], [], []
+    longest = -(-max(n_rows) // k)
+    xh = np.zeros((len(n_rows) * k, longest, x.shape[2]))
+    yh = np.zeros((len(n_rows) * k, longest))
     for b, n in enumerate(n_rows):
         ends = np.flatnonzero(np.diff(contiguous_folds(n, k), append=k)) + 1
         for start, end in zip([0, *ends[:-1]], ends):
@@ -118,30 +124,31 @@ def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.nda
             yt = np.concatenate([y[b, :start], y[b, end:n]])
             xm, ym = xt.mean(axis=0), yt.mean()
             xt, yt = xt - xm, yt - ym
-            xv, yv = x[b, start:end] - xm, y[b, start:end] - ym
+            xh[len(grams), : end - start] = x[b, start:end] - xm
+            yh[len(grams), : end - start] = y[b, start:end] - ym
             grams.append(xt.T @ xt / len(yt))
             corrs.append(xt.T @ yt / len(yt))
-            held.append((xv.T @ xv, xv.T @ yv, yv @ yv, ((yv - yv.mean()) ** 2).sum()))
-    scores = fold_scores(np.array(grams), np.array(corrs), [np.array(part) for part in zip(*held)], alphas)
+            spread.append(((y[b, start:end] - y[b, start:end].mean()) ** 2).sum())
+    scores = fold_scores(np.array(grams), np.array(corrs), xh, yh, np.array(spread), alphas)
     return best_alpha(scores.reshape(len(n_rows), k, len(alphas)))
 
 
-def fold_scores(gram: np.ndarray, corr: np.ndarray, held: list[np.ndarray], alphas: np.ndarray) -> np.ndarray:
+def fold_scores(
+    gram: np.ndarray, corr: np.ndarray, xh: np.ndarray, yh: np.ndarray, sst: np.ndarray, alphas: np.ndarray
+) -> np.ndarray:
     """R2 of each problem on its held-out rows, at every ``alpha``.
 
-    ``held`` describes those rows, centred by the training means: ``X'X``,
-    ``X'y``, ``y'y`` and the sum of squares of ``y`` around its own mean.
+    ``xh`` and ``yh`` are those rows, centred by the training means and padded
+    with zeros; ``sst`` is the sum of squares of ``y`` around its own mean.
     """
-    q, c, yy, sst = held
-    sse = np.repeat(yy[:, None], len(alphas), axis=1)
+    sse = np.repeat((yh**2).sum(axis=1)[:, None], len(alphas), axis=1)
     for rows, high, low, w, d in lasso_segments(gram, corr, np.full(len(corr), alphas.min())):
-        qw, qd = (np.einsum("bij,bj->bi", q[rows], v) for v in (w, d))
-        flat = yy[rows] + (w * (qw - 2 * c[rows])).sum(axis=1)
-        linear = 2 * (d * (qw - c[rows])).sum(axis=1)
-        square = (d * qd).sum(axis=1)
+        fitted = xh[rows] @ np.stack([w, d], axis=2)
+        miss, move = yh[rows] - fitted[:, :, 0], fitted[:, :, 1]
+        flat, linear, square = (miss**2).sum(axis=1), (miss * move).sum(axis=1), (move**2).sum(axis=1)
         t = high[:, None] - alphas
         piece = (t >= 0) & (alphas >= low[:, None])
-        value = flat[:, None] + t * (linear[:, None] + t * square[:, None])
+        value = flat[:, None] + t * (t * square[:, None] - 2 * linear[:, None])
         sse[rows] = np.where(piece, value, sse[rows])
     varies = sst > 0
     score = np.where(varies[:, None], 1 - sse / np.where(varies, sst, 1.0)[:, None], 0.0)

@@ -156,6 +156,10 @@ def backtest(
     spark = features.sparkSession
     names = list(drivers)
     horizons = list(horizons)
+    if not horizons or max(horizons) > lags.last:
+        raise ValueError(f"horizons {horizons} need lags beyond {lags.last}")
+    if min_train < 2 * FOLDS:
+        raise ValueError(f"{FOLDS} folds need at least {2 * FOLDS} training rows")
     plans = []
     for feature_set in feature_sets:
         if feature_set not in FEATURE_SETS:

@@ -68,12 +68,17 @@ def _moments(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, sums[1:, 1:] / n - np.outer(mean, mean)
 
 
-def _held_out(sums: np.ndarray, mean: np.ndarray) -> tuple:
-    """Held-out rows centred by the training mean, label last."""
+def _held_out(sums: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Stand-ins for the held-out rows, centred by the training mean.
+
+    Any rows with the same sums of products have the same squared errors; as
+    many as there are columns will do.
+    """
     n, total = sums[0, 0], sums[0, 1:]
     centred = sums[1:, 1:] - np.outer(mean, total) - np.outer(total, mean) + n * np.outer(mean, mean)
-    spread = sums[-1, -1] - total[-1] ** 2 / n
-    return centred[:-1, :-1], centred[:-1, -1], centred[-1, -1], spread
+    size, axes = np.linalg.eigh(centred)
+    rows = np.sqrt(np.maximum(size, 0))[:, None] * axes.T
+    return rows[:, :-1], rows[:, -1], sums[-1, -1] - total[-1] ** 2 / n
 
 
 def fit_pooled(
@@ -117,7 +122,8 @@ def fit_pooled(
     held = [_held_out(sums[f], m) for f, (m, _) in zip(used, trained)]
     gram = np.array([cov[:-1, :-1] for _, cov in trained])
     corr = np.array([cov[:-1, -1] for _, cov in trained])
-    scores = fold_scores(gram, corr, [np.array(part) for part in zip(*held)], alphas)
+    xh, yh, spread = (np.array(part) for part in zip(*held))
+    scores = fold_scores(gram, corr, xh, yh, spread, alphas)
     best, r2 = best_alpha(scores[None])
     alpha = alphas[best]
     _, cov = _moments(total)

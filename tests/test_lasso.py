@@ -94,9 +94,8 @@ def test_score_at_every_alpha_of_the_grid():
     for seed in range(8):
         x, y = standardised(seed, 40, 4)
         gram, corr = (x.T @ x / 40)[None], (x.T @ y / 40)[None]
-        held = [(x.T @ x)[None], (x.T @ y)[None], np.array([y @ y]), np.array([y @ y])]
         alphas = lasso.alpha_grid(0.01)
-        got = L.fold_scores(gram, corr, held, alphas)[0]
+        got = L.fold_scores(gram, corr, x[None], y[None], np.array([y @ y]), alphas)[0]
         for k in (0, 1, 50, 299):
             w = L.lasso_weights(gram, corr, alphas[k : k + 1])[0]
             assert got[k] == pytest.approx(1 - ((y - x @ w) ** 2).sum() / (y @ y), abs=1e-9)
@@ -171,6 +170,10 @@ def test_unknown_feature_set(book):
     features = ar_matrix(monthly_panel(book), LAGS)
     with pytest.raises(ValueError):
         lasso.backtest(features, [], LAGS, [1], half_years(date(2018, 1, 1), 1), ["SOME"])
+    with pytest.raises(ValueError, match="beyond"):
+        lasso.train_ar(features, LAGS, [5], half_years(date(2018, 1, 1), 1))
+    with pytest.raises(ValueError, match="at least"):
+        lasso.train_ar(features, LAGS, [1], half_years(date(2018, 1, 1), 1), min_train=3)
 
 
 def test_single_lag_closed_form_equals_the_path(spark, book):
