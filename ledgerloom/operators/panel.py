@@ -88,8 +88,9 @@ def spread_months(months: DataFrame, calendar: Column) -> DataFrame:
     """Gap-filled panel from months with purchases (``monthly_prices``)."""
     by_code = Window.partitionBy("rm_code").orderBy("month_idx")
     group = _group_key(months)
+    end = F.greatest(F.array_max("calendar"), F.col("month_idx")) + 1
     bought = months.withColumn("calendar", calendar).withColumn(
-        "until", F.coalesce(F.lead("month_idx").over(by_code), F.array_max("calendar") + 1)
+        "until", F.coalesce(F.lead("month_idx").over(by_code), end)
     )
     cells = bought.select(
         "rm_code",

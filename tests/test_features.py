@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -9,6 +10,7 @@ from ledgerloom.functions.months import in_period, months_back
 from ledgerloom.operators import encode
 from ledgerloom.operators import features as X
 from ledgerloom.operators import panel as P
+from ledgerloom.operators.clean import clean_ledger
 from ledgerloom.operators.quality import check_feature_columns
 
 YEARS = YearWindow(2019, 2021)
@@ -128,3 +130,20 @@ def test_period_ends_are_included(spark, rows_of):
     days = [date(2020, 2, 22), date(2020, 2, 23), date(2022, 3, 7), date(2022, 3, 8)]
     frame = spark.createDataFrame([(d,) for d in days], "d date")
     assert [r[0] for r in frame.orderBy("d").select(in_period("d")).collect()] == [0, 1, 1, 0]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_lags_equal_a_self_join(spark, seed):
+    """Random ledgers with holes in the calendar; every lag against a join on its month."""
+    rng = random.Random(seed)
+    rows = [
+        (f"c{rng.randrange(12)}", datetime(rng.choice([2018, 2020]), rng.choice([1, 2, 4, 11, 12]), 7), float(rng.randrange(99)))
+        for _ in range(150)
+    ]
+    frame = spark.createDataFrame(rows, "rm_code string, ts timestamp_ntz, price double")
+    panel = P.monthly_panel(clean_ledger(frame, YearWindow(2010, 2024)))
+    lagged = X.ar_lags(panel, LagWindow(1, 12))
+    known = {(r["rm_code"], r["month_idx"]): r["price"] for r in panel.collect()}
+    for row in lagged.collect():
+        for i in range(1, 13):
+            assert row[f"AR_{i}"] == known.get((row["rm_code"], row["month_idx"] - i))

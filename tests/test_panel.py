@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -6,6 +7,7 @@ from conftest import month
 from ledgerloom.config import YearWindow
 from ledgerloom.functions.months import first_day, month_of, year_of
 from ledgerloom.operators import panel as P
+from ledgerloom.operators.clean import clean_ledger
 
 # A skips February; B buys in all three months.
 GAP_MIDDLE = [
@@ -129,3 +131,44 @@ def test_month_keys(spark, rows_of):
         (2019, 12, "2019-12-01"),
         (2020, 1, "2020-01-01"),
     ]
+
+
+def test_purchases_after_the_calendar_leave_no_rows(ledger, rows_of):
+    book = ledger([("A", "2019-11-05", 1), ("A", "2020-03-05", 2)])
+    panel = P.monthly_panel(book, YearWindow(2019, 2019))
+    assert rows_of(panel, "month_idx", "price", "is_imputed") == [
+        (month(2019, 11), 1.0, False),
+        (month(2019, 12), 1.0, True),
+    ]
+
+
+def filled_by_hand(rows):
+    """The panel one cell at a time, from rows of ``(code, timestamp, price)``."""
+    years = {t.year for _, t, _ in rows}
+    numbers = {t.month for _, t, _ in rows}
+    out = []
+    for code in {c for c, _, _ in rows}:
+        carried = None
+        for at in sorted(y * 12 + m - 1 for y in years for m in numbers):
+            here = sorted((t, p) for c, t, p in rows if c == code and month(t.year, t.month) == at)
+            if here:
+                carried = here[-1][1]
+                out.append((code, at, sum(p for _, p in here) / len(here), False))
+            elif carried is not None:
+                out.append((code, at, carried, True))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_panel_equals_brute_force_with_a_hot_code(spark, seed):
+    """One code holds a third of all rows; others are sparse."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(600):
+        code = "hot" if k % 3 == 0 else f"c{rng.randrange(40)}"
+        ts = datetime(rng.choice([2018, 2019, 2021]), rng.choice([1, 2, 3, 5, 8, 12]), rng.randrange(1, 29))
+        rows.append((code, ts, float(rng.randrange(1, 100))))
+    frame = spark.createDataFrame(rows, "rm_code string, ts timestamp_ntz, price double").repartition(9)
+    panel = P.monthly_panel(clean_ledger(frame, YearWindow(2010, 2024)))
+    got = sorted(tuple(r) for r in panel.select("rm_code", "month_idx", "price", "is_imputed").collect())
+    assert got == filled_by_hand(rows)  # whole-number prices: sums are exact
