@@ -107,7 +107,10 @@ def fit_pooled(
     var = np.array([stats[f"v{k}"] for k in range(len(names))])
     flat = var <= stats["n"] * EPSILON * var + (stats["n"] * mean * EPSILON) ** 2
     scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, var)))
-    zs = [((c - F.lit(float(m))) / F.lit(float(s))).alias(f"z{k}") for k, (c, m, s) in enumerate(zip(numbers, mean, scale))]
+    zs = [
+        ((c - F.lit(float(m))) / F.lit(float(s))).alias(f"z{k}")
+        for k, (c, m, s) in enumerate(zip(numbers, mean, scale))
+    ]
     scaled = train.select(fold_of(keys, folds, seed).alias("fold"), *zs)
 
     size = len(names) + 1

@@ -329,7 +329,8 @@ ORACLES: dict[str, str] = {
       SELECT rm_code, month_idx, avg(price) AS avg_price FROM ledger
       WHERE rm_code NOT IN ({", ".join(f"'{b}'" for b in q.BRANDS[:-1])}) GROUP BY 1, 2""",
     "log_roundtrip": f"""
-      SELECT l_partkey AS rm_code, l_shipdate AS ts, {rnd('ln(floor(100 * l_extendedprice / l_quantity + 0.5))')} AS log_price,
+      SELECT l_partkey AS rm_code, l_shipdate AS ts,
+             {rnd('ln(floor(100 * l_extendedprice / l_quantity + 0.5))')} AS log_price,
              TRUE AS is_inverse FROM lineitem""",
     "month_grid": f"""WITH {panel()}
       SELECT rm_code, CAST(month_idx // 12 AS INTEGER) AS year, CAST(month_idx % 12 + 1 AS INTEGER) AS month

@@ -25,7 +25,7 @@ from ledgerloom.operators import panel as panels
 from ledgerloom.operators import pooled, quality, regress, scaling, split
 from ledgerloom.config import LagWindow
 from ledgerloom.plans import jobs, tables
-from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, PRIORITIES, WINDOWS, YEARS, table
+from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, WINDOWS, YEARS, table
 from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import calendar as calendars
 from ledgerloom.sources import drivers as series
