@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import simhash_blocks, spans
+from ledgerloom.llm import langid, quality_trees, simhash_blocks, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,29 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_blocks.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = langid.train(docs.where(langid.bucket(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(langid.bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = langid.identify(docs, fitted)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    forest = quality_trees.train(docs, labels.where(langid.bucket(F.col("doc_id"), 5) != 0))
+    held_out = F.coalesce(langid.bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    found = quality_trees.quality(docs, forest)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
         op6_simhash_near_dedup,
+        op7_language_id,
+        op8_quality_classifier,
     )
 }
