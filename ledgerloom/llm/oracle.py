@@ -26,4 +26,93 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1}
+
+def _seats(units: str, group: str, order: str, weight: str, seats: str) -> str:
+    """Highest quotients weight / (2k + 1), by filling up from a safe number of seats."""
+    part = f"PARTITION BY {group}" if group else ""
+    return f"""
+    SELECT * EXCLUDE (all_weight, n_units, base, top, k, place, left_over), base + more AS won FROM (
+        SELECT *, sum(CASE WHEN k IS NOT NULL AND place <= left_over THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY unit) AS more, row_number() OVER (PARTITION BY unit) AS copy FROM (
+            SELECT *, row_number() OVER ({part} ORDER BY {weight} / (2 * k + 1) DESC NULLS LAST, {order}, k) AS place
+            FROM (
+                SELECT *, {seats} - sum(base) OVER ({part}) AS left_over FROM (
+                    SELECT *, CASE WHEN {weight} > 0 THEN floor((CASE WHEN 2 * {seats} > n_units
+                        THEN {weight} * (2.0::DOUBLE * {seats} - n_units) / all_weight ELSE 0 END + 1) / 2) ELSE 0 END::BIGINT AS base,
+                        CASE WHEN {weight} > 0 THEN floor(({weight} * (2.0::DOUBLE * {seats} + n_units) / all_weight + 1) / 2)
+                        + 1 ELSE 0 END::BIGINT AS top
+                    FROM (
+                        SELECT *, row_number() OVER () AS unit, sum({weight}) OVER ({part})::DOUBLE AS all_weight,
+                            sum(CASE WHEN {weight} > 0 THEN 1 ELSE 0 END) OVER ({part})::DOUBLE AS n_units
+                        FROM {units}
+                    )
+                )
+            ) LEFT JOIN LATERAL (SELECT UNNEST(range(base, top)) AS k) ON true
+        )
+    ) WHERE copy = 1"""
+
+
+def _digits(*parts: str) -> str:
+    listed = " || '|' || ".join(f"coalesce(({p})::VARCHAR, '')" for p in parts)
+    return f"md5('mix-1|' || {listed})"
+
+
+def _number(digits: str) -> str:
+    return f"('0x' || substr({digits}, 1, 8))::BIGINT"
+
+
+OP2 = f"""
+WITH rows_ AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY source),
+ranked AS (
+    SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM (
+        SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(place - 1) % 3 + 1] AS weight
+        FROM (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM sums)
+    )
+),
+levels AS (
+    SELECT *, (goal - coalesce(filled, 0)) / open_weight AS level FROM (
+        SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5 AS goal,
+            sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS filled,
+            sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+        FROM ranked
+    )
+),
+aimed AS (
+    SELECT source, source_size, place AS aimed_place, round(goal / 16)::BIGINT AS seats,
+        least(cap, coalesce(max(CASE WHEN level < ratio THEN level END) OVER () * weight, cap)) AS target
+    FROM levels
+),
+quotas AS (
+    SELECT source, source_size, target, least(won, 2 * ceil(source_size / 16.0))::BIGINT AS quota,
+        greatest(1, least(4096, source_size // 65536)) AS shards
+    FROM ({_seats("aimed", "", "aimed_place", "target", "seats")})
+),
+placed AS (
+    SELECT r.*, q.source_size, q.target, q.quota, {_number(_digits("'shard'", "doc_id"))} % shards AS shard
+    FROM rows_ r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source
+),
+held AS (
+    SELECT source, source_size, quota, shard, sum(size)::BIGINT AS shard_size FROM placed GROUP BY ALL
+),
+won AS ({_seats("held", "source", "shard", "shard_size", "quota")}),
+draws AS (
+    SELECT *, {_number(_digits("'run'", "source", "shard"))} % (n - rest + 1) AS first_block FROM (
+        SELECT *, least(won, 2 * n) // n AS passes, least(won, 2 * n) % n AS rest
+        FROM (SELECT *, ceil(shard_size / 16.0)::BIGINT AS n FROM won) WHERE n > 0
+    )
+),
+laid AS (
+    SELECT *, end_ - size AS begin_ FROM (
+        SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY {_digits("'place'", "doc_id")}, doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS end_
+        FROM placed
+    )
+)
+SELECT l.doc_id, l.size, l.source_size, l.target,
+    (coalesce(passes, 0) * size
+     + coalesce(greatest(0, least(end_, (first_block + rest) * 16) - greatest(begin_, first_block * 16)), 0))::BIGINT AS taken
+FROM laid l LEFT JOIN draws d ON l.source IS NOT DISTINCT FROM d.source AND l.shard = d.shard
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op2_source_mixing": OP2}

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, packing, quality_trees, simhash_blocks, spans
+from ledgerloom.llm import langid, mixing, packing, quality_trees, simhash_blocks, spans
+from ledgerloom.llm.store import written
+from ledgerloom.llm.text import word_count
 
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    found = mixing.mix(written(docs, "sizes"), sized="words")
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_blocks.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_blocks.hex_digits().alias("fingerprint"), "component_id")
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_source_mixing,
         op6_simhash_near_dedup,
         op7_language_id,
         op8_quality_classifier,
