@@ -178,23 +178,20 @@ def removed_ranges(documents: DataFrame, width: int = WIDTH, k: int = ANCHOR) ->
     """
     found = documents.select("doc_id", "tag", "text").mapInArrow(lambda it: _spans(it, width, k), SPAN_SCHEMA)
     spans = written(found, "spans")
-    anchors = (
-        spans.groupBy("anchor")
-        .agg(
-            F.min("doc_id").alias("first_doc"),
-            F.max("doc_id").alias("last_doc"),
-            (F.min("span") == F.max("span")).alias("unbranched"),
-        )
-        .where("first_doc < last_doc")
-        .select("anchor", "first_doc", "unbranched")
+    anchors = spans.groupBy("anchor").agg(
+        F.min("doc_id").alias("first_doc"),
+        F.max("doc_id").alias("last_doc"),
+        (F.min("span") == F.max("span")).alias("unbranched"),
     )
+    # Written before they are joined, so that the join can split an anchor with very many spans.
+    anchors = written(anchors.where("first_doc < last_doc").drop("last_doc"), "anchors")
     shared = written(spans.join(anchors, "anchor"), "shared-spans")
     run = (F.col("start"), (F.col("start") + F.col("windows") + width - 1).alias("end"))
     plain = shared.where("unbranched and doc_id > first_doc").select("doc_id", "tag", *run)
 
     kinds = ["anchor", "span", "check"]
     branched = shared.where("not unbranched")
-    firsts = branched.groupBy(*kinds).agg(F.min("doc_id").alias("holder"))
+    firsts = written(branched.groupBy(*kinds).agg(F.min("doc_id").alias("holder")), "first-spans")
     classed = branched.join(firsts, kinds)
     repeated = classed.where("doc_id > holder").select("doc_id", "tag", *run)
 
@@ -210,8 +207,9 @@ def removed_ranges(documents: DataFrame, width: int = WIDTH, k: int = ANCHOR) ->
         "windows",
     )
     earliest = single.groupBy("digest", "check").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
+    earliest = written(earliest.where("holder < last").drop("last"), "first-windows")
     alone = (
-        single.join(earliest.where("holder < last").drop("last"), ["digest", "check"])
+        single.join(earliest, ["digest", "check"])
         .where("doc_id > holder")
         .select("doc_id", "tag", "start", (F.col("start") + width).alias("end"))
     )
