@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, packing, quality_trees, simhash_blocks, spans
+from ledgerloom.llm import fingerprints, langid, mixing, packing, quality_trees, simhash_blocks, spans
 from ledgerloom.llm.store import written
 from ledgerloom.llm.text import word_count
 
@@ -57,6 +57,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+    text = [fingerprints.hex_digits(F.col(c)) for c in ("fp", "edited_fp")]
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        text[0].alias("fingerprint"), text[1].alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_language_id,
         op8_quality_classifier,
         op9_packing,
+        op10_document_fingerprints,
     )
 }
