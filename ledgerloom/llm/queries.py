@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprints, langid, mixing, neighbours, packing, quality_trees, simhash_blocks, spans
+from ledgerloom.llm import fingerprints, langid, lines, mixing, neighbours, packing, quality_trees, simhash_blocks, spans
 from ledgerloom.llm.store import written
 from ledgerloom.llm.text import word_count
 
@@ -31,6 +31,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup,
         op2_source_mixing,
+        op3_line_dedup,
         op5_nearest_neighbours,
         op6_simhash_near_dedup,
         op7_language_id,
