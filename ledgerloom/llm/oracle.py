@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.licences import TEMPLATES
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
@@ -115,4 +117,49 @@ SELECT l.doc_id, l.size, l.source_size, l.target,
 FROM laid l LEFT JOIN draws d ON l.source IS NOT DISTINCT FROM d.source AND l.shard = d.shard
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op2_source_mixing": OP2}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NORMAL = r"list_filter(string_split(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda s: s <> '')"
+
+OP4 = f"""
+WITH raw AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+),
+units AS (
+    SELECT row_number() OVER () AS u, r, {_NORMAL} AS w FROM (
+        SELECT r, UNNEST(string_split(t, chr(10))) AS x FROM raw
+        UNION ALL
+        SELECT r, x FROM (SELECT r, UNNEST(string_split_regex(t, '\n[ \t\r]*\n')) AS x FROM raw) WHERE contains(x, chr(10))
+    )
+),
+templates AS (
+    SELECT row_number() OVER () AS k, licence, {_NORMAL} AS w
+    FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in TEMPLATES)}) AS v(licence, x)
+),
+unit_pairs AS (SELECT u, p, count(*) AS n FROM (
+    SELECT u, UNNEST(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS p
+    FROM units) GROUP BY ALL),
+template_pairs AS (SELECT k, licence, p, count(*) AS n FROM (
+    SELECT k, licence, UNNEST(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS p
+    FROM templates) GROUP BY ALL),
+unit_size AS (SELECT u, sum(n) AS n FROM unit_pairs GROUP BY u),
+template_size AS (SELECT k, sum(n) AS n FROM template_pairs GROUP BY k),
+scored AS (
+    SELECT u, licence, 2.0::DOUBLE * sum(least(a.n, b.n)) / (any_value(c.n) + any_value(d.n)) AS dice
+    FROM unit_pairs a JOIN template_pairs b USING (p) JOIN unit_size c USING (u) JOIN template_size d USING (k)
+    GROUP BY u, k, licence
+),
+hits AS (SELECT u, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM scored GROUP BY u HAVING max(dice) >= 0.8),
+found AS (
+    SELECT r, count(*) AS n_matches, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence
+    FROM hits JOIN units USING (u) GROUP BY r
+)
+SELECT doc_id, licence, coalesce(dice, 0)::DOUBLE AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches
+FROM raw LEFT JOIN found USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op2_source_mixing": OP2, "op4_licence_scan": OP4}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprints, langid, lines, mixing, neighbours, packing, quality_trees, simhash_blocks, spans
+from ledgerloom.llm import fingerprints, langid, licences, lines, mixing, neighbours, packing, quality_trees, simhash_blocks, spans
 from ledgerloom.llm.store import written
 from ledgerloom.llm.text import word_count
 
@@ -36,6 +36,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_source_mixing,
         op3_line_dedup,
+        op4_licence_scan,
         op5_nearest_neighbours,
         op6_simhash_near_dedup,
         op7_language_id,
