@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.kneser_ney import ORDER, Model, fit, symbols
 from ledgerloom.llm.text import slices, texts_of
@@ -177,8 +178,17 @@ def identify(documents: DataFrame, fitted: LanguageId | None, carried: tuple[str
         return documents.select(*carried, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = documents.sparkSession.sparkContext.broadcast(fitted)
     rows = documents.select(*carried, "text") if "text" not in carried else documents.select(*carried)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)
-    return rows.mapInArrow(lambda it: _predict(it, shared, list(carried)), f"{schema}, lang_pred string, score double, rejected boolean")
+    schema = T.StructType([rows.schema[c] for c in carried])
+    schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType())
+    return rows.mapInArrow(lambda it: _predict(it, shared, list(carried)), schema)
+
+
+def accepted(documents: DataFrame, fitted: LanguageId | None) -> DataFrame:
+    """``documents`` without the rows that ``identify`` rejects."""
+    others = [c for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*others).alias("row"), "text")
+    kept = identify(rows, fitted, ("row", "text")).where("not rejected")
+    return kept.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns])
 
 
 def bucket(doc_id: Column, n: int) -> Column:

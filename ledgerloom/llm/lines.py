@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.components import components
 from ledgerloom.llm.sieve import Sieve, sieve
@@ -314,7 +315,8 @@ def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
         .groupBy("id", "tag")
         .agg(F.collect_list("line").alias("gone"))
     )
-    schema = f"row {named.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_removed long, kept_sha256 string"
+    schema = T.StructType([named.schema["row"]]).add("kept_text", T.StringType())
+    schema = schema.add("n_lines", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
     joined = named.join(gone, ["id", "tag"], "left").select("row", "text", "gone")
     return joined.mapInArrow(_kept, schema)
 
