@@ -158,7 +158,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """
     found = mix(documents)
     again = F.explode(F.array_repeat(F.lit(1), F.col("passes").cast("int")))
-    whole = found.where("passes > 0").select("row", again).select("row.*")
+    whole = found.where("passes > 0 and size > 0").select("row", again).select("row.*")
     cut = found.where("part_to > part_from")
     text = F.col("row.text")
     full = (F.col("part_from") == 0) & (F.col("part_to") == F.col("size"))
