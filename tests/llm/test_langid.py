@@ -1,0 +1,135 @@
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from conftest import SMALL
+from ledgerloom.llm import kneser_ney as K
+from ledgerloom.llm import langid
+from ledgerloom.llm.queries import op7_language_id
+
+
+def symbols_by_hand(text):
+    out = []
+    for c in text.lower():
+        if c.isalpha():
+            out.append(c)
+        elif out and out[-1] != " ":
+            out.append(" ")
+    return out
+
+
+class ByHand:
+    """Interpolated Kneser-Ney with dictionaries, one language."""
+
+    def __init__(self, texts, vocabulary):
+        self.v = vocabulary + 1
+        runs = Counter()
+        for t in texts:
+            s = [" "] * (K.ORDER - 1) + symbols_by_hand(t)
+            runs.update(tuple(s[i : i + K.ORDER]) for i in range(len(s) - K.ORDER + 1))
+        self.counts = {K.ORDER: runs}
+        for n in range(K.ORDER - 1, 0, -1):
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.discount = {}
+        for n, c in self.counts.items():
+            once, twice = (sum(1 for x in c.values() if x == k) for k in (1, 2))
+            self.discount[n] = min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
+        self.total, self.kinds = defaultdict(Counter), defaultdict(Counter)
+        for n, c in self.counts.items():
+            for g, x in c.items():
+                self.total[n][g[:-1]] += x
+                self.kinds[n][g[:-1]] += 1
+
+    def p(self, run):
+        n = len(run)
+        if not n:
+            return 1 / self.v
+        total = self.total[n][run[:-1]]
+        if not total:
+            return self.p(run[1:])
+        d = self.discount[n]
+        own = max(self.counts[n][run] - d, 0) / total
+        return own + d * self.kinds[n][run[:-1]] / total * self.p(run[1:])
+
+    def entropy(self, text):
+        s = [" "] * (K.ORDER - 1) + symbols_by_hand(text)
+        logs = [math.log(self.p(tuple(s[i : i + K.ORDER]))) for i in range(len(s) - K.ORDER + 1)]
+        return -sum(logs) / max(len(logs), 1)
+
+
+def fitted(texts):
+    """Model of several languages from ``language -> texts``."""
+    runs = {}
+    for j, listed in enumerate(texts.values()):
+        s = K.symbols(listed)
+        for row in np.stack([s.codes[s.at - i] for i in range(K.ORDER - 1, -1, -1)], axis=1).tolist():
+            runs.setdefault(tuple(row), [0] * len(texts))[j] += 1
+    return K.fit(list(texts), np.array(list(runs)), np.array(list(runs.values())))
+
+
+def test_probabilities_equal_a_plain_model():
+    texts = {"x": ["The cat sat. The cat ran!", "a cat"], "y": ["der Hund lief", "über den Hügel 12"]}
+    model = fitted(texts)
+    vocabulary = len({c for t in texts.values() for s in t for c in symbols_by_hand(s)})
+    asked = ["the cat", "Hund", "zzz", "", "  12 ", "ß über çat", "a\nb"]
+    entropy, n, letters = langid.cross_entropy(model, asked)
+    for j, lang in enumerate(texts):
+        plain = ByHand(texts[lang], vocabulary)
+        assert entropy[:, j] == pytest.approx([plain.entropy(t) for t in asked], abs=1e-5)
+    assert n.tolist() == [len(symbols_by_hand(t)) for t in asked]
+    assert letters.tolist() == [sum(map(str.isalpha, t)) for t in asked]
+
+
+def test_a_context_sums_to_one():
+    model = fitted({"x": ["banana bandana cabana", "nab a cab"]})
+    known = sorted({c for c in "banana bandana cabana nab a cab"})
+    codes = np.array([ord(c) for run in known for c in "ban" + run], np.uint64)
+    p = np.exp(model.log_probabilities(codes, np.arange(3, len(codes), 4)))[:, 0]
+    assert p.sum() == pytest.approx(1 - np.exp(model.log_probabilities(np.array([98, 97, 110, 0x4E00], np.uint64), np.array([3])))[0, 0], abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return langid.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+
+
+def test_held_out_rows_of_the_given_table(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = op7_language_id(spark, sf).join(docs, "doc_id").where("held_out").collect()
+    assert len(rows) > 200 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows) and not any(r["rejected"] for r in rows)
+
+
+def test_messy_rows(messy, messy_rows, trained):
+    rows = langid.identify(messy(), trained).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in messy_rows)
+    for r in rows:
+        blank = r["doc_id"] in (3, 4, 5) or (r["doc_id"] is None and r["score"] == 0)
+        assert (r["lang_pred"] == "und") == blank and (r["score"] == 0) == blank
+        assert r["rejected"] or not blank
+
+
+def test_rejection_is_for_texts_no_language_explains(documents, trained):
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
+    consonants = " ".join("".join(rng.choice("qxzjkvwp") for _ in range(7)) for _ in range(60))
+    out = {r["doc_id"]: r["rejected"] for r in langid.identify(documents([(1, noise), (2, consonants), (3, "the and of"), (4, "7")]), trained).collect()}
+    assert out == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_accepted_keeps_rows_as_they_are(messy, trained):
+    docs = messy()
+    kept = langid.accepted(docs, trained)
+    assert kept.schema == docs.schema
+    assert {r["text"] for r in kept.collect()}.isdisjoint({None, "", " \t\n \n"})
+
+
+def test_nothing_to_learn_from(documents):
+    assert langid.train(documents([])) is None
+    rows = langid.identify(documents([(1, "text")]), None).collect()
+    assert [tuple(r) for r in rows] == [(1, "und", 0.0, True)]
+    assert langid.identify(documents([]), None).collect() == []
