@@ -34,8 +34,9 @@ PIECE_SCHEMA = (
 
 # A run of letters and the ASCII marks after it, which the tokenizer never joins.
 PARTS = r"^(?P<word>\pL+)(?P<tail>[!-/:-@\[-`{-~]*)$"
-# Letters that are composed already and whose lower case is theirs alone.
-SIMPLE = r"^[a-zà-öø-ÿ]+$"
+# Letters that are composed already and whose lower case is one such letter; and that lower case.
+PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+SIMPLE = r"^[a-zß-öø-ÿ]+$"
 
 
 class WordEncoder:
@@ -108,12 +109,11 @@ class WordEncoder:
         distinct = coded.dictionary
         parts = pc.extract_regex(distinct, PARTS)
         split = np.asarray(parts.is_valid())
-        lower = pc.utf8_lower(parts.field("word"))
+        # Other words keep their case: lowering them is the tokenizer's business.
+        whole = parts.field("word")
+        lower = pc.if_else(pc.match_substring_regex(whole, PLAIN), pc.utf8_lower(whole), whole)
         word = pc.if_else(pa.array(split), lower, distinct)
         tail = pc.if_else(pa.array(split), parts.field("tail"), "")
-        # Lower case is left to the tokenizer where it is not plain.
-        odd = pc.and_(pa.array(split), pc.invert(pc.match_substring_regex(word, SIMPLE)))
-        word = pc.if_else(odd, parts.field("word"), word)
         pairs = np.empty((len(distinct), 2), np.int64)
         for column, pieces in enumerate((word, tail)):
             own = pieces.dictionary_encode()
