@@ -22,7 +22,7 @@ BITS = 64 * HASHES
 # Most that one term can weigh.
 HEAVIEST = 15
 # Rows of an order bucket, about, and cells that quantiles cut the ids into.
-BUCKET_ROWS, CELLS = 8192, 512
+BUCKET_ROWS, CELLS = 1024, 512
 
 LANES = (1 << 32) | 1
 
