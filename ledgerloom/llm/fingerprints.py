@@ -42,7 +42,7 @@ def fingerprint_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     weight = F.least(F.lit(HEAVIEST), F.octet_length("a") + F.coalesce(F.octet_length("b"), F.lit(0)))
     hashed = terms.select(
         *keys,
-        F.coalesce(weight, F.lit(0)).cast("long").alias("w"),
+        F.when(F.col("a").isNull(), 0).otherwise(weight).cast("long").alias("w"),
         *[F.xxhash64("a", "b", F.lit(i)).alias(f"h{i}") for i in range(HASHES)],
     )
     votes = [
