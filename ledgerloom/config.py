@@ -84,6 +84,15 @@ def check_horizon(horizon: int) -> int:
     return horizon
 
 
+# Fixed value: the one series that has a file format of its own.
+ELECTRICITY = "Electricity"
+
+
+def driver_name(name: str) -> str:
+    """Series are known by their name in capitals, electricity by its own."""
+    return ELECTRICITY if name.lower() == ELECTRICITY.lower() else name.upper()
+
+
 @dataclass(frozen=True)
 class JobRequest:
     """What one feature run needs, as parsed from a JSON job request."""
@@ -111,8 +120,9 @@ class JobRequest:
     def from_dict(cls, request: Mapping) -> JobRequest:
         """Parse a request, naming every absent field at once.
 
-        Years and lags may arrive as text.
+        Years and lags may arrive as text; driver names in any case.
         """
+        # The fields of a job request.
         spans = {
             "external_driver_duration": ("start_year", "end_year"),
             "material_price_duration": ("start_year", "end_year"),
@@ -123,8 +133,8 @@ class JobRequest:
         for name, bounds in spans.items():
             block = request.get(name) or {}
             absent += [f"{name}.{b}" for b in bounds if name not in absent and block.get(b) is None]
-        drivers = request.get("external_driver") or ()
-        if "Electricity" in drivers and request.get("electricity_file") is None:
+        drivers = [driver_name(d) for d in request.get("external_driver") or ()]
+        if ELECTRICITY in drivers and request.get("electricity_file") is None:
             absent.append("electricity_file")
         if absent:
             raise ValueError(f"missing or invalid: {', '.join(absent)}")

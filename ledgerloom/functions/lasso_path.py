@@ -16,11 +16,13 @@ import numpy as np
 TINY = 1e-10
 
 
-def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
+def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolved: list) -> Iterator[tuple]:
     """Yield ``(rows, high, low, w, d)``: for ``alpha`` in ``[low, high]`` the
     weights of problem ``rows[k]`` are ``w[k] + (high[k] - alpha) * d[k]``.
 
-    ``gram`` is ``[b, p, p]``, ``corr`` ``[b, p]``, ``floor`` ``[b]``.
+    ``gram`` is ``[b, p, p]``, ``corr`` ``[b, p]``, ``floor`` ``[b]``. A problem whose
+    path does not reach its floor in any sensible number of steps is named in
+    ``unsolved``; the others are not held up by it.
     """
     size = corr.shape[1]
     rows = np.flatnonzero(np.abs(corr).max(axis=1) > floor)
@@ -32,7 +34,7 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Ite
     sign = np.zeros_like(corr)
     sign[here, lead] = np.sign(corr[here, lead])
     left = np.full(len(rows), -1)
-    for _ in range(50 * size + 50):
+    for _ in range(steps_allowed(size)):
         if not len(rows):
             return
         active = sign != 0
@@ -81,14 +83,21 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray) -> Ite
         if not going.all():
             rows, gram, corr, floor = rows[going], gram[going], corr[going], floor[going]
             w, alpha, sign, left = w[going], alpha[going], sign[going], left[going]
-    raise ArithmeticError("the path did not reach its smallest alpha")
+    unsolved.extend(rows.tolist())
+
+
+def steps_allowed(size: int) -> int:
+    """Far more steps than paths of ``size`` features take; beyond it, rounding makes one cycle."""
+    return 50 * size + 50
 
 
 def lasso_weights(gram: np.ndarray, corr: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Weights of each problem at its own ``alpha``."""
+    """Weights of each problem at its own ``alpha``; NaN where the path was not solved."""
     weights = np.zeros_like(corr)
-    for rows, high, low, w, d in lasso_segments(gram, corr, alpha):
+    unsolved: list[int] = []
+    for rows, high, low, w, d in lasso_segments(gram, corr, alpha, unsolved):
         weights[rows] = w + (high - low)[:, None] * d
+    weights[unsolved] = np.nan
     return weights
 
 
@@ -139,10 +148,12 @@ def fold_scores(
     """R2 of each problem on its held-out rows, at every ``alpha``.
 
     ``xh`` and ``yh`` are those rows, centred by the training means and padded
-    with zeros; ``sst`` is the sum of squares of ``y`` around its own mean.
+    with zeros; ``sst`` is the sum of squares of ``y`` around its own mean. A
+    problem whose path was not solved scores NaN.
     """
+    unsolved: list[int] = []
     sse = np.repeat((yh**2).sum(axis=1)[:, None], len(alphas), axis=1)
-    for rows, high, low, w, d in lasso_segments(gram, corr, np.full(len(corr), alphas.min())):
+    for rows, high, low, w, d in lasso_segments(gram, corr, np.full(len(corr), alphas.min()), unsolved):
         fitted = xh[rows] @ np.stack([w, d], axis=2)
         miss, move = yh[rows] - fitted[:, :, 0], fitted[:, :, 1]
         flat, linear, square = (miss**2).sum(axis=1), (miss * move).sum(axis=1), (move**2).sum(axis=1)
@@ -153,11 +164,16 @@ def fold_scores(
     varies = sst > 0
     score = np.where(varies[:, None], 1 - sse / np.where(varies, sst, 1.0)[:, None], 0.0)
     score[~varies & (sse <= 0).all(axis=1)] = 1.0
+    score[unsolved] = np.nan
     return score
 
 
 def best_alpha(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best mean score per problem, and that score; ``[b, folds, alphas]``."""
+    """Index of the best mean score per problem, and that score; ``[b, folds, alphas]``.
+
+    Scores that agree to nine places are equal, and the first of them wins, so that the
+    choice does not hang on the order in which sums are added up.
+    """
     mean = scores.mean(axis=1)
-    best = mean.argmax(axis=1)
+    best = mean.round(9).argmax(axis=1)
     return best, mean[np.arange(len(best)), best]

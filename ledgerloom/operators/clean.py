@@ -19,6 +19,10 @@ def in_years(ts, years: YearWindow) -> Column:
     return (ts >= first) & (ts < after)
 
 
+def lower_groups(ledger: DataFrame) -> DataFrame:
+    return ledger.withColumn("group_desc", F.lower("group_desc")) if "group_desc" in ledger.columns else ledger
+
+
 def clean_ledger(ledger: DataFrame, years: YearWindow, extra: Iterable[str] = ()) -> DataFrame:
     """Columns a panel needs, inside the years, with month keys.
 
@@ -26,9 +30,7 @@ def clean_ledger(ledger: DataFrame, years: YearWindow, extra: Iterable[str] = ()
     sorted: order means nothing to a distributed frame.
     """
     keep = ["rm_code", *(c for c in ("group_desc",) if c in ledger.columns), "ts", "price", *extra]
-    clean = ledger.select(*keep).where(in_years("ts", years))
-    if "group_desc" in keep:
-        clean = clean.withColumn("group_desc", F.lower("group_desc"))
+    clean = lower_groups(ledger.select(*keep).where(in_years("ts", years)))
     return clean.withColumns(
         {
             "price": F.col("price").cast("double"),

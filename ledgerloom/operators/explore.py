@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.months import first_day, month_idx
 from ledgerloom.operators.features import join_monthly
+from ledgerloom.operators.scaling import safe_variance
 
 
 def volume_by_year(ledger: DataFrame) -> DataFrame:
@@ -45,9 +46,14 @@ def codes_per_group(ledger: DataFrame) -> DataFrame:
     return counts.withColumn("is_max", F.col("n_codes") == most)
 
 
+def complete_counts(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key, rows with a null left out."""
+    return ledger.na.drop("any").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def code_catalog(ledger: DataFrame) -> DataFrame:
     """Rows per group and code, rows with a null left out."""
-    return ledger.na.drop("any").groupBy("group_desc", "rm_code").agg(F.count(F.lit(1)).alias("n_rows"))
+    return complete_counts(ledger, ["group_desc", "rm_code"])
 
 
 def codes_by_group(ledger: DataFrame) -> DataFrame:
@@ -62,12 +68,15 @@ def monthly_indices(calendar_rows: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def two_level_panel(ledger: DataFrame, indices: DataFrame, names: list[str], n_months: int) -> DataFrame:
+def two_level_panel(
+    ledger: DataFrame, indices: DataFrame, names: list[str], n_months: int, months: Column | None = None
+) -> DataFrame:
     """Day level, then month level, next to the monthly indices.
 
     Price is the mean of daily means, weight the sum; a month without purchases
-    keeps a row with weight 0 and no price. ``indices`` has one row per month.
-    The map per code holds months, so the calendar bounds it.
+    keeps a row with weight 0 and no price. ``indices`` has one row per month;
+    ``months`` is the array of these months, if it can be had without reading the
+    indices once more. The map per code holds months, so the calendar bounds it.
     """
     daily = ledger.groupBy("rm_code", F.col("ts").cast("date").alias("date")).agg(
         F.sum("weight").alias("weight"), F.avg("price").alias("price")
@@ -75,7 +84,8 @@ def two_level_panel(ledger: DataFrame, indices: DataFrame, names: list[str], n_m
     monthly = daily.groupBy("rm_code", month_idx("date").alias("month_idx")).agg(
         F.sum("weight").alias("weight"), F.avg("price").alias("price")
     )
-    months = indices.agg(F.collect_set("month_idx").alias("months")).scalar()
+    if months is None:
+        months = indices.agg(F.collect_set("month_idx").alias("months")).scalar()
     entry = F.struct("month_idx", F.struct("weight", "price"))
     full = (
         monthly.groupBy("rm_code")
@@ -97,19 +107,26 @@ def two_level_panel(ledger: DataFrame, indices: DataFrame, names: list[str], n_m
 def driver_correlation(panel: DataFrame, names: list[str]) -> DataFrame:
     """Pearson correlation of price with each index per code, nulls as 0.
 
-    ``is_best`` marks the index with the highest correlation (first listed on ties).
+    Null where price or index does not vary. ``is_best`` marks the index with the
+    highest correlation (first listed on ties); a null one never is.
     """
     price = F.coalesce("price", F.lit(0.0))
-    wide = panel.groupBy("rm_code").agg(
-        *[F.corr(F.coalesce(n, F.lit(0.0)), price).alias(n) for n in names]
-    )
+
+    def varied(c):
+        return F.nullif(safe_variance(F.avg(c), F.var_pop(c), F.count(c)), F.lit(0.0))
+
+    def correlation(name: str):
+        index = F.coalesce(name, F.lit(0.0))
+        return F.covar_pop(index, price) / F.sqrt(varied(index) * varied(price))
+
+    wide = panel.groupBy("rm_code").agg(*[correlation(n).alias(n) for n in names])
     best = F.greatest(*names) if len(names) > 1 else F.col(names[0])
     first_best = F.coalesce(*[F.when(F.col(n) == best, F.lit(n)) for n in names])
     rows = F.array(
         *[F.struct(F.lit(n).alias("driver"), F.col(n).alias("correlation")) for n in names]
     )
     return wide.select("rm_code", first_best.alias("best"), F.inline(rows)).select(
-        "rm_code", "driver", "correlation", (F.col("driver") == F.col("best")).alias("is_best")
+        "rm_code", "driver", "correlation", F.col("driver").eqNullSafe(F.col("best")).alias("is_best")
     )
 
 

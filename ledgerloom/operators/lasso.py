@@ -103,7 +103,11 @@ def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train
     corr = np.array([zx[b, :n].T @ zy[b, :n] / n for b, n in enumerate(sizes)])
     weights = lasso_weights(gram, corr, alphas[best])
     gaps = optimality_gap(gram, corr, alphas[best], weights)
+    solved = np.isfinite(r2) & np.isfinite(weights).all(axis=1)
     for b, (cell, test, known, y_mean, y_scale) in enumerate(jobs):
+        if not solved[b]:
+            yield cell | {"status": "path not solved", "coefs": None}
+            continue
         predicted = zx[b][test] @ weights[b] * y_scale + y_mean
         miss = np.abs(y[test] - predicted) / np.maximum(np.abs(y[test]), EPSILON)
         yield cell | {
@@ -147,8 +151,9 @@ def backtest(
     """Fit and score one model per code, feature set, horizon and window.
 
     The training set of a window is everything before it. A cell with fewer
-    than ``min_train`` training rows (the folds need two rows each) or without
-    test rows is reported in ``status`` instead of failing the job.
+    than ``min_train`` training rows (the folds need two rows each), without
+    test rows or with an unsolved path is reported in ``status`` instead of
+    failing the job.
 
     ``partitions`` splits the codes over tasks. It is set by count, since the
     rows are few bytes but much work and would be coalesced by size.

@@ -3,7 +3,8 @@
 A month without a purchase takes the price of the last purchase before it.
 Gaps are never found by joining a grid: one ``lead`` over the months that do
 have purchases tells how far each price carries, and ``explode`` writes those
-months out. Raw rows are shuffled once, already combined per day and code.
+months out. Raw rows are shuffled once, already combined per code and timestamp:
+with dates that is a row per day, with times of day hardly fewer rows than before.
 
 The calendar is the set of observed years times the set of observed months of
 the whole ledger. It enters as a scalar subquery: one array of at most twelve
@@ -135,21 +136,26 @@ def month_grid(ledger: DataFrame, calendar: str | YearWindow = "observed") -> Da
 
 
 def missing_cells(ledger: DataFrame, calendar: str | YearWindow = "observed") -> DataFrame:
-    """Grid cells without a purchase; ``is_leading`` marks those before the first.
+    """Grid cells without a priced purchase; ``is_leading`` marks those before the first.
 
-    The array per code holds months, so the calendar bounds it.
+    A code without any price misses every cell. The array per code holds months,
+    so the calendar bounds it.
     """
+    return _absent_cells(ledger, F.col("price").isNotNull(), calendar)
+
+
+def _absent_cells(ledger: DataFrame, counts: Column, calendar: str | YearWindow) -> DataFrame:
+    """Cells of all codes of the ledger that have no row for which ``counts`` holds."""
     bought = (
-        ledger.where(F.col("price").isNotNull())
-        .select(*KEYS)
-        .distinct()
+        ledger.groupBy(*KEYS)
+        .agg(F.max(counts).alias("counts"))
         .groupBy("rm_code")
-        .agg(F.collect_list("month_idx").alias("bought"))
+        .agg(F.collect_list(F.when(F.col("counts"), F.col("month_idx"))).alias("bought"))
     )
     gaps = F.array_except(calendar_months(ledger, calendar), F.col("bought"))
     return bought.select(
         "rm_code", F.array_min("bought").alias("first_month"), F.explode(gaps).alias("month_idx")
-    ).select(*KEYS, (F.col("month_idx") < F.col("first_month")).alias("is_leading"))
+    ).select(*KEYS, F.coalesce(F.col("month_idx") < F.col("first_month"), F.lit(True)).alias("is_leading"))
 
 
 def grid_left_facts(ledger: DataFrame, calendar: str | YearWindow = "observed") -> DataFrame:
@@ -159,7 +165,7 @@ def grid_left_facts(ledger: DataFrame, calendar: str | YearWindow = "observed")
     not shuffled: only the cells it lacks are computed and appended.
     """
     facts = ledger.select(*KEYS, "ts", "price")
-    empty = missing_cells(ledger, calendar).select(
+    empty = _absent_cells(ledger, F.lit(True), calendar).select(
         *KEYS, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("price")
     )
     return facts.unionByName(empty)

@@ -131,6 +131,8 @@ def fit_pooled(
     alpha = alphas[best]
     _, cov = _moments(total)
     w = lasso_weights(cov[None, :-1, :-1], cov[None, :-1, -1], alpha)[0]
+    if not np.isfinite(w).all():
+        raise ArithmeticError("the path of the pooled model was not solved")
     raw = w * scale[-1] / scale[:-1]
     return PooledLasso(
         intercept=float(mean[-1] - raw @ mean[:-1]),

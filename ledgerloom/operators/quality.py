@@ -40,12 +40,22 @@ def ledger_report(ledger: DataFrame, codes: Iterable | None = None, target: str
     Rows are combined per (code, group) first, so the checks on codes cost no
     further pass over the ledger.
     """
-    per_pair = ledger.groupBy("rm_code", "group_desc").agg(
+    return report_counts(ledger_counts(ledger), codes, target)
+
+
+def ledger_counts(ledger: DataFrame) -> DataFrame:
+    """What the checks count, per code (and group, if the ledger has one)."""
+    keys = [c for c in ("rm_code", "group_desc") if c in ledger.columns]
+    return ledger.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ts").isNull()).alias("ts"),
         F.count_if(F.col("price").isNull()).alias("price"),
         F.count_if(F.col("price") <= 0).alias("low"),
     )
+
+
+def report_counts(per_pair: DataFrame, codes: Iterable | None = None, target: str | None = None) -> DataFrame:
+    """The ledger report from counts per code and group (``ledger_counts``)."""
     per_code = per_pair.groupBy("rm_code").agg(
         *[F.sum(c).alias(c) for c in ("n", "ts", "price", "low")],
         F.sum(F.when(F.col("group_desc").isNull(), F.col("n")).otherwise(0)).alias("no_group"),
@@ -76,9 +86,20 @@ def ledger_report(ledger: DataFrame, codes: Iterable | None = None, target: str
     return unfold_checks(per_code.agg(*[c.alias(name) for name, c in checks.items()]))
 
 
-def driver_report(series: DataFrame) -> DataFrame:
-    """A null left after filling forward stands before the first value."""
-    return expectations(series, {"null_driver_value": F.col("value").isNull()})
+def driver_report(series: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """A null left after filling forward stands before the first value.
+
+    With ``names``, also how many of these drivers have no row at all.
+    """
+    counts = [
+        (F.count(F.lit(1)) == 0).cast("long").alias("is_empty"),
+        F.count_if(F.col("value").isNull()).alias("null_driver_value"),
+    ]
+    if names is not None:
+        absent = [1 - F.max(F.when(F.col("driver") == n, 1).otherwise(0)) for n in names]
+        total = reduce(Column.__add__, [F.coalesce(a, F.lit(1)) for a in absent])
+        counts.append(total.cast("long").alias("driver_not_found"))
+    return unfold_checks(series.agg(*counts))
 
 
 def feature_report(features: DataFrame, missing: DataFrame, names: list[str], lags: LagWindow) -> DataFrame:
@@ -90,9 +111,21 @@ def feature_report(features: DataFrame, missing: DataFrame, names: list[str], la
     return expectations(marked, checks | {"imputed_target": F.col("_unbought").isNotNull()})
 
 
+def not_more_rows(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows that a step has added although it may only drop some."""
+    before_n = before.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return unfold_checks(after.agg(F.greatest(F.count(F.lit(1)) - before_n, F.lit(0)).alias("rows_added")))
+
+
+def same_rows(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows that a step has added or lost although it must keep their number."""
+    before_n = before.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return unfold_checks(after.agg(F.abs(F.count(F.lit(1)) - before_n).alias("rows_changed")))
+
+
 def require(report: DataFrame) -> None:
-    """Run a report and raise on the first broken checks."""
-    broken = report.where("violations > 0").orderBy("check").take(20)
+    """Run a report and raise, naming every broken check; a report has a row per check."""
+    broken = report.where("violations > 0").orderBy("check").collect()
     if broken:
         raise ValueError("; ".join(f"{row['check']}: {row['violations']}" for row in broken))
 

@@ -7,13 +7,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.functions.metrics import EPSILON
 
 
-def safe_scale(mean: Column, variance: Column, n: Column) -> Column:
-    """Population standard deviation; 1 where the column does not vary.
-
-    Variance within the rounding error of its own computation counts as none.
-    """
+def safe_variance(mean: Column, variance: Column, n: Column) -> Column:
+    """Population variance; 0 within the rounding error of its own computation."""
     noise = n * EPSILON * variance + (n * mean * EPSILON) ** 2
-    return F.when(variance <= noise, F.lit(1.0)).otherwise(F.sqrt(variance))
+    return F.when(variance <= noise, F.lit(0.0)).otherwise(variance)
+
+
+def safe_scale(mean: Column, variance: Column, n: Column) -> Column:
+    """Population standard deviation; 1 where the column does not vary."""
+    varied = safe_variance(mean, variance, n)
+    return F.when(varied == 0, F.lit(1.0)).otherwise(F.sqrt(varied))
 
 
 def standardize(df: DataFrame, keys: list[str], columns: list[str], fit: Column | None = None) -> DataFrame:

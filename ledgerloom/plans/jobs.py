@@ -7,15 +7,22 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.config import ForecastWindow, JobRequest, LagWindow, YearWindow
+from ledgerloom.config import ELECTRICITY, ForecastWindow, JobRequest, LagWindow, YearWindow, driver_name
+from ledgerloom.functions.months import month_idx
 from ledgerloom.operators.baseline import mean_over_windows, naive_backtest, persistence_mape
-from ledgerloom.operators.clean import clean_ledger
+from ledgerloom.operators.clean import clean_ledger, lower_groups
 from ledgerloom.operators.encode import one_hot_codes
 from ledgerloom.operators.explore import driver_correlation, monthly_indices, peak_shift_days, two_level_panel
 from ledgerloom.operators.features import ar_matrix, feature_matrix
 from ledgerloom.operators.lasso import backtest
-from ledgerloom.operators.panel import monthly_panel
-from ledgerloom.operators.quality import ledger_report, require
+from ledgerloom.operators.panel import missing_cells, monthly_panel
+from ledgerloom.operators.quality import (
+    check_feature_columns,
+    driver_report,
+    feature_report,
+    ledger_report,
+    require,
+)
 from ledgerloom.sources.drivers import monthly_series, read_driver_series, read_electricity
 from ledgerloom.sources.ledger import read_ledger
 
@@ -24,12 +31,12 @@ def read_request(
     spark: SparkSession, request: JobRequest, driver_paths: Mapping[str, str]
 ) -> tuple[DataFrame, DataFrame]:
     """Ledger and drivers of a request from landed CSV files."""
-    series = []
+    series, paths = [], {driver_name(name): path for name, path in driver_paths.items()}
     for driver in request.drivers:
-        if driver == "Electricity":
+        if driver == ELECTRICITY:
             series.append(read_electricity(spark, request.electricity_path, request.driver_years))
         else:
-            path = driver_paths[driver]
+            path = paths[driver]
             series.append(read_driver_series(spark, path, driver, request.driver_years))
     return read_ledger(spark, request.ledger_path), reduce(DataFrame.unionByName, series)
 
@@ -40,16 +47,23 @@ def feature_plan(
     """Feature run of a job request: clean, fill, lag, drop filled months.
 
     ``ledger`` is normalised, ``drivers`` long and cleaned. The requested codes
-    become one-hot columns. ``check`` runs the ledger checks first and raises.
+    become one-hot columns. ``check`` runs the checks on ledger, drivers, columns
+    and rows of the matrix and raises; a requested driver or code without rows is
+    one of them. The ledger is judged before its year filter, which would hide
+    rows without a date.
     """
     clean = clean_ledger(ledger, request.price_years)
+    names, codes = list(request.drivers), list(request.rm_codes)
     if check:
-        require(ledger_report(clean, request.rm_codes, request.target))
-    panel = monthly_panel(clean, codes=list(request.rm_codes))
+        require(ledger_report(lower_groups(ledger), codes, request.target))
+        require(driver_report(drivers, names))
     features = feature_matrix(
-        panel, monthly_series(drivers), list(request.drivers), request.lags, request.driver_years
+        monthly_panel(clean, codes=codes), monthly_series(drivers), names, request.lags, request.driver_years
     )
-    return one_hot_codes(features, request.rm_codes)
+    if check:
+        check_feature_columns(features, names, request.lags)
+        require(feature_report(features, missing_cells(clean), names, request.lags))
+    return one_hot_codes(features, codes)
 
 
 def naive_plan(
@@ -75,7 +89,8 @@ def exploration_plan(
     ledger: DataFrame, calendar_rows: DataFrame, names: list[str], n_months: int
 ) -> dict[str, DataFrame]:
     """Monthly panel beside its indices, correlations and peak shifts."""
-    panel = two_level_panel(ledger, monthly_indices(calendar_rows, names), names, n_months)
+    months = calendar_rows.agg(F.collect_set(month_idx("date")).alias("months")).scalar()
+    panel = two_level_panel(ledger, monthly_indices(calendar_rows, names), names, n_months, months)
     return {
         "panel": panel,
         "correlation": driver_correlation(panel, names),

@@ -236,6 +236,65 @@ LASSO_ONE = " UNION ALL ".join(
     for h in HORIZONS
 )
 
+# One feature per model: its folds, all candidates and the choice have closed forms.
+SEARCH = f"""
+horizons(horizon) AS (VALUES {", ".join(f"(CAST({h} AS INTEGER))" for h in HORIZONS)}),
+long AS (
+  SELECT rm_code, ts, average_price AS y, horizon,
+         CASE horizon {" ".join(f"WHEN {h} THEN AR_{h}" for h in HORIZONS)} END AS x
+  FROM ar_matrix, horizons),
+sizes AS (
+  SELECT l.rm_code, l.horizon, w.test, any_value(w.a) AS a, any_value(w.b) AS b,
+         CAST(count(*) FILTER (l.ts < w.a) AS INTEGER) AS n_train,
+         CAST(count(*) FILTER (l.ts >= w.a AND l.ts < w.b) AS INTEGER) AS n_test,
+         avg(l.x) FILTER (l.ts < w.a) AS mx, avg(l.y) FILTER (l.ts < w.a) AS my,
+         stddev_pop(l.x) FILTER (l.ts < w.a) AS dx, stddev_pop(l.y) FILTER (l.ts < w.a) AS dy
+  FROM long l CROSS JOIN windows w GROUP BY 1, 2, 3),
+cells AS (
+  SELECT *, CASE WHEN dx = 0 THEN 1 ELSE dx END AS sx, CASE WHEN dy = 0 THEN 1 ELSE dy END AS sy,
+         CASE WHEN n_train < 10 THEN 'too few training rows' WHEN n_test = 0 THEN 'no test rows' ELSE 'ok' END AS status
+  FROM sizes),
+train AS (
+  SELECT c.rm_code, c.horizon, c.test, c.n_train, (l.x - mx) / sx AS x, (l.y - my) / sy AS y,
+         row_number() OVER (PARTITION BY c.rm_code, c.horizon, c.test ORDER BY l.ts) - 1 AS i
+  FROM cells c JOIN long l ON l.rm_code = c.rm_code AND l.horizon = c.horizon AND l.ts < c.a
+  WHERE status = 'ok'),
+folded AS (
+  SELECT *, CASE WHEN i < (n_train % 5) * (n_train // 5 + 1) THEN i // (n_train // 5 + 1)
+            ELSE (n_train % 5) + (i - (n_train % 5) * (n_train // 5 + 1)) // (n_train // 5) END AS fold
+  FROM train),
+sides AS (
+  SELECT f.rm_code, f.horizon, f.test, k.fold, avg(x) FILTER (f.fold <> k.fold) AS xm, avg(y) FILTER (f.fold <> k.fold) AS ym,
+         var_pop(x) FILTER (f.fold <> k.fold) AS g, covar_pop(x, y) FILTER (f.fold <> k.fold) AS c,
+         count(*) FILTER (f.fold = k.fold) AS n, avg(x) FILTER (f.fold = k.fold) AS hx, avg(y) FILTER (f.fold = k.fold) AS hy,
+         var_pop(x) FILTER (f.fold = k.fold) AS vx, var_pop(y) FILTER (f.fold = k.fold) AS vy,
+         covar_pop(x, y) FILTER (f.fold = k.fold) AS vxy
+  FROM folded f CROSS JOIN (SELECT unnest(range(5)) AS fold) k GROUP BY 1, 2, 3, 4),
+alphas AS (SELECT i, 0.01::DOUBLE + 10 * i * (0.99::DOUBLE / 2999) AS alpha FROM (SELECT unnest(range(300)) AS i)),
+fits AS (
+  SELECT s.*, i, alpha, CASE WHEN abs(c) <= alpha THEN 0 ELSE sign(c) * (abs(c) - alpha) / g END AS beta
+  FROM sides s CROSS JOIN alphas),
+errors AS (
+  SELECT *, n * (vy - 2 * beta * vxy + beta * beta * vx + (hy - ym - beta * (hx - xm)) ** 2) AS sse FROM fits),
+means AS (
+  SELECT rm_code, horizon, test, i, any_value(alpha) AS alpha, avg(CASE WHEN vy > 0 THEN 1 - sse / (n * vy) ELSE 0 END) AS r2
+  FROM errors GROUP BY 1, 2, 3, 4),
+chosen AS (
+  SELECT * FROM means
+  QUALIFY row_number() OVER (PARTITION BY rm_code, horizon, test ORDER BY round(r2, 9) DESC, i) = 1),
+weights AS (
+  SELECT t.rm_code, t.horizon, t.test, any_value(alpha) AS alpha, any_value(r2) AS cv_r2,
+         CASE WHEN abs(avg(x * y)) <= any_value(alpha) THEN 0
+              ELSE sign(avg(x * y)) * (abs(avg(x * y)) - any_value(alpha)) / avg(x * x) END AS coef
+  FROM train t JOIN chosen USING (rm_code, horizon, test) GROUP BY 1, 2, 3),
+tested AS (
+  SELECT w.rm_code, w.horizon, w.test, 100 * avg({ape('l.y', 'my + sy * coef * (l.x - mx) / sx')}) AS mape_pct
+  FROM weights w JOIN cells c USING (rm_code, horizon, test)
+  JOIN long l ON l.rm_code = c.rm_code AND l.horizon = c.horizon AND l.ts >= c.a AND l.ts < c.b GROUP BY 1, 2, 3),
+models AS (
+  SELECT c.rm_code, c.horizon, c.test, n_train, n_test, status, alpha, cv_r2, coef, mape_pct
+  FROM cells c LEFT JOIN weights USING (rm_code, horizon, test) LEFT JOIN tested USING (rm_code, horizon, test))"""
+
 WEEKDAYS = "strftime(date, '%A')"
 
 BACKS = ", ".join(f"CAST(date - INTERVAL {i} MONTH AS DATE) AS back_{i}" for i in LAGS.lags)
@@ -485,8 +544,50 @@ ORACLES: dict[str, str] = {
              CASE WHEN n_train < 10 THEN 'too few training rows' WHEN n_test = 0 THEN 'no test rows'
                   ELSE 'ok' END AS status
       FROM counts CROSS JOIN (VALUES {", ".join(f"(CAST({h} AS INTEGER))" for h in HORIZONS)}) h(horizon)""",
-    "quality_report": f"""WITH {FULL}, {FEATURES},
-      clean AS (SELECT * FROM full_ledger WHERE year(ts) BETWEEN {YEARS.first} AND {YEARS.last})
+    "lasso_search_single_lag": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS}, {SEARCH}
+      SELECT rm_code, horizon, test, n_train, n_test, status, {rnd('alpha', 5)} AS alpha, {rnd('cv_r2', 5)} AS cv_r2,
+             {rnd('mape_pct', 4)} AS mape_pct, {rnd('coef', 5)} AS coef
+      FROM models""",
+    "coef_export_single_lag": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS}, {SEARCH}
+      SELECT rm_code, horizon, test, {", ".join(
+          f"CASE WHEN horizon = {h} THEN {rnd('coef', 5)} END AS AR_{h}" for h in HORIZONS)}
+      FROM models WHERE status = 'ok'""",
+    "backtest_matrix_single_lag": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS}, {SEARCH},
+      scores AS (
+        SELECT rm_code, s AS feature_set, horizon, mape_pct
+        FROM models, (VALUES ('AR'), ('ALL')) v(s) WHERE status = 'ok' AND horizon = 1
+        UNION ALL SELECT rm_code, 'NAIVE', horizon, mape_pct FROM ({PERSISTENCE}) WHERE horizon = 1)
+      SELECT rm_code, feature_set, horizon, count(*) AS n_windows, {rnd('avg(mape_pct)', 3)} AS mape_pct
+      FROM scores GROUP BY 1, 2, 3""",
+    "request_features": f"""WITH {ar_matrix('p_brand', range(1, 5))},{SERIES},
+      asked AS (SELECT month_idx, URGENT, HIGH FROM wide WHERE URGENT IS NOT NULL)
+      SELECT a.rm_code, 'goods' AS group_desc, a.month_idx, a.ts, a.average_price,
+             {", ".join(f"a.AR_{i}, l{i}.URGENT AS URGENT_{i}, l{i}.HIGH AS HIGH_{i}" for i in range(1, 5))},
+             {flagged('a.rm_code')}
+      FROM ar_matrix a {" ".join(f"JOIN asked l{i} ON l{i}.month_idx = a.month_idx - {i}" for i in range(1, 5))}
+      WHERE {" AND ".join(f"l{i}.HIGH IS NOT NULL" for i in range(1, 5))}""",
+    "quality_findings": f"""WITH odd AS (
+        SELECT l_suppkey AS rm_code, lower(p_type) AS group_desc,
+               CASE WHEN l_quantity > 1 THEN l_shipdate END AS ts,
+               CASE WHEN l_quantity < 50 THEN floor(100 * l_extendedprice / l_quantity + 0.5) - 100000 END AS price
+        FROM lineitem JOIN part ON l_partkey = p_partkey),
+      codes AS (SELECT rm_code, max(group_desc) AS g FROM odd GROUP BY 1)
+      SELECT 'is_empty' AS check, CAST(count(*) = 0 AS BIGINT) AS violations FROM odd
+      UNION ALL SELECT 'null_ts', count(*) FROM odd WHERE ts IS NULL
+      UNION ALL SELECT 'null_price', count(*) FROM odd WHERE price IS NULL
+      UNION ALL SELECT 'null_group_desc', count(*) FROM odd WHERE group_desc IS NULL
+      UNION ALL SELECT 'null_rm_code', count(*) FROM odd WHERE rm_code IS NULL
+      UNION ALL SELECT 'price_not_positive', count(*) FROM odd WHERE price <= 0
+      UNION ALL SELECT 'code_in_several_groups', count(*) FROM (
+        SELECT rm_code FROM odd GROUP BY 1 HAVING count(DISTINCT group_desc) > 1)
+      UNION ALL SELECT 'code_not_found', {len(q.REQUESTED)} - count(*) FROM codes WHERE rm_code IN {tuple(q.REQUESTED)}
+      UNION ALL SELECT 'code_outside_target', count(*) FROM codes
+        WHERE rm_code IN {tuple(q.REQUESTED)} AND g IS DISTINCT FROM '{q.TARGET}'""",
+    "quality_report": f"""WITH {FEATURES},
+      clean AS (
+        SELECT l_shipdate AS ts, lower(p_type) AS group_desc, l_partkey AS rm_code,
+               floor(100 * l_extendedprice / l_quantity + 0.5) AS price
+        FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
       SELECT 'ledger' AS stage, 'is_empty' AS check, CAST(count(*) = 0 AS BIGINT) AS violations FROM clean
       UNION ALL SELECT 'ledger', 'null_ts', count(*) FROM clean WHERE ts IS NULL
       UNION ALL SELECT 'ledger', 'null_price', count(*) FROM clean WHERE price IS NULL
@@ -497,6 +598,10 @@ ORACLES: dict[str, str] = {
         SELECT rm_code FROM clean GROUP BY 1 HAVING count(DISTINCT group_desc) > 1)
       UNION ALL SELECT 'drivers', 'is_empty', CAST(count(*) = 0 AS BIGINT) FROM series
       UNION ALL SELECT 'drivers', 'null_driver_value', count(*) FROM series WHERE value IS NULL
+      UNION ALL SELECT 'drivers', 'driver_not_found', {len(DRIVERS)} - count(DISTINCT driver) FROM series
+      UNION ALL SELECT 'matrix_of_panel', 'rows_added',
+        greatest((SELECT count(*) FROM features) - (SELECT count(*) FROM panel), 0)
+      UNION ALL SELECT 'interactions_of_matrix', 'rows_changed', CAST(0 AS BIGINT)
       UNION ALL SELECT 'features', 'is_empty', CAST(count(*) = 0 AS BIGINT) FROM features
       UNION ALL SELECT 'features', 'null_average_price', count(*) FROM features WHERE average_price IS NULL
       {" ".join(f"UNION ALL SELECT 'features', 'null_{c}', count(*) FROM features WHERE {c} IS NULL"

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ledgerloom.functions.metrics import log_price, unlog_price
 from ledgerloom.functions.months import (
@@ -23,7 +24,7 @@ from ledgerloom.functions.rounding import round_columns, scaled_round, whole
 from ledgerloom.operators import baseline, charts, clean, encode, explore, features, lasso
 from ledgerloom.operators import panel as panels
 from ledgerloom.operators import pooled, quality, regress, scaling, split
-from ledgerloom.config import LagWindow
+from ledgerloom.config import JobRequest, LagWindow
 from ledgerloom.plans import jobs, tables
 from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, WINDOWS, YEARS, table
 from ledgerloom.session import cut_lineage, shared_dir
@@ -46,6 +47,18 @@ TOP_K = 20
 SPLIT_SEED = 42
 TEST_PERCENT = 30
 
+TARGET = "promo"
+REQUESTED = [1, 2, 3, 4, 5, 1_000_000_007]
+REQUEST = {
+    "external_driver_duration": {"start_year": str(YEARS.first), "end_year": str(YEARS.last)},
+    "external_driver": ["urgent", "High"],
+    "material_price_duration": {"start_year": str(YEARS.first), "end_year": str(YEARS.last)},
+    "feature_duration": {"start_month": "1", "end_month": "4"},
+    "material_price_file": "lineitem.parquet",
+    "target": "GOODS",
+    "rm_code": BRANDS,
+}
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -379,16 +392,18 @@ def feature_matrix(spark, sf_dir):
 
 @query
 def calendar_indices(spark, sf_dir):
+    """Daily mean over all orders and monthly means per driver, from one pass over the orders."""
     days = calendars.calendar_of(tables.purchases(spark, sf_dir))
-    orders = table(spark, sf_dir, "orders")
-    day = orders.groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.avg(whole("o_totalprice")).alias("value")
-    )
-    monthly = tables.driver_series(spark, sf_dir).select(
-        "driver", year_of("month_idx").alias("year"), month_of("month_idx").alias("month"), "value"
+    cells = tables.daily_drivers(spark, sf_dir, totals=True)
+    month = Window.partitionBy("driver", F.year("date"), F.month("date"))
+    inside = F.year("date").between(YEARS.first, YEARS.last)
+    cells = cells.withColumn("monthly", F.avg(F.when(inside, F.col("value"))).over(month))
+    wide = cells.groupBy("date").agg(
+        (F.sum("total") / F.sum("n")).alias("DAILY"),
+        *[F.max(F.when(F.col("driver") == d, F.col("monthly"))).alias(d) for d in DRIVERS],
     )
-    per_driver = {d: monthly.where(F.col("driver") == d) for d in DRIVERS}
-    return calendars.join_series(days.select("date", "year", "month"), {"DAILY": day}, per_driver)
+    joined = days.select("date", "year", "month").join(wide, "date", "left")
+    return calendars.spread_over_months(joined, DRIVERS)
 
 
 @query
@@ -450,7 +465,11 @@ def codes_per_group(spark, sf_dir):
 
 @query
 def code_catalog(spark, sf_dir):
-    return explore.code_catalog(tables.full_ledger(spark, sf_dir))
+    """Complete purchases are counted per code before the groups are joined."""
+    per_code = explore.complete_counts(tables.purchases(spark, sf_dir), ["rm_code", "supplier_no"])
+    sited = per_code.join(tables.site_of_supplier(spark, sf_dir).na.drop("any"), "supplier_no")
+    grouped = sited.join(tables.group_of_code(spark, sf_dir).na.drop("any"), "rm_code")
+    return grouped.groupBy("group_desc", "rm_code").agg(F.sum("n_rows").alias("n_rows"))
 
 
 @query
@@ -466,10 +485,7 @@ def distinct_group_of_codes(spark, sf_dir):
 def _exploration(spark, sf_dir) -> dict[str, DataFrame]:
     ledger = tables.clean_purchases(spark, sf_dir, extra=["weight"])
     days = calendars.calendar_of(ledger).select("date", "year", "month")
-    daily = tables.daily_drivers(spark, sf_dir)
-    joined = calendars.join_series(
-        days, {d: daily.where(F.col("driver") == d) for d in DRIVERS}, {}
-    )
+    joined = calendars.join_long(days, tables.daily_drivers(spark, sf_dir), DRIVERS)
     return jobs.exploration_plan(ledger, joined, DRIVERS, YEARS.n_months)
 
 
@@ -569,6 +585,38 @@ def lasso_ar(spark, sf_dir):
     return lasso.train_ar(_supplier_ar(spark, sf_dir), LAGS, HORIZONS, WINDOWS).drop("coefs")
 
 
+def _single_lags(spark, sf_dir) -> DataFrame:
+    """The whole search, with one feature per horizon: the case that SQL can follow."""
+    matrix = cut_lineage(_supplier_ar(spark, sf_dir))
+    parts = [lasso.train_ar(matrix, LagWindow(h, h), [h], WINDOWS) for h in HORIZONS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def lasso_search_single_lag(spark, sf_dir):
+    """Folds, penalty choice, coefficient and error of the back-test with a single lag."""
+    cells = _single_lags(spark, sf_dir)
+    shown = cells.select(
+        "rm_code", "horizon", "test", "n_train", "n_test", "status", "alpha", "cv_r2", "mape_pct",
+        F.try_element_at("coefs", F.lit(1))["coef"].alias("coef"),
+    )
+    return round_columns(round_columns(shown, ["alpha", "cv_r2", "coef"], 5), ["mape_pct"], 4)
+
+
+@query
+def coef_export_single_lag(spark, sf_dir):
+    """Coefficient table of the single-lag back-test: a column per lag, null where it is not used."""
+    table_ = sinks.coefficient_table(lasso.coefficients(_single_lags(spark, sf_dir), places=9), features.ar_names(HORIZONS), 9)
+    return round_columns(table_, features.ar_names(HORIZONS), 5)
+
+
+@query
+def backtest_matrix_single_lag(spark, sf_dir):
+    """Mean error over the windows beside persistence, with lag 1 as the only feature."""
+    scores = jobs.forecast_plan(cut_lineage(_supplier_ar(spark, sf_dir)), [], LagWindow(1, 1), [1], WINDOWS)
+    return round_columns(scores, ["mape_pct"], 3)
+
+
 @query
 def backtest_cells(spark, sf_dir):
     """Which models were trained, on how many rows."""
@@ -624,15 +672,44 @@ def tuned_regressor(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    ledger = tables.full_ledger(spark, sf_dir)
-    clean_rows = clean.clean_ledger(ledger, YEARS)
+    """Checks of a feature run; the ledger is judged before its year filter."""
+    per_code = quality.ledger_counts(tables.purchases(spark, sf_dir))
+    grouped = per_code.join(tables.group_of_code(spark, sf_dir), "rm_code", "left")
     drivers = tables.driver_series(spark, sf_dir)
     plain = tables.clean_purchases(spark, sf_dir)
-    matrix = features.feature_matrix(panels.monthly_panel(plain), drivers, DRIVERS, LAGS, YEARS)
+    panel = panels.monthly_panel(plain)
+    matrix = features.feature_matrix(panel, drivers, DRIVERS, LAGS, YEARS)
+    quality.check_feature_columns(matrix, DRIVERS, LAGS)
+    crossed = features.interaction_terms(encode.one_hot_codes(matrix, [1]), [1], SHORT_LAGS)
     return quality.union_reports(
         {
-            "ledger": quality.ledger_report(clean_rows),
-            "drivers": quality.driver_report(drivers),
+            "ledger": quality.report_counts(grouped),
+            "drivers": quality.driver_report(drivers, DRIVERS),
             "features": quality.feature_report(matrix, panels.missing_cells(plain), DRIVERS, LAGS),
+            "matrix_of_panel": quality.not_more_rows(matrix, panel),
+            "interactions_of_matrix": quality.same_rows(crossed, matrix),
         }
     )
+
+
+@query
+def quality_findings(spark, sf_dir):
+    """The ledger checks where they find something: suppliers as codes, part types as groups."""
+    sold = tables.purchases(spark, sf_dir).join(tables.group_of_code(spark, sf_dir), "rm_code")
+    ledger = sold.select(
+        F.col("supplier_no").alias("rm_code"),
+        "group_desc",
+        F.when(F.col("weight") > 1, F.col("ts")).alias("ts"),
+        F.when(F.col("weight") < 50, F.col("price") - 100_000).alias("price"),
+    )
+    return quality.ledger_report(ledger, REQUESTED, TARGET)
+
+
+@query
+def request_features(spark, sf_dir):
+    """A job request end to end with all checks; driver names come in any case."""
+    request = JobRequest.from_dict(REQUEST)
+    sold = _brand_ledger(spark, sf_dir).withColumn("group_desc", F.lit("Goods"))
+    drivers = series.clean_series(tables.daily_drivers(spark, sf_dir), YEARS)
+    matrix = jobs.feature_plan(sold, drivers, request, check=True)
+    return matrix.withColumnsRenamed({b: b.replace("#", "_").lower() for b in BRANDS})

@@ -91,14 +91,15 @@ def with_group(per_code: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
     return per_code.join(group_of_code(spark, sf_dir), "rm_code")
 
 
-def daily_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily mean order value per priority."""
+def daily_drivers(spark: SparkSession, sf_dir: str, totals: bool = False) -> DataFrame:
+    """Daily mean order value per priority, on demand with total and number of orders."""
+    extra = [F.sum(whole("o_totalprice")).alias("total"), F.count("o_totalprice").alias("n")]
     orders = table(spark, sf_dir, "orders")
     names = F.create_map(*[F.lit(part) for pair in PRIORITIES.items() for part in pair])
     return orders.groupBy(
         F.try_element_at(names, F.col("o_orderpriority")).alias("driver"),
         F.col("o_orderdate").cast("date").alias("date"),
-    ).agg(whole(F.avg("o_totalprice")).alias("value"))
+    ).agg(whole(F.avg("o_totalprice")).alias("value"), *(extra if totals else []))
 
 
 def driver_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,6 @@ LEDGER = T.StructType(
     ]
 )
 
-DRIVER = T.StructType(
-    [
-        T.StructField("driver", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
 ELECTRICITY = T.StructType(
     [
         T.StructField("Year", T.IntegerType()),
@@ -42,10 +34,3 @@ ELECTRICITY = T.StructType(
         T.StructField("Electricity", T.DoubleType()),
     ]
 )
-
-COEFFICIENT = T.StructType(
-    [
-        T.StructField("feature", T.StringType()),
-        T.StructField("coef", T.DoubleType()),
-    ]
-)

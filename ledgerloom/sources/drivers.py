@@ -6,7 +6,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.config import YearWindow
+from ledgerloom import schemas
+from ledgerloom.config import ELECTRICITY, YearWindow, driver_name
 from ledgerloom.functions.months import month_idx
 
 
@@ -37,7 +38,7 @@ def monthly_series(daily: DataFrame) -> DataFrame:
     return daily.groupBy("driver", "month_idx").agg(F.avg("value").alias("value"))
 
 
-def clean_year_month(raw: DataFrame, years: YearWindow, driver: str = "Electricity") -> DataFrame:
+def clean_year_month(raw: DataFrame, years: YearWindow, driver: str = ELECTRICITY) -> DataFrame:
     """Rows of ``(Year, Month, <driver>)`` in any order to the long form."""
     return raw.where(F.col("Year").between(years.first, years.last)).select(
         F.lit(driver).alias("driver"),
@@ -48,16 +49,30 @@ def clean_year_month(raw: DataFrame, years: YearWindow, driver: str = "Electrici
 
 
 def read_driver_series(
-    spark: SparkSession, path: str, driver: str, years: YearWindow, fmt: str = "csv"
+    spark: SparkSession,
+    path: str,
+    driver: str,
+    years: YearWindow,
+    fmt: str = "csv",
+    date_column: str = "date",
+    value_column: str | None = None,
 ) -> DataFrame:
-    """One landed index series with a date column followed by a value column."""
+    """One landed index series; columns are found by name in any case, others are ignored.
+
+    The value column is named like the series unless ``value_column`` is given.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
     raw = reader.load(path)
-    day, value = raw.columns[-2:]
+    by_name = {c.strip().lower(): c for c in raw.columns}
+    wanted = (date_column, value_column or driver)
+    absent = [c for c in wanted if c.lower() not in by_name]
+    if absent:
+        raise ValueError(f"{path} has no column {' or '.join(absent)}, only {', '.join(raw.columns)}")
+    day, value = (by_name[c.lower()] for c in wanted)
     series = raw.select(
-        F.lit(driver.upper()).alias("driver"),
+        F.lit(driver_name(driver)).alias("driver"),
         F.col(f"`{day}`").cast("date").alias("date"),
         F.col(f"`{value}`").cast("double").alias("value"),
     )
@@ -66,9 +81,7 @@ def read_driver_series(
 
 def read_electricity(spark: SparkSession, path: str, years: YearWindow) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
-    typed = raw.select(
-        F.col("Year").cast("int"), F.col("Month").cast("int"), F.col("Electricity").cast("double")
-    )
+    typed = raw.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ELECTRICITY])
     return clean_year_month(typed, years)
 
 

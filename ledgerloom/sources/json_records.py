@@ -12,8 +12,8 @@ def parse_json_records(
 ) -> DataFrame:
     """Each body is a JSON array of records; one row per record.
 
-    The date column must be in the record type. A body that is not JSON, and a
-    record whose date is absent or unreadable, fail the job.
+    The date column must be in the record type. A body that is null or not JSON,
+    and a record whose date is absent or unreadable, fail the job.
     """
     if date_col not in record.fieldNames():
         raise ValueError(f"column {date_col!r} not found in the record type")
@@ -24,7 +24,8 @@ def parse_json_records(
         ]
     )
     others = [c for c in bodies.columns if c != body]
-    records = F.from_json(body, T.ArrayType(as_text), {"mode": "FAILFAST"})
+    given = F.coalesce(F.col(body), F.raise_error(F.lit(f"null body in column {body}")).cast("string"))
+    records = F.from_json(given, T.ArrayType(as_text), {"mode": "FAILFAST"})
     day = F.col(date_col)
     dated = F.when(day.isNull(), F.raise_error(F.lit(f"null date in column {date_col}"))).otherwise(
         day.cast("timestamp_ntz")
