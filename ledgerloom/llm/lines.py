@@ -34,6 +34,8 @@ SHINGLE, SIMILAR = 7, 0.8
 BANDS, ROWS = 9, 4
 # Shingles from which a line has a long signature, and up to which it has a short one.
 LONG, SHORT = 128, 200
+# Text handled at once; small, as about twenty bytes of arrays go with each character.
+SLICE = 1 << 20
 # Pairs across components that are compared in one go, for each listed member.
 AT_ONCE = 24
 
@@ -41,6 +43,7 @@ LINE_SCHEMA = "id long, tag long, line int, node long, bands array<long>"
 NAMELESS = (1 << 63) - 1
 
 _STEP = np.uint64(0x9DDFEA08EB382D69)
+_NONE = ~np.uint64(0)
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
@@ -66,59 +69,55 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
         return out
     kept, size = [texts[i] for i in rows], sizes[rows]
     codes = np.frombuffer("".join(kept).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    hashed = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-    for j in range(SHINGLE):
-        hashed = hashed * _STEP + codes[j : j + len(hashed)] + np.uint64(1)
-    start = np.cumsum(size + SHINGLE - 1) - (size + SHINGLE - 1)
-    owner = np.repeat(np.arange(len(size)), size)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    hashed = mixed(hashed[start[owner] + inner])
+    # Runs of 1, 2, 4, 6 and at last SHINGLE = 7 characters.
+    two = codes[:-1] * _STEP + codes[1:]
+    four = two[:-2] * _STEP**2 + two[2:]
+    six = four[:-2] * _STEP**2 + two[4:]
+    hashed = mixed(six[:-1] * _STEP + codes[6:])
+    ends = np.cumsum(size + SHINGLE - 1)
+    inside = np.ones(len(codes), bool)
+    inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
+    hashed = hashed[inside[: len(hashed)]]
+    start = np.cumsum(size) - size
     keys: dict[int, list[np.ndarray]] = {}
-    short, long = np.flatnonzero(_few(hashed, owner, size)), np.flatnonzero(size >= LONG)
+    long = np.flatnonzero(size >= LONG)
+    # Hashes of the long lines, and the line of each.
+    x = hashed[np.repeat(size >= LONG, size)]
+    line = np.repeat(np.arange(len(long)), size[long])
+    short = np.flatnonzero(_few(x, line, long, size))
     if len(short):
-        ends = np.cumsum(size)
-        own = [hashed[ends[i] - size[i] : ends[i]] for i in short]
-        own = [x if len(x) <= SHORT else np.unique(x) for x in own]
-        x, first = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
-        minima = np.stack([np.minimum.reduceat((x ^ (x >> np.uint64(29))) * f, first) for f in _FACTORS], axis=1)
+        own = [hashed[start[i] : start[i] + size[i]] for i in short]
+        own = [y if len(y) <= SHORT else np.unique(y) for y in own]
+        y, first = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
+        y = y ^ (y >> np.uint64(29))
+        minima = np.stack([np.minimum.reduceat(y * f, first) for f in _FACTORS], axis=1)
         _add(keys, short, minima, 0)
     if len(long):
-        mine = size[owner] >= LONG
-        at = np.full(len(size), -1)
-        at[long] = np.arange(len(long))
         width = BANDS * ROWS
-        x = hashed[mine]
-        cell = at[owner[mine]] * width + ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
-        minima = np.full(len(long) * width, ~np.uint64(0))
-        np.minimum.at(minima, cell, x)
+        minima = np.full(len(long) * width, _NONE)
+        np.minimum.at(minima, line * width + ((x >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).view(np.int64), x)
         minima = minima.reshape(-1, width)
-        empty = minima == ~np.uint64(0)
-        for _ in range(width):  # an empty bin takes the next full one's value, marked by the distance
-            if not empty.any():
-                break
+        empty = minima == _NONE
+        while empty.any():  # an empty bin takes the next full one's value, marked by the distance
             following = np.roll(minima, -1, axis=1)
             minima = np.where(empty & ~np.roll(empty, -1, axis=1), following + _STEP, minima)
-            empty = minima == ~np.uint64(0)
+            empty = minima == _NONE
         _add(keys, long, minima, 1)
     for i, parts in keys.items():
         out[rows[i]] = np.concatenate(parts)
     return out
 
 
-def _few(hashed: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _few(x: np.ndarray, line: np.ndarray, long: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Lines that have up to ``SHORT`` distinct shingles, and a few that have somewhat more.
 
-    A repetitive line has fewer distinct ones than places; they fill at most as many bins.
+    ``x`` are the hashes of the ``long`` lines. A repetitive line has fewer distinct ones
+    than places; they fill at most as many bins.
     """
     few = size <= SHORT
-    rest = np.flatnonzero(~few)
-    if len(rest):
-        at = np.full(len(size), -1)
-        at[rest] = np.arange(len(rest))
-        mine = ~few[owner]
-        filled = np.zeros(len(rest) << 10, bool)
-        filled[(at[owner[mine]] << 10) + (hashed[mine] & np.uint64(1023)).astype(np.int64)] = True
-        few[rest] = filled.reshape(len(rest), 1 << 10).sum(axis=1) <= SHORT
+    filled = np.zeros(len(long) << 10, bool)
+    filled[(line << 10) + (x & np.uint64(1023)).view(np.int64)] = True
+    few[long] |= filled.reshape(len(long), 1 << 10).sum(axis=1) <= SHORT
     return few
 
 
@@ -133,7 +132,7 @@ def _add(keys: dict, lines: np.ndarray, minima: np.ndarray, scheme: int) -> None
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             doc, line, texts = [], [], []
             for i, text in enumerate(texts_of(part)):
                 for j, raw in enumerate(text.split("\n")):
@@ -181,7 +180,7 @@ def _texts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     """Normalised lines whose node may be wanted."""
     may: Sieve = shared.value
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             distinct = list({f for text in texts_of(part) for raw in text.split("\n") if (f := normal(raw))})
             nodes = np.array([node_of(t) for t in distinct], np.int64)
             keep = np.flatnonzero(may(nodes)) if len(nodes) else []
