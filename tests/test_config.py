@@ -5,10 +5,10 @@ import pytest
 from ledgerloom.config import ForecastWindow, JobRequest, LagWindow, YearWindow, check_horizon, half_years
 
 REQUEST = {
-    "external_driver_duration": {"start_year": "2014", "end_year": "2024"},
+    "external_driver_duration": {"start_year": "2016", "end_year": "2022"},
     "external_driver": ["GAS", "Electricity"],
-    "material_price_duration": {"start_year": "2014", "end_year": "2023"},
-    "feature_duration": {"start_month": "1", "end_month": "12"},
+    "material_price_duration": {"start_year": "2015", "end_year": "2021"},
+    "feature_duration": {"start_month": "2", "end_month": "9"},
     "material_price_file": "ledger.csv",
     "electricity_file": "power.csv",
     "target": "Acid",
@@ -18,8 +18,8 @@ REQUEST = {
 
 def test_request_parses_text_numbers():
     request = JobRequest.from_dict(REQUEST)
-    assert request.driver_years == YearWindow(2014, 2024)
-    assert request.lags == LagWindow(1, 12)
+    assert request.driver_years == YearWindow(2016, 2022)
+    assert request.lags == LagWindow(2, 9)
     assert request.target == "acid"
     assert request.rm_codes == ("A/1", "A/2")
 
@@ -86,3 +86,12 @@ def test_horizon_keeps_later_lags():
     assert lags.from_horizon(1) == list(range(1, 13))
     assert lags.from_horizon(3) == list(range(3, 13))
     assert 11 in lags.from_horizon(6) and 1 not in lags.from_horizon(6)
+
+
+def test_driver_names_come_in_any_case():
+    request = JobRequest.from_dict(REQUEST | {"external_driver": ["gas", "ELECTRICITY", "Brent_oil"]})
+    assert request.drivers == ("GAS", "Electricity", "BRENT_OIL")
+    with pytest.raises(ValueError, match="twice"):
+        JobRequest.from_dict(REQUEST | {"external_driver": ["gas", "GAS"]})
+    with pytest.raises(ValueError, match="electricity_file"):
+        JobRequest.from_dict({k: v for k, v in REQUEST.items() if k != "electricity_file"} | {"external_driver": ["electricity"]})

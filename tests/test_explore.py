@@ -80,3 +80,12 @@ def test_site_flags(spark, ledger, rows_of):
 def test_price_evolution(ledger, rows_of):
     lines = charts.price_evolution(monthly_panel(ledger(ROWS)))
     assert rows_of(lines.where("rm_code = 'B'"), "year_month", "is_tick", "price") == [("2021-3", True, 5.0)]
+
+
+def test_correlation_of_what_does_not_vary(spark):
+    rows = [("flat", 5.0, 1.0, 7.0), ("flat", 5.0, 2.0, 7.0), ("up", 1.0, 1.0, 7.0), ("up", 2.0, 2.0, 7.0), ("up", 4.0, 3.0, 7.0)]
+    panel = spark.createDataFrame(rows, "rm_code string, price double, GAS double, OIL double")
+    got = {(r["rm_code"], r["driver"]): r for r in explore.driver_correlation(panel, ["GAS", "OIL"]).collect()}
+    assert [got[k]["correlation"] for k in (("flat", "GAS"), ("flat", "OIL"), ("up", "OIL"))] == [None] * 3
+    assert got["up", "GAS"]["correlation"] == pytest.approx(0.9819805)
+    assert {k for k, r in got.items() if r["is_best"]} == {("up", "GAS")}

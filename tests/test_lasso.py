@@ -197,3 +197,17 @@ def test_single_lag_closed_form_equals_the_path(spark, book):
 
 def test_feature_names_cover_the_plan():
     assert ar_names([1, 2]) == ["AR_1", "AR_2"]
+
+
+def test_an_unsolved_path_is_reported_and_holds_nothing_up(monkeypatch):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2, 40, 4))
+    x[1] = 0.0
+    x[1, :, 0] = rng.normal(size=40)
+    y = np.stack([x[0] @ [1, -2, 3, -4], 2 * x[1, :, 0]])
+    gram, corr = np.einsum("bni,bnj->bij", x, x) / 40, np.einsum("bni,bn->bi", x, y) / 40
+    monkeypatch.setattr(L, "steps_allowed", lambda size: 2)
+    w = L.lasso_weights(gram, corr, np.array([0.01, 0.01]))
+    assert np.isnan(w[0]).all() and np.isfinite(w[1]).all()
+    best, r2 = L.search_alpha(x, y, [40, 40], np.linspace(0.01, 1, 30), 5)
+    assert np.isnan(r2[0]) and np.isfinite(r2[1])

@@ -2,6 +2,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import month
 from ledgerloom.config import YearWindow
@@ -172,3 +173,16 @@ def test_panel_equals_brute_force_with_a_hot_code(spark, seed):
     panel = P.monthly_panel(clean_ledger(frame, YearWindow(2010, 2024)))
     got = sorted(tuple(r) for r in panel.select("rm_code", "month_idx", "price", "is_imputed").collect())
     assert got == filled_by_hand(rows)  # whole-number prices: sums are exact
+
+
+def test_null_prices_keep_their_place_in_the_grid(spark, ledger, rows_of):
+    book = ledger([("A", "2020-01-05", 1), ("A", "2020-02-05", 1), ("B", "2020-01-05", 1), ("C", "2020-02-01", 1)])
+    blank = F.when((F.col("rm_code") == "A") & (F.col("month") == 1), F.col("price"))
+    book = book.withColumn("price", blank)
+    grid = P.month_grid(book)
+    expected = grid.join(book, ["rm_code", "month_idx"], "left").select("rm_code", "month_idx", "ts", "price")
+    assert rows_of(P.grid_left_facts(book)) == rows_of(expected)
+    first = month(2020, 1)
+    assert rows_of(P.missing_cells(book)) == [
+        ("A", first + 1, False), ("B", first, True), ("B", first + 1, True), ("C", first, True), ("C", first + 1, True)
+    ]

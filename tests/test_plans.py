@@ -55,3 +55,11 @@ def test_no_window_over_the_whole_table(spark, name):
         below = text[found.end() :]
         exchange = re.search(r"Exchange (\w+)", below)
         assert exchange is None or exchange.group(1) != "SinglePartition"
+
+
+@pytest.mark.parametrize(
+    "name", ["calendar_indices", "monthly_panel_two_level", "driver_correlation", "peak_shift_days"]
+)
+def test_all_series_come_from_one_scan(spark, name):
+    text = plan(QUERIES[name](spark, SMALL))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*o_orderdate", text)) == 1

@@ -50,3 +50,24 @@ def test_imputed_target_is_found(ledger):
     assert found(Q.feature_report(panel, missing, [], LagWindow(1, 1))) == {"imputed_target": 2}
     real = panel.where("not is_imputed")
     assert found(Q.feature_report(real, missing, [], LagWindow(1, 1))) == {}
+
+
+def test_every_broken_check_is_named(spark):
+    broken = spark.createDataFrame([(f"check_{k:02d}", k % 3) for k in range(40)], "check string, violations long")
+    with pytest.raises(ValueError) as error:
+        Q.require(broken)
+    assert str(error.value).count("check_") == 26
+
+
+def test_absent_drivers_are_counted(spark):
+    series = spark.createDataFrame([("GAS", 1.0)], "driver string, value double")
+    assert found(Q.driver_report(series, ["GAS", "OIL", "COAL"])) == {"driver_not_found": 2}
+    assert found(Q.driver_report(series.limit(0), ["GAS"])) == {"is_empty": 1, "driver_not_found": 1}
+
+
+def test_row_counts_of_steps(spark):
+    three, five = spark.range(3), spark.range(5)
+    assert found(Q.not_more_rows(three, five)) == {}
+    assert found(Q.not_more_rows(five, three)) == {"rows_added": 2}
+    assert found(Q.same_rows(three, five)) == {"rows_changed": 2}
+    assert found(Q.same_rows(five, five)) == {}

@@ -11,9 +11,9 @@ from ledgerloom.sources import drivers, json_records, sinks
 from ledgerloom.sources.ledger import read_ledger
 
 LEDGER_CSV = """,POSTING DATE,Group Description,Key RM code,PRICE (EUR/kg),WEIGHT (kg),SITE,SUPPLIER NUMBER,PURCHASE NUMBER
-0,2020-01-05,Acid,RM01/0001,1.5,10,CHBE,7,p1
-1,2021-02-06,ACID,RM01/0004,2.5,20,DEBE,8,p2
-2,2013-12-31,acid,RM01/0001,9.9,30,CHBE,7,p3
+0,2020-01-05,Acid,C-70,1.5,10,CHBE,7,p1
+1,2021-02-06,ACID,C-71,2.5,20,DEBE,8,p2
+2,2013-12-31,acid,C-70,9.9,30,CHBE,7,p3
 """
 
 
@@ -30,8 +30,8 @@ def test_ledger_csv_with_index_column(spark, landed, rows_of):
     assert dict(ledger.dtypes)["ts"] == "timestamp_ntz" and dict(ledger.dtypes)["price"] == "double"
     clean = clean_ledger(ledger, YearWindow(2014, 2023))
     assert rows_of(clean, "rm_code", "group_desc", "ts", "price", "month_idx") == [
-        ("RM01/0001", "acid", datetime(2020, 1, 5), 1.5, month(2020, 1)),
-        ("RM01/0004", "acid", datetime(2021, 2, 6), 2.5, month(2021, 2)),
+        ("C-70", "acid", datetime(2020, 1, 5), 1.5, month(2020, 1)),
+        ("C-71", "acid", datetime(2021, 2, 6), 2.5, month(2021, 2)),
     ]
     assert set(clean.columns) == {"rm_code", "group_desc", "ts", "price", "year", "month", "month_idx"}
 
@@ -58,8 +58,8 @@ def test_parquet_ledger(spark, landed, tmp_path, rows_of):
 
 def test_code_filters(spark, landed, rows_of):
     ledger = read_ledger(spark, landed)
-    assert only_codes(ledger, ["RM01/0004"]).count() == 1
-    wanted = spark.createDataFrame([("RM01/0001",), ("RM01/0001",)], "rm_code string")
+    assert only_codes(ledger, ["C-71"]).count() == 1
+    wanted = spark.createDataFrame([("C-70",), ("C-70",)], "rm_code string")
     assert only_codes_of(ledger, wanted).count() == 2
 
 
@@ -76,7 +76,7 @@ def test_electricity_month_major_and_padded_months(spark, tmp_path, rows_of):
 
 def test_driver_fill_does_not_look_before_the_window(spark, tmp_path, rows_of):
     path = tmp_path / "d.csv"
-    path.write_text("date,value\n2019-12-01,5\n2020-01-01,\n2020-02-01,7\n2020-03-01,\n")
+    path.write_text("date,GAS\n2019-12-01,5\n2020-01-01,\n2020-02-01,7\n2020-03-01,\n")
     clean = drivers.read_driver_series(spark, str(path), "gas", YearWindow(2020, 2020))
     assert rows_of(clean, "driver", "month_idx", "value") == [
         ("GAS", month(2020, 1), None),
@@ -113,7 +113,7 @@ def test_json_records(spark, rows_of):
 
 
 @pytest.mark.parametrize(
-    "body", ['[{"x":1.5}]', '[{"Time":null,"x":1.5}]', '[{"Time":"soon","x":1.5}]', "not json"]
+    "body", ['[{"x":1.5}]', '[{"Time":null,"x":1.5}]', '[{"Time":"soon","x":1.5}]', "not json", None]
 )
 def test_bad_json_records_fail(spark, body):
     frame = spark.createDataFrame([(body,)], "body string")
@@ -178,3 +178,29 @@ def test_coefficient_table_leaves_ruled_out_lags_null(spark, tmp_path):
     path = str(tmp_path / "coef")
     sinks.write_coefficients(table, path)
     assert spark.read.option("header", True).csv(path).count() == 2
+
+
+def test_driver_columns_are_found_by_name(spark, tmp_path, rows_of):
+    path = tmp_path / "gas.csv"
+    path.write_text("vintage,Date,gas,note\n2021-01-01,2020-01-01,5,x\n2021-01-01,2020-02-01,6,y\n")
+    clean = drivers.read_driver_series(spark, str(path), "Gas", YearWindow(2020, 2020))
+    assert rows_of(clean, "driver", "date", "value") == [("GAS", date(2020, 1, 1), 5.0), ("GAS", date(2020, 2, 1), 6.0)]
+    named = drivers.read_driver_series(
+        spark, str(path), "oil", YearWindow(2021, 2021), date_column="vintage", value_column="GAS"
+    )
+    assert {r["driver"] for r in named.collect()} == {"OIL"}
+    with pytest.raises(ValueError, match="no column oil"):
+        drivers.read_driver_series(spark, str(path), "oil", YearWindow(2020, 2020))
+
+
+def test_all_series_are_joined_in_one_pass(spark, rows_of):
+    days = spark.sql("SELECT explode(sequence(date'2020-01-30', date'2020-02-02')) AS date")
+    days = calendars.with_calendar_columns(days)
+    long = spark.createDataFrame(
+        [("A", date(2020, 1, 31), 1.0), ("B", date(2020, 2, 1), 2.0)], "driver string, date date, value double"
+    )
+    wide = calendars.spread_over_months(calendars.join_long(days, long, ["A", "B"]), ["B"])
+    assert rows_of(wide, "date", "A", "B") == [
+        (date(2020, 1, 30), None, None), (date(2020, 1, 31), 1.0, None),
+        (date(2020, 2, 1), None, 2.0), (date(2020, 2, 2), None, 2.0),
+    ]
