@@ -41,6 +41,15 @@ HEADLINE = [
     "lasso_ar",
     "ingest_incremental",
     "quality_report",
+    "peak_shift_days",
+    "calendar_indices",
+    "lasso_search_single_lag",
+    "lasso_all",
+    "backtest_matrix",
+    "coef_export",
+    "pooled_lasso",
+    "tuned_regressor",
+    "model_reload",
 ]
 
 

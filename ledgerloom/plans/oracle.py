@@ -566,6 +566,21 @@ ORACLES: dict[str, str] = {
              {flagged('a.rm_code')}
       FROM ar_matrix a {" ".join(f"JOIN asked l{i} ON l{i}.month_idx = a.month_idx - {i}" for i in range(1, 5))}
       WHERE {" AND ".join(f"l{i}.HIGH IS NOT NULL" for i in range(1, 5))}""",
+    "feature_sink_scan": f"""WITH {FEATURES}
+      SELECT rm_code, lower(p_type) AS group_desc, month_idx, ts, {", ".join(["average_price", *AR_COLUMNS])},
+             {", ".join(DRIVER_COLUMNS)}
+      FROM features JOIN part ON rm_code = p_partkey""",
+    "feature_scan_of_a_group": f"""WITH {ar_matrix(lags=q.SHORT_LAGS.lags)}
+      SELECT rm_code, lower(p_type) AS group_desc, month_idx, ts, average_price,
+             {", ".join(f"AR_{i}" for i in q.SHORT_LAGS.lags)}
+      FROM ar_matrix JOIN part ON rm_code = p_partkey WHERE lower(p_type) = '{q.TARGET}'""",
+    "model_reload": f"""WITH {ar_matrix('l_suppkey')},{DRIVER_LAGS},
+      split AS (
+        SELECT a.rm_code, CAST('0x' || substr(md5(concat_ws('|', a.rm_code, a.month_idx, '{q.SPLIT_SEED}')), 1, 8) AS BIGINT)
+               % 100 < {q.TEST_PERCENT} AS is_test
+        FROM ar_matrix a JOIN driver_lags d ON a.month_idx = d.month_idx
+        WHERE {" AND ".join(f"{c} IS NOT NULL" for c in DRIVER_COLUMNS)})
+      SELECT rm_code, is_test, count(*) AS n, count(*) AS n_finite, CAST(0 AS BIGINT) AS n_changed FROM split GROUP BY 1, 2""",
     "quality_findings": f"""WITH odd AS (
         SELECT l_suppkey AS rm_code, lower(p_type) AS group_desc,
                CASE WHEN l_quantity > 1 THEN l_shipdate END AS ts,

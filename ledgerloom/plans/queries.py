@@ -47,6 +47,7 @@ TOP_K = 20
 SPLIT_SEED = 42
 TEST_PERCENT = 30
 
+LANDED_FILES = 10
 TARGET = "promo"
 REQUESTED = [1, 2, 3, 4, 5, 1_000_000_007]
 REQUEST = {
@@ -67,6 +68,11 @@ def query(run: Query) -> Query:
     return run
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the folder that all executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _panel(spark: SparkSession, sf_dir: str, code: str = "part") -> DataFrame:
     return panels.monthly_panel(tables.clean_purchases(spark, sf_dir, code))
 
@@ -144,11 +150,14 @@ def calendar_dim(spark, sf_dir):
 
 @query
 def ingest_incremental(spark, sf_dir):
-    landed = table(spark, sf_dir, "lineitem").schema
-    stream = spark.readStream.schema(landed).parquet(f"{sf_dir}/lineitem*.parquet")
-    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    """The whole table lands as several files, arrives in several batches and is folded twice."""
+    root = _folder(spark, "ingest")
+    columns = ["l_partkey", "l_suppkey", "l_orderkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+    table(spark, sf_dir, "lineitem").select(columns).repartition(LANDED_FILES).write.parquet(f"{root}/landed")
+    landed = spark.read.parquet(f"{root}/landed").schema
+    stream = spark.readStream.schema(landed).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
     arriving = clean.clean_ledger(tables.as_purchases(stream), YEARS)
-    ingest.ingest(arriving, root).awaitTermination()
+    ingest.ingest(arriving, root, fold_every=2).awaitTermination()
     return ingest.stored_panel(spark, root)
 
 
@@ -170,10 +179,12 @@ def year_window(spark, sf_dir):
 
 @query
 def train_test_windows(spark, sf_dir):
+    """Purchases are combined per timestamp before each goes into its windows."""
     ledger = tables.clean_purchases(spark, sf_dir, extra=["weight"])
-    rows = split.train_test_rows(ledger, WINDOWS)
+    moments = ledger.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    rows = split.train_test_rows(moments, WINDOWS)
     return rows.groupBy("test", "is_test").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("n").alias("n"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.sum("weight").alias("weight"),
@@ -605,9 +616,11 @@ def lasso_search_single_lag(spark, sf_dir):
 
 @query
 def coef_export_single_lag(spark, sf_dir):
-    """Coefficient table of the single-lag back-test: a column per lag, null where it is not used."""
-    table_ = sinks.coefficient_table(lasso.coefficients(_single_lags(spark, sf_dir), places=9), features.ar_names(HORIZONS), 9)
-    return round_columns(table_, features.ar_names(HORIZONS), 5)
+    """Coefficient file of the single-lag back-test, read back: a column per lag, null where it is not used."""
+    names, path = features.ar_names(HORIZONS), _folder(spark, "coefficients")
+    coefs = lasso.coefficients(_single_lags(spark, sf_dir), places=9)
+    sinks.write_coefficients(sinks.coefficient_table(coefs, names, 9), path)
+    return round_columns(sinks.read_coefficients(spark, path, names, "long"), names, 5)
 
 
 @query
@@ -670,6 +683,43 @@ def tuned_regressor(spark, sf_dir):
     return baseline.naive_errors(scored, ["rm_code"], "average_price", "prediction")
 
 
+@query
+def model_reload(spark, sf_dir):
+    """Boosted trees on all features and a random split, saved and loaded again, per code and side."""
+    matrix = cut_lineage(_supplier_features(spark, sf_dir))
+    rows = split.hash_split(matrix, ["rm_code", "month_idx"], TEST_PERCENT, SPLIT_SEED)
+    names, path = features.feature_names(DRIVERS, LAGS), _folder(spark, "model")
+    train = rows.where("not is_test").select("rm_code", "month_idx", "average_price", *names)
+    fitted = regress.tune(train, names, ["rm_code", "month_idx"], depths=[2], rounds=[3], folds=2).bestModel
+    regress.save_model(fitted, path)
+    scored = regress.predict(fitted, rows).withColumnRenamed("prediction", "fitted")
+    scored = regress.predict(regress.load_model(path), scored.drop("features"))
+    return scored.groupBy("rm_code", "is_test").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs("prediction") < 1e12).alias("n_finite"),
+        F.count_if(F.col("prediction") != F.col("fitted")).alias("n_changed"),
+    )
+
+
+@query
+def feature_sink_scan(spark, sf_dir):
+    """The feature matrix written by group and read back."""
+    drivers = tables.driver_series(spark, sf_dir)
+    matrix = features.feature_matrix(_panel(spark, sf_dir), drivers, DRIVERS, LAGS, YEARS)
+    path = _folder(spark, "features")
+    sinks.write_features(tables.with_group(matrix, spark, sf_dir), path)
+    return sinks.read_features(spark, path)
+
+
+@query
+def feature_scan_of_a_group(spark, sf_dir):
+    """One group of the written matrix: the other groups' files are not opened."""
+    matrix = tables.with_group(features.ar_matrix(_panel(spark, sf_dir), SHORT_LAGS), spark, sf_dir)
+    path = _folder(spark, "features")
+    sinks.write_features(matrix, path)
+    return sinks.read_features(spark, path, TARGET)
+
+
 @query
 def quality_report(spark, sf_dir):
     """Checks of a feature run; the ledger is judged before its year filter."""

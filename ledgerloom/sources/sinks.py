@@ -40,5 +40,12 @@ def coefficient_table(coefs: DataFrame, features: list[str], places: int = 5) ->
     )
 
 
+def read_coefficients(spark: SparkSession, path: str, features: list[str], code_type: str = "string") -> DataFrame:
+    """A written coefficient table with its types; columns by their order in the file."""
+    coefs = ", ".join(f"`{name}` double" for name in features)
+    schema = f"rm_code {code_type}, horizon int, test int, {coefs}"
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def write_coefficients(table: DataFrame, path: str, mode: str = "overwrite") -> None:
     table.write.mode(mode).option("header", True).csv(path)
