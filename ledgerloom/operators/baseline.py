@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.config import ForecastWindow, check_horizon
-from ledgerloom.functions.metrics import ape, mae, mape, mse, r2
+from ledgerloom.functions.metrics import mae, mape, mse, r2
 from ledgerloom.operators.split import in_test_windows
 
 
@@ -79,7 +79,3 @@ def largest_errors(
     """The ``k`` rows with the largest absolute error, in a total order."""
     miss = F.abs(F.col(actual) - F.col(predicted)).alias("abs_error")
     return forecast.select("*", miss).orderBy(F.desc("abs_error"), *tie_break).limit(k)
-
-
-def with_ape(forecast: DataFrame, actual: str, predicted: str) -> DataFrame:
-    return forecast.withColumn("ape", ape(actual, predicted))

@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.config import ForecastWindow, LagWindow
 from ledgerloom.functions.lasso_path import lasso_weights, optimality_gap, search_alpha
 from ledgerloom.functions.metrics import EPSILON, mape
 from ledgerloom.operators.features import ar_names, feature_names
 from ledgerloom.operators.scaling import safe_scale
-from ledgerloom.operators.split import train_test_rows
+from ledgerloom.operators.split import in_test_windows
 
 # The alpha grid, how many of its points are tried, and the folds.
 ALPHA_TOP = 1.0
@@ -217,26 +217,36 @@ def lasso_single_lag(
 
     On standardised data one feature has the closed solution
     ``sign(rho) * max(|rho| - alpha, 0)`` with the training correlation ``rho``.
+    All training sets of a code come from one aggregation over its rows, with a
+    condition per window; no row is copied.
     """
+    cells = []
+    for number, window in enumerate(map(ForecastWindow.of, windows), start=1):
+        before = F.col("ts") < F.lit(window.start).cast("timestamp_ntz")
+        y = F.when(before, F.col("average_price"))
+        for horizon, name in zip(horizons, ar_names(horizons)):
+            x = F.when(before, F.col(name))
+            cells.append(
+                F.struct(
+                    F.lit(horizon).alias("horizon"),
+                    F.lit(number).alias("test"),
+                    F.count(y).alias("n_train"),
+                    F.avg(x).alias("mean_x"),
+                    F.avg(y).alias("mean_y"),
+                    safe_scale(F.avg(x), F.var_pop(x), F.count(y)).alias("scale_x"),
+                    safe_scale(F.avg(y), F.var_pop(y), F.count(y)).alias("scale_y"),
+                    F.covar_pop(x, y).alias("covariance"),
+                )
+            )
+    trained = features.groupBy("rm_code").agg(F.array(*cells).alias("cells"))
+    trained = trained.select("rm_code", F.inline("cells")).where("n_train > 1")
     lagged = F.array(
         *[F.struct(F.lit(h).alias("horizon"), F.col(name).alias("x")) for h, name in zip(horizons, ar_names(horizons))]
     )
-    rows = train_test_rows(features, windows).select(
-        "rm_code", "test", "is_test", F.col("average_price").alias("y"), F.inline(lagged)
+    tested = in_test_windows(features, windows).select(
+        "rm_code", "test", F.col("average_price").alias("y"), F.inline(lagged)
     )
-    cell = Window.partitionBy("rm_code", "horizon", "test")
-    x, y = (F.when(~F.col("is_test"), F.col(c)) for c in ("x", "y"))
-    n = F.count(y).over(cell)
-    mean_x, mean_y = F.avg(x).over(cell), F.avg(y).over(cell)
-    fitted = rows.select(
-        *["rm_code", "horizon", "test", "is_test", "x", "y"],
-        n.alias("n_train"),
-        mean_x.alias("mean_x"),
-        mean_y.alias("mean_y"),
-        safe_scale(mean_x, F.var_pop(x).over(cell), n).alias("scale_x"),
-        safe_scale(mean_y, F.var_pop(y).over(cell), n).alias("scale_y"),
-        F.covar_pop(x, y).over(cell).alias("covariance"),
-    ).where("is_test and n_train > 1")
+    fitted = tested.join(trained, ["rm_code", "horizon", "test"])
     rho = F.col("covariance") / (F.col("scale_x") * F.col("scale_y"))
     beta = F.signum(rho) * F.greatest(F.abs(rho) - alpha, F.lit(0.0))
     z = (F.col("x") - F.col("mean_x")) / F.col("scale_x")

@@ -92,7 +92,9 @@ def fit_pooled(
 ) -> PooledLasso:
     """Standardise on the training rows, choose ``alpha`` by folds, fit on all of them.
 
-    Folds are a digest of the row key. ``keys`` must name each row once.
+    Folds are a digest of the row key. ``keys`` must name each row once. The driver
+    holds one matrix of products per fold, so the number of columns must be bounded: a
+    few thousand, whatever the number of rows.
     """
     names = [*columns, label]
     numbers = [F.col(f"`{c}`").cast("double") for c in names]
@@ -115,8 +117,9 @@ def fit_pooled(
 
     size = len(names) + 1
     sums = np.zeros((folds, size, size))
-    for row in product_sums(scaled, [f"z{k}" for k in range(len(names))]).collect():
-        sums[row["fold"], row["i"], row["j"]] = sums[row["fold"], row["j"], row["i"]] = row["value"]
+    found = product_sums(scaled, [f"z{k}" for k in range(len(names))]).toArrow()
+    fold, i, j, value = (found[c].to_numpy() for c in ("fold", "i", "j", "value"))
+    sums[fold, i, j] = sums[fold, j, i] = value
     total = sums.sum(axis=0)
 
     alphas = alpha_grid(alpha_bottom)

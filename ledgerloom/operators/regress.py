@@ -28,6 +28,8 @@ def tune(
 ) -> CrossValidatorModel:
     """Grid search over tree depth and boosting rounds.
 
+    The pipeline's scaler is Spark ML's: its quartiles are approximate and a column
+    that does not vary becomes 0 (``scaling.robust_scale`` is exact and divides by 1).
     Folds are a digest of the row key, so they do not depend on partitioning.
     """
     gbt = GBTRegressor(labelCol=label, featuresCol="scaled", seed=seed)
