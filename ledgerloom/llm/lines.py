@@ -6,10 +6,10 @@ minimum per hash function, long ones one minimum per bin of a single hash; those
 between take both, so any two lines that can be similar share a scheme. Signatures are cut into
 bands; nodes that share a band are compared by exact Jaccard similarity of their shingles.
 
-Within a band's bucket not all pairs are compared: first every node with the smallest
-one, then, once links have been joined into components, only nodes of different
-components. So a large group of similar lines costs a comparison per line, and no link
-between different components is missed.
+Within a band's bucket not all pairs are compared: first every node with the most
+frequent one, then, once links have been joined into components, only nodes of
+different components. So a large group of similar lines costs a comparison per line,
+and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,8 @@ BANDS, ROWS = 9, 4
 LONG, SHORT = 128, 200
 # Text handled at once; small, as about twenty bytes of arrays go with each character.
 SLICE = 1 << 20
-# Pairs across components that are compared in one go, for each listed member.
-AT_ONCE = 24
+# Nodes of a bucket that meet all its other components in one go.
+AT_ONCE = 64
 
 LINE_SCHEMA = "id long, tag long, line int, node long, bands array<long>"
 NAMELESS = (1 << 63) - 1
@@ -203,16 +203,17 @@ def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.
         )
 
 
-def similar_lines(lines: DataFrame, documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``node, root`` of nodes that are linked to others, from the table of lines and the texts."""
+def similar_lines(lines: DataFrame, nodes: DataFrame, documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``node, root`` of nodes that are linked to others, from the tables of lines and nodes and the texts."""
     spark = lines.sparkSession
     keyed = lines.where("bands is not null").select(F.explode("bands").alias("key"), "node")
     kept = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    buckets = written(kept.select("key", "least"), "line-buckets")
+    buckets = written(kept.select("key"), "line-buckets")
     may = spark.sparkContext.broadcast(sieve(buckets, "key"))
     rows = lines.where("bands is not null").select("node", "bands")
     maybe = rows.mapInArrow(lambda it: _members(it, may), "key long, node long").distinct()
-    members = written(maybe.join(buckets, "key").select("key", "node", "least"), "line-members")
+    known = maybe.join(buckets, "key").join(nodes.select("node", "n"), "node")
+    members = written(known.select("key", "node", "n"), "line-members")
 
     wanted = members.select("node").distinct()
     also = spark.sparkContext.broadcast(sieve(wanted, "node"))
@@ -226,43 +227,48 @@ def similar_lines(lines: DataFrame, documents: DataFrame, similar: float = SIMIL
         met = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
         return met.mapInArrow(lambda it: _compared(it, similar), "a long, b long")
 
-    tried = written(members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs")
+    # The line that occurs most often is likely the one that the others were made from.
+    centres = written(members.groupBy("key").agg(F.max(F.struct("n", "node"))["node"].alias("centre")), "line-centres")
+    tried = _pairs(members.join(centres, "key"), "centre", "node").where("a < b")
+    tried = written(tried.distinct(), "line-pairs")
     links = written(linked(tried), "line-links")
-    while True:
-        groups = components(links)
-        rest = _across(members, groups)
-        if rest is None:
-            return groups
-        pairs, last = rest
+    groups, done = components(links), None
+    while (rest := _across(members, groups, done)) is not None:
+        pairs, offered = rest
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        links = written(links.union(linked(pairs)), "line-links")
-        if last:
-            return components(links)
-        tried = tried.union(pairs)
+        more = written(linked(pairs), "line-links")
+        if not more.isEmpty():
+            links = written(links.union(more), "line-links")
+            groups = components(links)
+        tried, done = tried.union(pairs), offered if done is None else done.union(offered)
+    return groups
 
 
-def _across(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool] | None:
-    """Pairs of nodes that share a bucket but no component, and whether these are all of them.
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    Nodes outside a bucket's largest component meet all its other components. If that is
-    too much for one go, each bucket offers the members of its smallest component first.
+
+def _across(members: DataFrame, groups: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs of nodes that share a bucket but no component, and which nodes then have met all others.
+
+    Nodes that are not ``done`` in their bucket may still be strangers to each other unless
+    they are in one component. Those outside the largest one are offered, ``AT_ONCE`` of a
+    bucket at a time, and meet everybody of another component. None if nothing is left.
     """
     rooted = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "line-rooted")
-    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    biggest = F.max(F.struct("n", "root"))
-    per_key = per_root.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("roots"), biggest.alias("top"), F.min(F.struct("n", "root")).alias("few"))
-    mixed_keys = written(per_key.where("roots > 1").selectExpr("key", "all", "top.n as most", "top.root as top", "few.n as least", "few.root as few"), "line-mixed")
-    facts = mixed_keys.agg(F.sum("all").alias("rows"), F.sum(F.expr("(all - most) * all")).alias("cost")).first()
-    if not facts["rows"]:
+    left = rooted if done is None else rooted.join(done, ["key", "node"], "left_anti")
+    per_root = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+    per_key = per_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("top"))
+    mixed_keys = written(per_key.where("roots > 1").select("key", "top"), "line-mixed")
+    if mixed_keys.isEmpty():
         return None
-    last = facts["cost"] <= AT_ONCE * facts["rows"]
-    here = rooted.join(mixed_keys.select("key", "top", "few"), "key")
-    chosen = F.col("root") != F.col("top") if last else F.col("root") == F.col("few")
-    left = here.where(chosen).select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    right = here.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"))
-    met = left.join(right, "key").where("x_root != y_root")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), last
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("root", "node"))
+    minor = left.join(mixed_keys, "key").where("root != top").withColumn("turn", turn)
+    offered = written(minor.where(F.col("turn") <= AT_ONCE).select("key", "node", "root"), "line-offered")
+    here = rooted.join(mixed_keys, "key").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    met = offered.join(here, "key").where("root != other_root")
+    return _pairs(met, "node", "other").distinct(), offered.select("key", "node")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +306,9 @@ def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
         F.struct(*[c for c in documents.columns if c != "text"]).alias("row"),
     )
     lines = written(named.select("id", "tag", "text").mapInArrow(_lines, LINE_SCHEMA), "lines")
-    groups = similar_lines(lines, documents, similar)
     place = F.struct("id", "tag", "line")
-    nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    nodes = written(lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
+    groups = similar_lines(lines, nodes, documents, similar)
     rooted = nodes.join(groups, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
     once = rooted.where("not linked and n > 1").select("node", "first")
     group_first = rooted.where("linked").groupBy("root").agg(F.min("first").alias("first"))
