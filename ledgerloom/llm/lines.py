@@ -15,7 +15,7 @@ and no link between different components is missed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -220,12 +220,18 @@ def similar_lines(lines: DataFrame, nodes: DataFrame, documents: DataFrame, simi
     found = documents.select("text").mapInArrow(lambda it: _texts(it, also), "node long, text string")
     texts = found.groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts.join(wanted, "node", "left_semi"), "line-texts")
+    return joined_groups(members, texts, lambda it: _compared(it, similar))
+
+
+def joined_groups(members: DataFrame, texts: DataFrame, compared: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``node, root`` of nodes that are linked to others: those under one ``key`` of ``members``
+    (``key, node, n``) whose ``texts`` (``node, text``) pass ``compared``."""
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
         met = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
-        return met.mapInArrow(lambda it: _compared(it, similar), "a long, b long")
+        return met.mapInArrow(compared, "a long, b long")
 
     # The line that occurs most often is likely the one that the others were made from.
     centres = written(members.groupBy("key").agg(F.max(F.struct("n", "node"))["node"].alias("centre")), "line-centres")
