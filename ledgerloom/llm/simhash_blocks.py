@@ -145,8 +145,9 @@ def hex_digits(fp: str = "fp"):
 def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``documents`` with one row of each component: the one with the smallest ``doc_id``.
 
-    Of repeated rows with that id one stays. Rows of a component in which no row has
-    an id stay as they are: nothing tells which of them is meant.
+    Of repeated rows with that id one stays, also if their texts differ; rows without an
+    id all stay. The pipeline takes ``near_texts.one_of_similar``, which tells rows apart
+    by their texts.
     """
     found = near_duplicates(documents, radius, shingle)
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
