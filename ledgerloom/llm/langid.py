@@ -19,6 +19,8 @@ UNKNOWN = "und"
 # Documents per language that the models are fitted on, about; a tenth of them calibrates.
 SAMPLE_DOCS = 1500
 SLICE = 2 << 20
+# Share of a language's calibration texts whose excess bounds what is accepted.
+USUAL_SHARE = 0.9
 # Letters at which the spread of a text's cross-entropy has halved towards that of long texts.
 SHORT = 30.0
 
@@ -85,14 +87,15 @@ def _calibration_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.
 
 
 def sample(training: DataFrame, docs: int) -> DataFrame:
-    """About ``docs`` rows of each language, chosen by a hash of the text; ``fold`` from 0 to 9."""
-    counts = training.groupBy("lang").count().collect()  # a row per language
+    """About ``docs`` distinct texts of each language, chosen by a hash of the text; ``fold`` from 0 to 9."""
+    # A row per language. Copies of a text count once: all of them are drawn or none.
+    counts = training.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("count")).collect()
     if not counts:
         return training.select("lang", "text", F.lit(0).alias("fold")).limit(0)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(docs / r["count"]))])
     drawn = F.pmod(F.xxhash64("text", F.lit("language sample")), F.lit(1_000_003)) / 1_000_003
     fold = F.pmod(F.xxhash64("text", F.lit("language fold")), F.lit(10)).alias("fold")
-    return training.where(drawn < share[F.col("lang")]).select("lang", "text", fold)
+    return training.where(drawn < share[F.col("lang")]).select("lang", "text", fold).dropDuplicates(["lang", "text"])
 
 
 def train(training: DataFrame, docs: int = SAMPLE_DOCS) -> LanguageId | None:
@@ -122,8 +125,9 @@ def calibrate(model: Model, rows: pd.DataFrame) -> LanguageId:
     """Sharpness with the least log-loss, and the largest excess that accepted texts may have.
 
     A text is rejected if its best language explains it worse, by twice as much, than
-    that language explains the worst of its own calibration texts (and by two nats a
-    symbol at least, so that odd but genuine texts stay).
+    that language explains nine tenths of its own calibration texts (and by two nats a
+    symbol at least, so that odd but genuine texts stay). A few mislabelled texts do not
+    move that bound.
     """
     rows = rows[(rows.n > 0) & rows.lang.isin(model.languages)]
     count = len(model.languages)
@@ -141,7 +145,8 @@ def calibrate(model: Model, rows: pd.DataFrame) -> LanguageId:
         own = truth == j
         if own.any():
             usual[j] = np.average(entropy[own, j], weights=np.minimum(n[own], 1000))
-            slack[j] = max(2.0, 2.0 * np.max((entropy[own, j] - usual[j]) / spread(n[own])))
+            excess = (entropy[own, j] - usual[j]) / spread(n[own])
+            slack[j] = max(2.0, 2.0 * np.quantile(excess, USUAL_SHARE, method="lower"))
     return LanguageId(model, float(options[int(np.argmin(losses))]), usual, slack)
 
 

@@ -133,3 +133,21 @@ def test_nothing_to_learn_from(documents):
     rows = langid.identify(documents([(1, "text")]), None).collect()
     assert [tuple(r) for r in rows] == [(1, "und", 0.0, True)]
     assert langid.identify(documents([]), None).collect() == []
+
+
+def test_a_few_mislabelled_rows_do_not_widen_the_bound():
+    model = fitted({"x": ["abc abd"], "y": ["efg efh"]})
+    n = 150
+    entropy = [[2.0 + 0.2 * (i % 10) / 10, 5.0] for i in range(n)] + [[5.4, 2.0], [6.0, 2.2]]
+    rows = langid.pd.DataFrame({"lang": ["x"] * len(entropy), "entropy": entropy, "n": [1000] * len(entropy)})
+    found = langid.calibrate(model, rows)
+    assert found.slack[0] == 2.0
+    rejected = found.decide(np.array([[2.3, 9.0], [5.0, 9.0]]), np.array([1000, 1000]))[2]
+    assert rejected.tolist() == [False, True]
+
+
+def test_copies_of_a_text_are_one_text_of_the_sample(spark):
+    texts = [f"text number {i}" for i in range(400)] + [f"copied {i}" for i in range(5) for _ in range(1000)]
+    rows = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    found = [r["text"] for r in langid.sample(rows, 600).collect()]
+    assert Counter(found) == Counter(set(texts))
