@@ -64,7 +64,7 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
     """Band keys of each normalised line; none for lines that only equal lines can be similar to."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     sizes = np.array([len(t) - SHINGLE + 1 for t in texts], np.int64)
-    rows = np.flatnonzero(sizes > 1)
+    rows = np.flatnonzero(sizes > 0)
     if not len(rows):
         return out
     kept, size = [texts[i] for i in rows], sizes[rows]

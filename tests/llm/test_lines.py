@@ -105,3 +105,10 @@ def test_deduplicated_keeps_columns_and_untouched_texts(messy):
 
 def test_empty_table(documents):
     assert L.line_dedup(documents([])).collect() == []
+
+
+def test_lines_of_one_shingle_have_bands():
+    """Of one and of four equal shingles: the sets are the same."""
+    a, b, other, short = L.signatures(["-------", "----------", "=======", "------"])
+    assert len(a) and sorted(a.tolist()) == sorted(b.tolist())
+    assert not set(a.tolist()) & set(other.tolist()) and not len(short)
