@@ -162,4 +162,69 @@ SELECT doc_id, licence, coalesce(dice, 0)::DOUBLE AS dice, coalesce(n_matches, 0
 FROM raw LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1, "op2_source_mixing": OP2, "op4_licence_scan": OP4}
+# CRC-32, bit by bit over the ASCII bytes of the id.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))))"""
+
+OP11 = f"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w, coalesce({_CRC32}, 1) AS h FROM documents),
+places AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM raw),
+cycles AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM places),
+texts AS (
+    SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w
+    FROM cycles
+),
+word AS (SELECT r, n, i, w[i + 1] AS x FROM texts, UNNEST(range(0, n)) AS t(i)),
+alike AS (
+    SELECT a.r, b.i - a.i AS q, a.i
+    FROM word a JOIN word b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+),
+stretches AS (
+    SELECT r, q, min(i) AS s, count(*) + q AS l
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM alike)
+    GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+),
+runs AS (SELECT r, s, l, min(q) AS q FROM stretches GROUP BY r, s, l),
+gone AS (SELECT DISTINCT r, UNNEST(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+told AS (
+    SELECT r, count(*) AS n_runs, arg_min((s, l, q), (-l, s, q)) AS best,
+        string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t
+    FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1]::BIGINT AS start, best[2]::BIGINT AS length, best[3]::BIGINT AS period,
+    (1000 * best[2] // best[3])::BIGINT AS exponent_milli, sha256(coalesce(told.t, '')) AS runs_sha256,
+    sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+_TERMS = r"""list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"""
+
+OP13 = f"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+total AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM raw),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, UNNEST(t) AS term FROM raw) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term
+),
+damped AS (SELECT r, doc_id, 75 + (25 * len(t) * n_docs) // n_terms AS m FROM raw, total WHERE len(t) > 0),
+asked AS (SELECT i, item_id, UNNEST(t) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark)),
+wanted AS (SELECT i, item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+scored AS (
+    SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN damped USING (r) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": OP1,
+    "op2_source_mixing": OP2,
+    "op4_licence_scan": OP4,
+    "op11_periodic_runs": OP11,
+    "op13_lexical_search": OP13,
+}
