@@ -1,0 +1,173 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SMALL
+from ledgerloom.llm import periodic_runs
+from ledgerloom.llm.queries import op11_periodic_runs, with_cycles
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def brute(w, least=6, repeats=4):
+    """Every period tried at every place; the smallest period of equal stretches stays."""
+    found = {}
+    codes = np.unique(w, return_inverse=True)[1] if len(w) else np.zeros(0)
+    for q in range(1, len(w) // repeats + 1):
+        if (codes[q:] == codes[:-q]).sum() < max(least - q, (repeats - 1) * q):
+            continue
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, repeats * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def collapsed(w, runs):
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def answers(rows):
+    return sorted(
+        [
+            (r["doc_id"], r["n_words"], tuple((x["start"], x["length"], x["period"]) for x in r["runs"]), r["collapsed"])
+            for r in rows
+        ],
+        key=str,
+    )
+
+
+def expected(pairs, least=6, repeats=4):
+    out = []
+    for i, text in pairs:
+        w = words(text)
+        runs = brute(w, least, repeats)
+        out.append((i, len(w), tuple(runs), collapsed(w, runs)))
+    return sorted(out, key=str)
+
+
+def test_runs_by_hand(documents):
+    pairs = [
+        (1, "a b a b a b a b"),
+        (2, "a a a a a"),
+        (3, "x a a a a a a y"),
+        (4, "a b c a b c a b c a b"),
+        (5, "p a b a b a b a b a b q q q q q q"),
+    ]
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in periodic_runs.periodic_runs(documents(pairs)).collect()}
+    assert got == {1: [(0, 8, 2)], 2: [], 3: [(1, 6, 1)], 4: [], 5: [(1, 10, 2), (11, 6, 1)]}
+
+
+@pytest.mark.parametrize(("least", "repeats"), [(6, 4), (2, 2), (5, 3), (12, 2)])
+def test_random_texts_equal_brute_force(least, repeats):
+    rng = random.Random(least)
+    for _ in range(150):
+        docs = []
+        for _ in range(rng.randrange(1, 6)):
+            n, kinds = rng.randrange(70), rng.choice([1, 2, 3, 9])
+            doc = [rng.randrange(kinds) for _ in range(n)]
+            if n and rng.random() < 0.6:
+                p, a = rng.randrange(1, 9), rng.randrange(n)
+                doc[a:] = [doc[a + i % p] if a + i % p < n else 0 for i in range(n - a)]
+            docs.append(doc)
+        starts = np.cumsum([0, *map(len, docs)])
+        wanted = sorted(
+            ((s + starts[k], m, q) for k, d in enumerate(docs) for s, m, q in brute(d, least, repeats)), key=lambda r: (r[0], r[2])
+        )
+        codes = np.array([x for d in docs for x in d], np.int64)
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        assert [tuple(r) for r in periodic_runs.runs_of(codes, owner, least, repeats).tolist()] == wanted
+
+
+def test_nested_and_touching_runs():
+    # (aaaaaab) five times has a run of the whole and runs of its parts.
+    w = list("aaaaaab" * 5)
+    codes = np.array([ord(c) for c in w])
+    runs = [tuple(r) for r in periodic_runs.runs_of(codes, np.zeros(len(w), np.int64)).tolist()]
+    assert runs == brute(w) and (0, 35, 7) in runs and (0, 6, 1) in runs
+
+
+def test_equal_texts_side_by_side_stay_apart():
+    codes = np.tile(np.arange(3), 8)
+    owner = np.repeat(np.arange(8), 3)
+    assert len(periodic_runs.runs_of(codes, owner)) == 0
+
+
+def test_messy_rows(messy, messy_rows):
+    rows = periodic_runs.periodic_runs(messy().repartition(3)).collect()
+    assert answers(rows) == expected([(r[0], r[1]) for r in messy_rows])
+
+
+def test_a_very_long_text(documents):
+    rng = random.Random(3)
+    base = [str(rng.randrange(200)) for _ in range(9_001)]
+    cycled = " ".join(base[i % 9_001] for i in range(80_000))
+    same = "same " * 50_000
+    rows = periodic_runs.periodic_runs(documents([(1, cycled), (2, same)])).collect()
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in rows}
+    assert (0, 80_000, 9_001) in got[1] and got[2] == [(0, 50_000, 1)]
+
+
+def test_empty_table(documents):
+    assert periodic_runs.periodic_runs(documents([])).collect() == []
+
+
+def test_parameters():
+    assert periodic_runs.least_common(6, 4) == 5
+    with pytest.raises(ValueError):
+        periodic_runs.periodic_runs(None, repeats=1)
+
+
+def edited(doc_id, w):
+    """The stated edit in plain Python."""
+    if doc_id is None:
+        return w
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(w)
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def test_cycles_as_stated(messy, messy_rows, documents):
+    got = [(r["doc_id"], tuple(words(r["text"]))) for r in with_cycles(messy()).collect()]
+    assert sorted(got, key=str) == sorted([(r[0], tuple(edited(r[0], words(r[1])))) for r in messy_rows], key=str)
+    many = [(i, " ".join(map(str, range(i % 37)))) for i in range(-50, 400)]
+    got = {r["doc_id"]: words(r["text"]) for r in with_cycles(documents(many)).collect()}
+    assert got == {i: edited(i, words(t)) for i, t in many} and any(got[i] != words(t) for i, t in many)
+
+
+def test_whole_table_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    found = 0
+    wanted = {}
+    for r in docs:
+        w = edited(r["doc_id"], words(r["text"]))
+        runs = brute(w)
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2]), default=None)
+        told = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+        shas = [hashlib.sha256(t.encode()).hexdigest() for t in (told, collapsed(w, runs))]
+        found += len(runs)
+        wanted[r["doc_id"]] = (len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *shas)
+    columns = ["n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    got = {r["doc_id"]: tuple(r[c] for c in columns) for r in op11_periodic_runs(spark, SMALL).collect()}
+    assert got == wanted and found > 10
+
+
+def test_nothing_is_shuffled(spark):
+    df = op11_periodic_runs(spark, SMALL).withColumn("x", F.lit(1))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
