@@ -33,7 +33,7 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolv
     lead = np.abs(corr).argmax(axis=1)
     sign = np.zeros_like(corr)
     sign[here, lead] = np.sign(corr[here, lead])
-    left = np.full(len(rows), -1)
+    left, left_side = np.full(len(rows), -1), np.zeros(len(rows))
     for _ in range(steps_allowed(size)):
         if not len(rows):
             return
@@ -51,17 +51,19 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolv
         d[here, used] = step_used
         both = np.stack([step_used, w[here, used]], axis=1) @ towards
         slope, rest = both[:, 0], corr - both[:, 1]
-        outside = ~active
-        held = left >= 0
-        outside[np.flatnonzero(held), left[held]] = False
+        # A feature that has just left moves away from the bound it was on, but may reach the other one.
+        up, down = ~active, ~active
+        for side, sign_left in ((up, 1.0), (down, -1.0)):
+            held = np.flatnonzero((left >= 0) & (left_side == sign_left))
+            side[held, left[held]] = False
 
         def reach(gap: np.ndarray, speed: np.ndarray, allowed: np.ndarray) -> np.ndarray:
             usable = allowed & (speed > TINY)
             return np.where(usable, np.maximum(gap, 0) / np.where(usable, speed, 1.0), np.inf)
 
         a = alpha[:, None]
-        joins_up = reach(a - rest, 1 - slope, outside)
-        joins_down = reach(a + rest, 1 + slope, outside)
+        joins_up = reach(a - rest, 1 - slope, up)
+        joins_down = reach(a + rest, 1 + slope, down)
         drops = reach(np.abs(w), -d * np.sign(w), active & (w != 0))
         events = np.concatenate([joins_up, joins_down, drops], axis=1)
         first = events.argmin(axis=1)
@@ -73,8 +75,9 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolv
         kind, feature = np.divmod(first, size)
         w = w + step[:, None] * d
         alpha = low
-        left = np.full(len(rows), -1)
+        left, left_side = np.full(len(rows), -1), np.zeros(len(rows))
         gone = going & (kind == 2)
+        left_side[gone] = sign[gone, feature[gone]]
         w[gone, feature[gone]] = 0.0
         sign[gone, feature[gone]] = 0.0
         left[gone] = feature[gone]
@@ -82,7 +85,7 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolv
             sign[joined, feature[joined]] = direction
         if not going.all():
             rows, gram, corr, floor = rows[going], gram[going], corr[going], floor[going]
-            w, alpha, sign, left = w[going], alpha[going], sign[going], left[going]
+            w, alpha, sign, left, left_side = w[going], alpha[going], sign[going], left[going], left_side[going]
     unsolved.extend(rows.tolist())
 
 
