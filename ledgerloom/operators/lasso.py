@@ -40,7 +40,9 @@ MODEL_FIELDS = {
     "cv_r2": "double",
     "mape_pct": "double",
     "optimality_gap": "double",
-    "coefs": "array<struct<feature: string, coef: double>>",
+    "y_mean": "double",
+    "y_scale": "double",
+    "coefs": "array<struct<feature: string, coef: double, mean: double, scale: double>>",
 }
 
 
@@ -91,7 +93,7 @@ def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train
             if status:
                 yield cell | {"status": status, "coefs": None}
                 continue
-            jobs.append((cell, test, known, y_mean, y_scale))
+            jobs.append((cell, test, known, x_mean, x_scale, y_mean, y_scale))
             xs.append(zx * known)
             ys.append(zy)
     if not jobs:
@@ -104,7 +106,7 @@ def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train
     weights = lasso_weights(gram, corr, alphas[best])
     gaps = optimality_gap(gram, corr, alphas[best], weights)
     solved = np.isfinite(r2) & np.isfinite(weights).all(axis=1)
-    for b, (cell, test, known, y_mean, y_scale) in enumerate(jobs):
+    for b, (cell, test, known, x_mean, x_scale, y_mean, y_scale) in enumerate(jobs):
         if not solved[b]:
             yield cell | {"status": "path not solved", "coefs": None}
             continue
@@ -116,8 +118,11 @@ def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train
             "cv_r2": float(r2[b]),
             "mape_pct": float(100 * miss.mean()),
             "optimality_gap": float(gaps[b]),
+            "y_mean": float(y_mean),
+            "y_scale": float(y_scale),
             "coefs": [
-                {"feature": plan.columns[j], "coef": float(weights[b][j])} for j in np.flatnonzero(known)
+                dict(zip(("feature", "coef", "mean", "scale"), (plan.columns[j], *map(float, values)), strict=True))
+                for j, values in zip(np.flatnonzero(known), np.stack([weights[b], x_mean, x_scale], 1)[known], strict=True)
             ],
         }
 
@@ -207,7 +212,7 @@ def coefficients(models: DataFrame, places: int = 5) -> DataFrame:
     """One row per model and feature."""
     return models.where("status = 'ok'").select(
         "rm_code", "feature_set", "horizon", "test", F.inline("coefs")
-    ).withColumn("coef", F.round("coef", places))
+    ).withColumn("coef", F.round("coef", places)).drop("mean", "scale")
 
 
 def lasso_single_lag(

@@ -141,6 +141,10 @@ def ape(actual: str, predicted: str) -> str:
     return f"abs({actual} - ({predicted})) / greatest(abs({actual}), {EPS})"
 
 
+def digest(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
 def hot(column: str, value, name: str) -> str:
     literal = f"'{value}'" if isinstance(value, str) else value
     return f"{column} = {literal} AS {name}"
@@ -295,6 +299,101 @@ models AS (
   SELECT c.rm_code, c.horizon, c.test, n_train, n_test, status, alpha, cv_r2, coef, mape_pct
   FROM cells c LEFT JOIN weights USING (rm_code, horizon, test) LEFT JOIN tested USING (rm_code, horizon, test))"""
 
+SUPPLIER_FEATURES = FEATURES.replace(ar_matrix(), ar_matrix("l_suppkey"))
+
+ALPHAS = "alphas AS (SELECT i, 0.01::DOUBLE + 10 * i * (0.99::DOUBLE / 2999) AS alpha FROM (SELECT unnest(range(300)) AS i))"
+
+
+def two_weights(g: str = "g", c: str = "c") -> str:
+    """Both weights of a LASSO of two columns: one or none used, else the signs that agree with themselves."""
+    g1, g2, g12, c1, c2 = f"{g}1", f"{g}2", f"{g}12", f"{c}1", f"{c}2"
+    solo1 = f"CASE WHEN abs({c1}) <= alpha THEN 0 ELSE sign({c1}) * (abs({c1}) - alpha) / {g1} END"
+    solo2 = f"CASE WHEN abs({c2}) <= alpha THEN 0 ELSE sign({c2}) * (abs({c2}) - alpha) / {g2} END"
+    det = f"nullif({g1} * {g2} - {g12} * {g12}, 0)"
+    both = ""
+    for s1 in (1, -1):
+        for s2 in (1, -1):
+            w1 = f"(({c1} - alpha * {s1}) * {g2} - ({c2} - alpha * {s2}) * {g12}) / {det}"
+            w2 = f"(({c2} - alpha * {s2}) * {g1} - ({c1} - alpha * {s1}) * {g12}) / {det}"
+            both += f" WHEN ({w1}) * {s1} > 0 AND ({w2}) * {s2} > 0 THEN [{w1}, {w2}]"
+    return f"""CASE WHEN abs({c2} - {g12} * ({solo1})) <= alpha THEN [{solo1}, 0]
+        WHEN abs({c1} - {g12} * ({solo2})) <= alpha THEN [0, {solo2}]{both} END"""
+
+
+def search_two(matrix: str, first: str, second: str, horizons=HORIZONS, p: str = "") -> str:
+    """As ``SEARCH`` with two columns per horizon ``{h}``; tables are named with the prefix ``p``."""
+
+    def of_horizon(column: str) -> str:
+        return "CASE horizon " + " ".join(f"WHEN {h} THEN {column.format(h=h, next=h + 1)}" for h in horizons) + " END"
+
+    def scaled(x: str) -> str:
+        return f"avg(l.{x}) FILTER (l.ts < w.a) AS m{x}, stddev_pop(l.{x}) FILTER (l.ts < w.a) AS d{x}"
+
+    out, held = "FILTER (f.fold <> k.fold)", "FILTER (f.fold = k.fold)"
+    keys = "rm_code, horizon, test"
+    return f"""
+{p}horizons(horizon) AS (VALUES {", ".join(f"(CAST({h} AS INTEGER))" for h in horizons)}),
+{p}long AS (
+  SELECT rm_code, ts, month_idx, average_price AS y, horizon, CAST({of_horizon(first)} AS DOUBLE) AS u,
+         CAST({of_horizon(second)} AS DOUBLE) AS v
+  FROM {matrix}, {p}horizons),
+{p}sizes AS (
+  SELECT l.rm_code, l.horizon, w.test, any_value(w.a) AS a, any_value(w.b) AS b,
+         CAST(count(*) FILTER (l.ts < w.a) AS INTEGER) AS n_train,
+         CAST(count(*) FILTER (l.ts >= w.a AND l.ts < w.b) AS INTEGER) AS n_test,
+         {", ".join(scaled(x) for x in "uvy")}
+  FROM {p}long l CROSS JOIN windows w GROUP BY 1, 2, 3),
+{p}cells AS (
+  SELECT *, {", ".join(f"CASE WHEN d{x} = 0 THEN 1 ELSE d{x} END AS s{x}" for x in "uvy")},
+         CASE WHEN n_train < 10 THEN 'too few training rows' WHEN n_test = 0 THEN 'no test rows' ELSE 'ok' END AS status
+  FROM {p}sizes),
+{p}train AS (
+  SELECT c.rm_code, c.horizon, c.test, c.n_train, (u - mu) / su AS u, (v - mv) / sv AS v, (y - my) / sy AS y,
+         row_number() OVER (PARTITION BY c.rm_code, c.horizon, c.test ORDER BY l.ts) - 1 AS i
+  FROM {p}cells c JOIN {p}long l ON l.rm_code = c.rm_code AND l.horizon = c.horizon AND l.ts < c.a
+  WHERE status = 'ok'),
+{p}folded AS (
+  SELECT *, CASE WHEN i < (n_train % 5) * (n_train // 5 + 1) THEN i // (n_train // 5 + 1)
+            ELSE (n_train % 5) + (i - (n_train % 5) * (n_train // 5 + 1)) // (n_train // 5) END AS fold
+  FROM {p}train),
+{p}sides AS (
+  SELECT {keys}, k.fold, {", ".join(f"avg({x}) {out} AS {x}m, avg({x}) {held} AS {x}h" for x in "uvy")},
+         var_pop(u) {out} AS g1, var_pop(v) {out} AS g2, covar_pop(u, v) {out} AS g12,
+         covar_pop(u, y) {out} AS c1, covar_pop(v, y) {out} AS c2, count(*) {held} AS n,
+         var_pop(u) {held} AS h1, var_pop(v) {held} AS h2, covar_pop(u, v) {held} AS h12,
+         covar_pop(u, y) {held} AS r1, covar_pop(v, y) {held} AS r2, var_pop(y) {held} AS vy
+  FROM {p}folded f CROSS JOIN (SELECT unnest(range(5)) AS fold) k GROUP BY {keys}, k.fold),
+{p}{ALPHAS},
+{p}fits AS (SELECT s.*, i, alpha, {two_weights()} AS w FROM {p}sides s CROSS JOIN {p}alphas),
+{p}errors AS (
+  SELECT *, n * (vy - 2 * (w[1] * r1 + w[2] * r2) + w[1] * w[1] * h1 + 2 * w[1] * w[2] * h12 + w[2] * w[2] * h2
+                 + (yh - ym - w[1] * (uh - um) - w[2] * (vh - vm)) ** 2) AS sse FROM {p}fits),
+{p}means AS (
+  SELECT {keys}, i, any_value(alpha) AS alpha, avg(CASE WHEN vy > 0 THEN 1 - sse / (n * vy) ELSE 0 END) AS cv_r2
+  FROM {p}errors GROUP BY {keys}, i),
+{p}chosen AS (
+  SELECT * FROM {p}means QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(cv_r2, 9) DESC, i) = 1),
+{p}products AS (
+  SELECT {keys}, any_value(alpha) AS alpha, any_value(cv_r2) AS cv_r2, avg(u * u) AS g1, avg(v * v) AS g2,
+         avg(u * v) AS g12, avg(u * y) AS c1, avg(v * y) AS c2
+  FROM {p}train JOIN {p}chosen USING ({keys}) GROUP BY {keys}),
+{p}weights AS (SELECT {keys}, alpha, cv_r2, {two_weights()} AS w FROM {p}products),
+{p}forecasts AS (
+  SELECT w.rm_code, w.horizon, w.test, l.month_idx, l.ts, l.y AS actual,
+         my + sy * (w.w[1] * (u - mu) / su + w.w[2] * (v - mv) / sv) AS predicted
+  FROM {p}weights w JOIN {p}cells c USING ({keys})
+  JOIN {p}long l ON l.rm_code = c.rm_code AND l.horizon = c.horizon AND l.ts >= c.a AND l.ts < c.b),
+{p}tested AS (SELECT {keys}, 100 * avg({ape('actual', 'predicted')}) AS mape_pct FROM {p}forecasts GROUP BY {keys}),
+{p}models AS (
+  SELECT c.rm_code, c.horizon, c.test, n_train, n_test, status, alpha, cv_r2, w[1] AS coef_1, w[2] AS coef_2, mape_pct
+  FROM {p}cells c LEFT JOIN {p}weights USING ({keys}) LEFT JOIN {p}tested USING ({keys}))"""
+
+
+TWO_SHOWN = f"""rm_code, horizon, test, n_train, n_test, status, {rnd('alpha', 5)} AS alpha, {rnd('cv_r2', 5)} AS cv_r2,
+             {rnd('mape_pct', 4)} AS mape_pct, {rnd('coef_1', 5)} AS coef_1, {rnd('coef_2', 5)} AS coef_2"""
+
+WITH_DRIVER = f"WITH {SUPPLIER_FEATURES}, {TEST_WINDOWS}, {search_two('features', q.PAIR_DRIVER + '_{h}', 'AR_{h}')}"
+
 WEEKDAYS = "strftime(date, '%A')"
 
 BACKS = ", ".join(f"CAST(date - INTERVAL {i} MONTH AS DATE) AS back_{i}" for i in LAGS.lags)
@@ -559,6 +658,80 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT rm_code, 'NAIVE', horizon, mape_pct FROM ({PERSISTENCE}) WHERE horizon = 1)
       SELECT rm_code, feature_set, horizon, count(*) AS n_windows, {rnd('avg(mape_pct)', 3)} AS mape_pct
       FROM scores GROUP BY 1, 2, 3""",
+    "lasso_search_two_lags": f"""WITH {ar_matrix('l_suppkey')}, {TEST_WINDOWS}, {search_two('ar_matrix', 'AR_{h}', 'AR_{next}')}
+      SELECT {TWO_SHOWN} FROM models""",
+    "lasso_search_with_driver": f"{WITH_DRIVER} SELECT {TWO_SHOWN} FROM models",
+    "coef_export_with_driver": f"""{WITH_DRIVER}
+      SELECT rm_code, horizon, test, {", ".join(
+          f"CASE WHEN horizon = {h} THEN {rnd(f'coef_{k}', 5)} END AS {name}_{h}"
+          for h in HORIZONS for k, name in ((1, q.PAIR_DRIVER), (2, 'AR')))}
+      FROM models WHERE status = 'ok'""",
+    "backtest_matrix_with_driver": f"""WITH {SUPPLIER_FEATURES}, {TEST_WINDOWS},
+      {search_two('features', 'AR_{h}', '0', [1], 'ar_')}, {search_two('features', q.PAIR_DRIVER + '_{h}', 'AR_{h}', [1])},
+      scores AS (
+        SELECT rm_code, 'AR' AS feature_set, horizon, mape_pct FROM ar_models WHERE status = 'ok'
+        UNION ALL SELECT rm_code, 'ALL', horizon, mape_pct FROM models WHERE status = 'ok'
+        UNION ALL SELECT rm_code, 'NAIVE', horizon, mape_pct FROM (
+          {PERSISTENCE.replace('ar_matrix f', 'features f')}) WHERE horizon = 1)
+      SELECT rm_code, feature_set, horizon, count(*) AS n_windows, {rnd('avg(mape_pct)', 3)} AS mape_pct
+      FROM scores GROUP BY 1, 2, 3""",
+    "lasso_forecasts": f"""{WITH_DRIVER}
+      SELECT rm_code, 'ALL' AS feature_set, horizon, test, month_idx, ts, actual, {rnd('predicted', 3)} AS predicted
+      FROM forecasts""",
+    "lasso_actual_vs_predicted": f"""{WITH_DRIVER}
+      SELECT rm_code, horizon, test, month_idx, ts >= TIMESTAMP '{q.CUT}' AS is_forecast, 'ground_truth' AS kind,
+             {rnd('actual', 3)} AS value FROM forecasts
+      UNION ALL
+      SELECT rm_code, horizon, test, month_idx, ts >= TIMESTAMP '{q.CUT}', 'prediction', {rnd('predicted', 3)} FROM forecasts""",
+    "lasso_largest_errors": f"""{WITH_DRIVER}
+      SELECT rm_code, horizon, test, month_idx, actual, {rnd('predicted', 3)} AS predicted,
+             {rnd('abs(actual - predicted)', 3)} AS abs_error
+      FROM forecasts ORDER BY {rnd('abs(actual - predicted)', 3)} DESC, rm_code, horizon, test, month_idx LIMIT {q.TOP_K}""",
+    "lasso_optimality": f"""WITH {SUPPLIER_FEATURES}, {TEST_WINDOWS},
+      counts AS (
+        SELECT f.rm_code, w.test, count(*) FILTER (f.ts < w.a) AS n_train,
+               count(*) FILTER (f.ts >= w.a AND f.ts < w.b) AS n_test
+        FROM features f CROSS JOIN windows w GROUP BY 1, 2)
+      SELECT rm_code, s AS feature_set, horizon, test, n_train, CAST(({LAGS.last} + 1 - horizon) * m AS INTEGER) AS n_columns,
+             TRUE AS is_optimal, TRUE AS has_its_scales
+      FROM counts CROSS JOIN (VALUES {", ".join(f"(CAST({h} AS INTEGER))" for h in HORIZONS)}) h(horizon)
+      CROSS JOIN (VALUES ('AR', 1), ('ALL', {len(DRIVERS) + 1})) v(s, m)
+      WHERE n_train >= 10 AND n_test > 0""",
+    "pooled_lasso_two_features": f"""WITH {FEATURES.replace(ar_matrix(), ar_matrix('p_brand'))},
+      split AS (
+        SELECT rm_code, AR_1 AS u, {q.PAIR_DRIVER}_1 AS v, average_price AS y,
+               {digest('rm_code', 'month_idx', f"'{q.SPLIT_SEED}'")} % 100 < {q.TEST_PERCENT} AS is_test,
+               {digest('rm_code', 'month_idx', "'1'")} % 5 AS fold
+        FROM features),
+      scales AS (SELECT {", ".join(f"avg({x}) AS m{x}, stddev_pop({x}) AS s{x}" for x in "uvy")} FROM split WHERE NOT is_test),
+      train AS (SELECT fold, {", ".join(f"({x} - m{x}) / s{x} AS {x}" for x in "uvy")} FROM split, scales WHERE NOT is_test),
+      sides AS (
+        SELECT k.fold, {", ".join(f"avg({x}) FILTER (t.fold <> k.fold) AS {x}m, avg({x}) FILTER (t.fold = k.fold) AS {x}h" for x in "uvy")},
+               var_pop(u) FILTER (t.fold <> k.fold) AS g1, var_pop(v) FILTER (t.fold <> k.fold) AS g2,
+               covar_pop(u, v) FILTER (t.fold <> k.fold) AS g12, covar_pop(u, y) FILTER (t.fold <> k.fold) AS c1,
+               covar_pop(v, y) FILTER (t.fold <> k.fold) AS c2, var_pop(u) FILTER (t.fold = k.fold) AS h1,
+               var_pop(v) FILTER (t.fold = k.fold) AS h2, covar_pop(u, v) FILTER (t.fold = k.fold) AS h12,
+               covar_pop(u, y) FILTER (t.fold = k.fold) AS r1, covar_pop(v, y) FILTER (t.fold = k.fold) AS r2,
+               var_pop(y) FILTER (t.fold = k.fold) AS vy
+        FROM train t CROSS JOIN (SELECT unnest(range(5)) AS fold) k GROUP BY k.fold),
+      {ALPHAS},
+      fits AS (SELECT s.*, i, alpha, {two_weights()} AS w FROM sides s CROSS JOIN alphas),
+      chosen AS (
+        SELECT i, any_value(alpha) AS alpha, avg(1 - (vy - 2 * (w[1] * r1 + w[2] * r2) + w[1] * w[1] * h1 + 2 * w[1] * w[2] * h12
+               + w[2] * w[2] * h2 + (yh - ym - w[1] * (uh - um) - w[2] * (vh - vm)) ** 2) / vy) AS cv_r2
+        FROM fits GROUP BY i ORDER BY round(cv_r2, 9) DESC, i LIMIT 1),
+      products AS (
+        SELECT any_value(alpha) AS alpha, var_pop(u) AS g1, var_pop(v) AS g2, covar_pop(u, v) AS g12,
+               covar_pop(u, y) AS c1, covar_pop(v, y) AS c2
+        FROM train, chosen),
+      model AS (SELECT {two_weights()} AS w FROM products),
+      scored AS (
+        SELECT rm_code, is_test, y, my + sy * (w[1] * (u - mu) / su + w[2] * (v - mv) / sv) AS p
+        FROM split, scales, model)
+      SELECT rm_code, is_test, count(*) AS n, {rnd(f"avg({ape('y', 'p')})", 4)} AS mape,
+             {rnd(f"100 * avg({ape('y', 'p')})", 2)} AS mape_pct, {rnd('avg((y - p) * (y - p))', -4)} AS mse,
+             {rnd('avg(abs(y - p))', 1)} AS mae, {rnd('1 - avg((y - p) * (y - p)) / var_pop(y)', 4)} AS r2
+      FROM scored GROUP BY 1, 2""",
     "request_features": f"""WITH {ar_matrix('p_brand', range(1, 5))},{SERIES},
       asked AS (SELECT month_idx, URGENT, HIGH FROM wide WHERE URGENT IS NOT NULL)
       SELECT a.rm_code, 'goods' AS group_desc, a.month_idx, a.ts, a.average_price,

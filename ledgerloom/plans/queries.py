@@ -21,7 +21,7 @@ from ledgerloom.functions.months import (
     year_of,
 )
 from ledgerloom.functions.rounding import round_columns, scaled_round, whole
-from ledgerloom.operators import baseline, charts, clean, encode, explore, features, lasso
+from ledgerloom.operators import baseline, charts, clean, encode, explore, features, forecast, lasso
 from ledgerloom.operators import panel as panels
 from ledgerloom.operators import pooled, quality, regress, scaling, split
 from ledgerloom.config import JobRequest, LagWindow
@@ -44,6 +44,8 @@ FLOOR_DAY = "1996-01-01"
 SHIFT_DAYS = 45
 ALPHA = 0.1
 TOP_K = 20
+# The driver of the models with two features, which SQL can follow.
+PAIR_DRIVER = "URGENT"
 SPLIT_SEED = 42
 TEST_PERCENT = 30
 
@@ -630,6 +632,103 @@ def backtest_matrix_single_lag(spark, sf_dir):
     return round_columns(scores, ["mape_pct"], 3)
 
 
+def _shown(cells: DataFrame, names: Callable[[int], tuple[str, str]]) -> DataFrame:
+    """A model per row with its two weights; ``names`` tells the features of a horizon."""
+    by_name = F.map_from_entries(F.transform("coefs", lambda c: F.struct(c["feature"], c["coef"])))
+
+    def weight(k: int):
+        name = F.create_map(*[F.lit(x) for h in HORIZONS for x in (h, names(h)[k])])[F.col("horizon")]
+        return F.try_element_at(by_name, name).alias(f"coef_{k + 1}")
+
+    shown = cells.select(
+        "rm_code", "horizon", "test", "n_train", "n_test", "status", "alpha", "cv_r2", "mape_pct", weight(0), weight(1)
+    )
+    return round_columns(round_columns(shown, ["alpha", "cv_r2", "coef_1", "coef_2"], 5), ["mape_pct"], 4)
+
+
+@query
+def lasso_search_two_lags(spark, sf_dir):
+    """The search with two autoregressive features per horizon, which SQL can still follow."""
+    matrix = cut_lineage(_supplier_ar(spark, sf_dir))
+    parts = [lasso.train_ar(matrix, LagWindow(h, h + 1), [h], WINDOWS) for h in HORIZONS]
+    return _shown(reduce(DataFrame.unionByName, parts), lambda h: (f"AR_{h}", f"AR_{h + 1}"))
+
+
+def _lag_and_driver(matrix: DataFrame) -> DataFrame:
+    parts = [lasso.train_all_features(matrix, [PAIR_DRIVER], LagWindow(h, h), [h], WINDOWS) for h in HORIZONS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def lasso_search_with_driver(spark, sf_dir):
+    """The search with one autoregressive feature and one driver per horizon."""
+    cells = _lag_and_driver(cut_lineage(_supplier_features(spark, sf_dir)))
+    return _shown(cells, lambda h: (f"{PAIR_DRIVER}_{h}", f"AR_{h}"))
+
+
+PAIR_COLUMNS = [f"{name}_{h}" for h in HORIZONS for name in (PAIR_DRIVER, "AR")]
+
+
+@query
+def coef_export_with_driver(spark, sf_dir):
+    """Coefficient file of these models, read back."""
+    path = _folder(spark, "coefficients")
+    coefs = lasso.coefficients(_lag_and_driver(cut_lineage(_supplier_features(spark, sf_dir))), places=9)
+    sinks.write_coefficients(sinks.coefficient_table(coefs, PAIR_COLUMNS, 9), path)
+    return round_columns(sinks.read_coefficients(spark, path, PAIR_COLUMNS, "long"), PAIR_COLUMNS, 5)
+
+
+@query
+def backtest_matrix_with_driver(spark, sf_dir):
+    """Mean error over the windows: persistence, lag 1, lag 1 and a driver."""
+    matrix = cut_lineage(_supplier_features(spark, sf_dir))
+    return round_columns(jobs.forecast_plan(matrix, [PAIR_DRIVER], LagWindow(1, 1), [1], WINDOWS), ["mape_pct"], 3)
+
+
+def _stored_forecasts(spark, sf_dir) -> DataFrame:
+    """Models fitted, written, read again and applied to their test windows."""
+    matrix, path = cut_lineage(_supplier_features(spark, sf_dir)), _folder(spark, "models")
+    fitted = forecast.model_table(_lag_and_driver(matrix), PAIR_COLUMNS)
+    forecast.write_models(fitted, path, PAIR_COLUMNS)
+    return forecast.window_forecasts(forecast.read_models(spark, path, PAIR_COLUMNS, "long"), matrix, WINDOWS, PAIR_COLUMNS)
+
+
+@query
+def lasso_forecasts(spark, sf_dir):
+    """A row per forecast of the stored models."""
+    return round_columns(_stored_forecasts(spark, sf_dir), ["predicted"], 3)
+
+
+@query
+def lasso_actual_vs_predicted(spark, sf_dir):
+    """The stored models' forecasts as a long, chart-ready frame."""
+    ids = ["rm_code", "horizon", "test", "month_idx"]
+    rows = charts.actual_vs_predicted(_stored_forecasts(spark, sf_dir), ids, "actual", "predicted", CUT)
+    return round_columns(rows, ["value"], 3)
+
+
+@query
+def lasso_largest_errors(spark, sf_dir):
+    """The stored models' worst forecasts."""
+    found = _stored_forecasts(spark, sf_dir).withColumn("abs_error", F.abs(F.col("actual") - F.col("predicted")))
+    rows = round_columns(found.drop("feature_set", "ts"), ["predicted", "abs_error"], 3)
+    return rows.orderBy(F.desc("abs_error"), "rm_code", "horizon", "test", "month_idx").limit(TOP_K)
+
+
+@query
+def lasso_optimality(spark, sf_dir):
+    """Whether each stored model with all features solves its own problem, by its training rows."""
+    matrix, path = cut_lineage(_supplier_features(spark, sf_dir)), _folder(spark, "models")
+    names = features.feature_names(DRIVERS, LAGS)
+    fitted = lasso.backtest(matrix, DRIVERS, LAGS, HORIZONS, WINDOWS)
+    forecast.write_models(forecast.model_table(fitted, names), path, names)
+    found = forecast.optimality(forecast.read_models(spark, path, names, "long"), matrix, WINDOWS, names)
+    return found.select(
+        *forecast.MODEL_KEYS, "n_train", "n_columns",
+        (F.col("violation") <= 1e-8).alias("is_optimal"), (F.col("scale_error") <= 1e-8).alias("has_its_scales"),
+    )
+
+
 @query
 def backtest_cells(spark, sf_dir):
     """Which models were trained, on how many rows."""
@@ -670,6 +769,19 @@ def pooled_lasso(spark, sf_dir):
     return baseline.naive_errors(scored, ["rm_code", "is_test"], "average_price", "prediction")
 
 
+@query
+def pooled_lasso_two_features(spark, sf_dir):
+    """The pooled model with one lag and one driver, which SQL can follow."""
+    panel = panels.monthly_panel(_brand_ledger(spark, sf_dir))
+    matrix = features.feature_matrix(panel, tables.driver_series(spark, sf_dir), DRIVERS, LAGS, YEARS)
+    keys = ["rm_code", "month_idx"]
+    rows = split.hash_split(cut_lineage(matrix), keys, TEST_PERCENT, SPLIT_SEED)
+    model = pooled.fit_pooled(rows.where("not is_test"), ["AR_1", f"{PAIR_DRIVER}_1"], keys)
+    errors = baseline.naive_errors(model.predict(rows), ["rm_code", "is_test"], "average_price", "prediction")
+    errors = round_columns(round_columns(errors, ["mape", "r2"], 4), ["mape_pct"], 2)
+    return round_columns(round_columns(errors, ["mae"], 1), ["mse"], -4)
+
+
 @query
 def tuned_regressor(spark, sf_dir):
     """Boosted trees tuned on the training rows, scored on the later ones."""
