@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.config import YearWindow
 from ledgerloom.functions.months import mid_month, month_of, year_of
+from ledgerloom.operators.month_bits import absent_months, month_bits
 
 KEYS = ["rm_code", "month_idx"]
 
@@ -138,24 +139,10 @@ def month_grid(ledger: DataFrame, calendar: str | YearWindow = "observed") -> Da
 def missing_cells(ledger: DataFrame, calendar: str | YearWindow = "observed") -> DataFrame:
     """Grid cells without a priced purchase; ``is_leading`` marks those before the first.
 
-    A code without any price misses every cell. The array per code holds months,
-    so the calendar bounds it.
+    A code without any price misses every cell. Rows without a month stand in no cell.
     """
-    return _absent_cells(ledger, F.col("price").isNotNull(), calendar)
-
-
-def _absent_cells(ledger: DataFrame, counts: Column, calendar: str | YearWindow) -> DataFrame:
-    """Cells of all codes of the ledger that have no row for which ``counts`` holds."""
-    bought = (
-        ledger.groupBy(*KEYS)
-        .agg(F.max(counts).alias("counts"))
-        .groupBy("rm_code")
-        .agg(F.collect_list(F.when(F.col("counts"), F.col("month_idx"))).alias("bought"))
-    )
-    gaps = F.array_except(calendar_months(ledger, calendar), F.col("bought"))
-    return bought.select(
-        "rm_code", F.array_min("bought").alias("first_month"), F.explode(gaps).alias("month_idx")
-    ).select(*KEYS, F.coalesce(F.col("month_idx") < F.col("first_month"), F.lit(True)).alias("is_leading"))
+    bits = month_bits(ledger, F.col("price").isNotNull())
+    return absent_months(bits, calendar_months(ledger, calendar))
 
 
 def grid_left_facts(ledger: DataFrame, calendar: str | YearWindow = "observed") -> DataFrame:
@@ -165,7 +152,7 @@ def grid_left_facts(ledger: DataFrame, calendar: str | YearWindow = "observed")
     not shuffled: only the cells it lacks are computed and appended.
     """
     facts = ledger.select(*KEYS, "ts", "price")
-    empty = _absent_cells(ledger, F.lit(True), calendar).select(
+    empty = absent_months(month_bits(ledger), calendar_months(ledger, calendar)).select(
         *KEYS, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("price")
     )
     return facts.unionByName(empty)

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ledgerloom.config import LagWindow
 from ledgerloom.operators.features import driver_names, feature_names
+from ledgerloom.operators.month_bits import is_bought
 
 
 def unfold_checks(counts: DataFrame) -> DataFrame:
@@ -102,8 +103,24 @@ def driver_report(series: DataFrame, names: Iterable[str] | None = None) -> Data
     return unfold_checks(series.agg(*counts))
 
 
+def feature_checks(names: list[str], lags: LagWindow, bits: str = "_bits") -> dict[str, Column]:
+    """No nulls, and no row in a month that the code's ``bits`` lack."""
+    return null_checks(["average_price", *feature_names(names, lags)]) | {"imputed_target": ~is_bought(bits=bits)}
+
+
+def with_bits(features: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows with their code's bought months as ``_bits``, null for a code without any."""
+    return features.join(bits.select("rm_code", F.col("bits").alias("_bits")), "rm_code", "left")
+
+
 def feature_report(features: DataFrame, missing: DataFrame, names: list[str], lags: LagWindow) -> DataFrame:
-    """No nulls, and no row in a month without a purchase."""
+    """No nulls, and no row in a month without a purchase.
+
+    ``missing`` has the bought months as one row of ``month_bits`` per code, or the
+    cells without a purchase as rows.
+    """
+    if "bits" in missing.columns:
+        return expectations(with_bits(features, missing), feature_checks(names, lags))
     columns = feature_names(names, lags)
     unbought = missing.select("rm_code", "month_idx", F.lit(True).alias("_unbought"))
     marked = features.join(unbought, ["rm_code", "month_idx"], "left")
@@ -111,6 +128,39 @@ def feature_report(features: DataFrame, missing: DataFrame, names: list[str], la
     return expectations(marked, checks | {"imputed_target": F.col("_unbought").isNotNull()})
 
 
+class Watch:
+    """Checks worked out by the pass that writes the frames, without reading them again.
+
+    ``frame`` marks a frame; its counts are there once an action has run a plan that holds
+    the frame once. Tasks that run again after an executor is lost count their rows
+    again: violations may then be overstated, never be missed.
+    """
+
+    def __init__(self) -> None:
+        self._stages: dict[str, tuple[Observation, list[str]]] = {}
+
+    def frame(self, df: DataFrame, stage: str, broken: Mapping[str, Column] | None = None) -> DataFrame:
+        """``df`` with its rows, and the rows breaking each condition, counted on the way."""
+        counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in (broken or {}).items()]]
+        self._stages[stage] = Observation(), list(broken or {})
+        return df.observe(self._stages[stage][0], *counts)
+
+    def rows(self, stage: str) -> int:
+        return self._stages[stage][0].get["rows"]
+
+    def found(self, stage: str) -> list[tuple[str, int]]:
+        """``(check, violations)`` of a stage; waits for the action."""
+        observation, names = self._stages[stage]
+        counts = observation.get
+        return [("is_empty", int(counts["rows"] == 0)), *[(n, counts[n]) for n in names]]
+
+
+def report_rows(spark: SparkSession, found: Mapping[str, list[tuple[str, int]]]) -> DataFrame:
+    """Counts that are known already as a report of several stages."""
+    rows = [(stage, check, int(n)) for stage, listed in found.items() for check, n in listed]
+    return spark.createDataFrame(rows, "stage string, check string, violations long")
+
+
 def not_more_rows(after: DataFrame, before: DataFrame) -> DataFrame:
     """Rows that a step has added although it may only drop some."""
     before_n = before.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -15,7 +15,8 @@ from ledgerloom.operators.encode import one_hot_codes
 from ledgerloom.operators.explore import driver_correlation, monthly_indices, peak_shift_days, two_level_panel
 from ledgerloom.operators.features import ar_matrix, feature_matrix
 from ledgerloom.operators.lasso import backtest
-from ledgerloom.operators.panel import missing_cells, monthly_panel
+from ledgerloom.operators.month_bits import month_bits
+from ledgerloom.operators.panel import monthly_panel
 from ledgerloom.operators.quality import (
     check_feature_columns,
     driver_report,
@@ -62,7 +63,8 @@ def feature_plan(
     )
     if check:
         check_feature_columns(features, names, request.lags)
-        require(feature_report(features, missing_cells(clean), names, request.lags))
+        bought = month_bits(clean, F.col("price").isNotNull())
+        require(feature_report(features, bought, names, request.lags))
     return one_hot_codes(features, codes)
 
 

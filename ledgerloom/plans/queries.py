@@ -21,7 +21,7 @@ from ledgerloom.functions.months import (
     year_of,
 )
 from ledgerloom.functions.rounding import round_columns, scaled_round, whole
-from ledgerloom.operators import baseline, charts, clean, encode, explore, features, forecast, lasso
+from ledgerloom.operators import baseline, charts, clean, encode, explore, features, forecast, lasso, month_bits
 from ledgerloom.operators import panel as panels
 from ledgerloom.operators import pooled, quality, regress, scaling, split
 from ledgerloom.config import JobRequest, LagWindow
@@ -361,7 +361,7 @@ def monthly_target(spark, sf_dir):
 def exclude_imputed(spark, sf_dir):
     ledger = tables.clean_purchases(spark, sf_dir)
     target = panels.monthly_target(panels.monthly_panel(ledger))
-    bought = panels.exclude_imputed(target, panels.missing_cells(ledger))
+    bought = month_bits.only_bought(target, month_bits.month_bits(ledger, F.col("price").isNotNull()))
     return bought.select("rm_code", "month_idx", "ts", "average_price")
 
 
@@ -834,24 +834,28 @@ def feature_scan_of_a_group(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    """Checks of a feature run; the ledger is judged before its year filter."""
+    """Checks of a feature run by the pass that writes it; the ledger is judged before its year filter."""
     per_code = quality.ledger_counts(tables.purchases(spark, sf_dir))
     grouped = per_code.join(tables.group_of_code(spark, sf_dir), "rm_code", "left")
     drivers = tables.driver_series(spark, sf_dir)
     plain = tables.clean_purchases(spark, sf_dir)
-    panel = panels.monthly_panel(plain)
+    watch = quality.Watch()
+    panel = watch.frame(panels.monthly_panel(plain), "panel")
     matrix = features.feature_matrix(panel, drivers, DRIVERS, LAGS, YEARS)
     quality.check_feature_columns(matrix, DRIVERS, LAGS)
-    crossed = features.interaction_terms(encode.one_hot_codes(matrix, [1]), [1], SHORT_LAGS)
-    return quality.union_reports(
-        {
-            "ledger": quality.report_counts(grouped),
-            "drivers": quality.driver_report(drivers, DRIVERS),
-            "features": quality.feature_report(matrix, panels.missing_cells(plain), DRIVERS, LAGS),
-            "matrix_of_panel": quality.not_more_rows(matrix, panel),
-            "interactions_of_matrix": quality.same_rows(crossed, matrix),
-        }
+    marked = quality.with_bits(matrix, month_bits.month_bits(plain, F.col("price").isNotNull()))
+    marked = watch.frame(marked, "features", quality.feature_checks(DRIVERS, LAGS)).drop("_bits")
+    crossed = features.interaction_terms(encode.one_hot_codes(marked, [1]), [1], SHORT_LAGS)
+    watch.frame(crossed, "interactions").write.parquet(_folder(spark, "matrix"))
+    written = {
+        "features": watch.found("features"),
+        "matrix_of_panel": [("rows_added", max(watch.rows("features") - watch.rows("panel"), 0))],
+        "interactions_of_matrix": [("rows_changed", abs(watch.rows("interactions") - watch.rows("features")))],
+    }
+    judged = quality.union_reports(
+        {"ledger": quality.report_counts(grouped), "drivers": quality.driver_report(drivers, DRIVERS)}
     )
+    return judged.unionByName(quality.report_rows(spark, written))
 
 
 @query
