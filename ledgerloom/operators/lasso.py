@@ -19,6 +19,7 @@ from ledgerloom.functions.lasso_path import lasso_weights, optimality_gap, searc
 from ledgerloom.functions.metrics import EPSILON, mape
 from ledgerloom.operators.features import ar_names, feature_names
 from ledgerloom.operators.scaling import safe_scale
+from ledgerloom.operators.segments import training_moments
 from ledgerloom.operators.split import in_test_windows
 
 # The alpha grid, how many of its points are tried, and the folds.
@@ -222,29 +223,28 @@ def lasso_single_lag(
 
     On standardised data one feature has the closed solution
     ``sign(rho) * max(|rho| - alpha, 0)`` with the training correlation ``rho``.
-    All training sets of a code come from one aggregation over its rows, with a
-    condition per window; no row is copied.
+    All training sets of a code come from the moments of its calendar segments; no row is
+    copied or looked at once per window.
     """
-    cells = []
-    for number, window in enumerate(map(ForecastWindow.of, windows), start=1):
-        before = F.col("ts") < F.lit(window.start).cast("timestamp_ntz")
-        y = F.when(before, F.col("average_price"))
-        for horizon, name in zip(horizons, ar_names(horizons)):
-            x = F.when(before, F.col(name))
-            cells.append(
-                F.struct(
-                    F.lit(horizon).alias("horizon"),
-                    F.lit(number).alias("test"),
-                    F.count(y).alias("n_train"),
-                    F.avg(x).alias("mean_x"),
-                    F.avg(y).alias("mean_y"),
-                    safe_scale(F.avg(x), F.var_pop(x), F.count(y)).alias("scale_x"),
-                    safe_scale(F.avg(y), F.var_pop(y), F.count(y)).alias("scale_y"),
-                    F.covar_pop(x, y).alias("covariance"),
-                )
-            )
-    trained = features.groupBy("rm_code").agg(F.array(*cells).alias("cells"))
-    trained = trained.select("rm_code", F.inline("cells")).where("n_train > 1")
+    names = dict(zip(horizons, ar_names(horizons), strict=True))
+    moments = training_moments(features, {f"h{h}": (name, "average_price") for h, name in names.items()}, windows)
+
+    def scale(column: str):
+        return safe_scale(F.col(f"mean_{column}"), F.col(f"var_{column}"), F.col("n"))
+
+    cells = [
+        F.struct(
+            F.lit(h).alias("horizon"),
+            F.col(f"mean_{name}").alias("mean_x"),
+            scale(name).alias("scale_x"),
+            F.col(f"covar_h{h}").alias("covariance"),
+        )
+        for h, name in names.items()
+    ]
+    trained = moments.where("n > 1").select(
+        "rm_code", "test", F.col("n").alias("n_train"), F.col("mean_average_price").alias("mean_y"),
+        scale("average_price").alias("scale_y"), F.inline(F.array(*cells)),
+    )
     lagged = F.array(
         *[F.struct(F.lit(h).alias("horizon"), F.col(name).alias("x")) for h, name in zip(horizons, ar_names(horizons))]
     )

@@ -589,7 +589,8 @@ def hash_split(spark, sf_dir):
 
 @query
 def lasso_univariate(spark, sf_dir):
-    scores = lasso.lasso_single_lag(_supplier_ar(spark, sf_dir), HORIZONS, WINDOWS, ALPHA)
+    matrix = cut_lineage(_supplier_ar(spark, sf_dir))
+    scores = lasso.lasso_single_lag(matrix, HORIZONS, WINDOWS, ALPHA)
     return round_columns(scores, ["beta", "mape_pct"], 5)
 
 

@@ -1,0 +1,69 @@
+"""Training sets from segments against the rows themselves."""
+
+import random
+from datetime import date, datetime
+
+import numpy as np
+import pytest
+
+from ledgerloom.config import half_years
+from ledgerloom.operators import segments as S
+
+WINDOWS = half_years(date(2018, 1, 1), 5)
+PAIRS = {"a": ("u", "y"), "b": ("v", "y")}
+SCHEMA = "rm_code string, ts timestamp_ntz, u double, v double, y double"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(1)
+    out = []
+    for code, base in (("A", 0.0), ("B", 1e7), ("C", -3.0)):
+        for _ in range(120):
+            ts = datetime(rng.randrange(2016, 2021), rng.randrange(1, 13), rng.randrange(1, 29))
+            if code == "C" and 2018 <= ts.year < 2020:
+                continue  # a code without rows in several segments
+            out.append((code, ts, base + rng.gauss(0, 1), rng.gauss(0, 1), base + rng.gauss(0, 2)))
+    out += [("A", datetime(2017, 1, 1), None, 1.0, 1.0), (None, datetime(2017, 1, 1), 1.0, 1.0, 1.0), ("A", None, 1.0, 1.0, 1.0)]
+    out += [("D", datetime(2019, 6, 1), 5.0, 5.0, 5.0), ("E", datetime(2024, 6, 1), 5.0, 5.0, 5.0)]
+    return out
+
+
+def test_every_training_set_has_its_moments(spark, rows):
+    got = {(r["rm_code"], r["test"]): r for r in S.training_moments(spark.createDataFrame(rows, SCHEMA), PAIRS, WINDOWS).collect()}
+    wanted = set()
+    for code in "ABCDE":
+        for k, w in enumerate(WINDOWS, 1):
+            start = datetime(w.start.year, w.start.month, w.start.day)
+            held = np.array([r[2:] for r in rows if r[0] == code and r[1] and r[1] < start and None not in r[2:]], float)
+            if not len(held):
+                continue
+            wanted.add((code, k))
+            r = got[code, k]
+            assert r["n"] == len(held)
+            for i, c in enumerate("uvy"):
+                assert r[f"mean_{c}"] == pytest.approx(held[:, i].mean(), rel=1e-12)
+                assert r[f"var_{c}"] == pytest.approx(held[:, i].var(), rel=1e-7, abs=1e-9)
+            for name, i in (("a", 0), ("b", 1)):
+                covariance = ((held[:, i] - held[:, i].mean()) * (held[:, 2] - held[:, 2].mean())).mean()
+                assert r[f"covar_{name}"] == pytest.approx(covariance, rel=1e-7, abs=1e-8)
+    assert set(got) == wanted
+
+
+def test_windows_in_any_order_and_twice(spark, rows):
+    frame = spark.createDataFrame(rows, SCHEMA)
+    mixed = [WINDOWS[3], WINDOWS[0], WINDOWS[3]]
+    got = {(r["rm_code"], r["test"]): r["n"] for r in S.training_moments(frame, PAIRS, mixed).collect()}
+    plain = {(r["rm_code"], r["test"]): r["n"] for r in S.training_moments(frame, PAIRS, WINDOWS).collect()}
+    assert {k: n for k, n in got.items() if k[1] == 1} == {(c, 1): n for (c, t), n in plain.items() if t == 4}
+    assert {c: n for (c, t), n in got.items() if t == 3} == {c: n for (c, t), n in plain.items() if t == 4}
+
+
+def test_the_buffer_does_not_grow_with_the_windows(spark, rows):
+    frame = spark.createDataFrame(rows, SCHEMA)
+    few, many = (S.segment_moments(frame, PAIRS, half_years(date(2017, 1, 1), n)) for n in (2, 10))
+    assert few.columns == many.columns and many.where("segment > 10").count() == 0
+
+
+def test_no_rows(spark):
+    assert S.training_moments(spark.createDataFrame([], SCHEMA), PAIRS, WINDOWS).collect() == []
