@@ -23,7 +23,7 @@ from ledgerloom.functions.months import (
 from ledgerloom.functions.rounding import round_columns, scaled_round, whole
 from ledgerloom.operators import baseline, charts, clean, encode, explore, features, forecast, lasso, month_bits
 from ledgerloom.operators import panel as panels
-from ledgerloom.operators import pooled, quality, regress, scaling, split
+from ledgerloom.operators import network, pooled, quality, regress, scaling, split
 from ledgerloom.config import JobRequest, LagWindow
 from ledgerloom.plans import jobs, tables
 from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, WINDOWS, YEARS, table
@@ -796,6 +796,24 @@ def tuned_regressor(spark, sf_dir):
     return baseline.naive_errors(scored, ["rm_code"], "average_price", "prediction")
 
 
+NETWORK_ROUNDS = (5, 10, 15)
+
+
+@query
+def network_regressor(spark, sf_dir):
+    """Neural networks on all features and a random split: searched, fitted, saved, loaded, scored per code and side."""
+    matrix = cut_lineage(_supplier_features(spark, sf_dir))
+    rows = split.hash_split(matrix, ["rm_code", "month_idx"], TEST_PERCENT, SPLIT_SEED)
+    names = features.feature_names(DRIVERS, LAGS)
+    model, _ = network.search(
+        rows.where("not is_test"), names, ["rm_code", "month_idx"], _folder(spark, "blocks"), network.grid(rounds=NETWORK_ROUNDS)
+    )
+    path = _folder(spark, "network")
+    model.save(spark, path)
+    scored = network.load_network(spark, path).predict(rows)
+    return baseline.naive_errors(scored, ["rm_code", "is_test"], "average_price", "prediction")
+
+
 @query
 def model_reload(spark, sf_dir):
     """Boosted trees on all features and a random split, saved and loaded again, per code and side."""

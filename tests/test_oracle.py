@@ -14,7 +14,7 @@ from check import compare, connect  # noqa: E402
 from ledgerloom.plans.oracle import ORACLES  # noqa: E402
 from ledgerloom.plans.queries import QUERIES  # noqa: E402
 
-ROWS_ONLY = {"lasso_ar", "lasso_all", "backtest_matrix", "coef_export", "pooled_lasso", "tuned_regressor"}
+ROWS_ONLY = {"lasso_ar", "lasso_all", "backtest_matrix", "coef_export", "pooled_lasso", "tuned_regressor", "network_regressor"}
 
 
 @pytest.fixture(scope="module")
