@@ -153,6 +153,7 @@ def backtest(
     alpha_bottom: float = 0.01,
     min_train: int = 2 * FOLDS,
     partitions: int | None = None,
+    by_code: bool = False,
 ) -> DataFrame:
     """Fit and score one model per code, feature set, horizon and window.
 
@@ -162,7 +163,9 @@ def backtest(
     failing the job.
 
     ``partitions`` splits the codes over tasks. It is set by count, since the
-    rows are few bytes but much work and would be coalesced by size.
+    rows are few bytes but much work and would be coalesced by size. ``by_code`` says
+    that ``features`` is stored by code (``sinks.write_by_code``) and is worked on as it
+    lies, a task per bucket and without a shuffle.
     """
     spark = features.sparkSession
     names = list(drivers)
@@ -188,9 +191,9 @@ def backtest(
         4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
     code_type = features.schema["rm_code"].dataType.simpleString()
+    rows = features.select("rm_code", "ts", "average_price", *columns)
     return (
-        features.select("rm_code", "ts", "average_price", *columns)
-        .repartition(partitions, "rm_code")
+        (rows if by_code else rows.repartition(partitions, "rm_code"))
         .groupBy("rm_code")
         .applyInPandas(
             _fit_code(plans, bounds, alpha_grid(alpha_bottom), min_train),

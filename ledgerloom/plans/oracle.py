@@ -678,6 +678,9 @@ ORACLES: dict[str, str] = {
     "lasso_forecasts": f"""{WITH_DRIVER}
       SELECT rm_code, 'ALL' AS feature_set, horizon, test, month_idx, ts, actual, {rnd('predicted', 3)} AS predicted
       FROM forecasts""",
+    "forecasts_by_code": f"""{WITH_DRIVER}
+      SELECT rm_code, horizon, test, count(*) AS n_test, {rnd(f"100 * avg({ape('actual', 'predicted')})", 4)} AS mape_pct
+      FROM forecasts GROUP BY 1, 2, 3""",
     "lasso_actual_vs_predicted": f"""{WITH_DRIVER}
       SELECT rm_code, horizon, test, month_idx, ts >= TIMESTAMP '{q.CUT}' AS is_forecast, 'ground_truth' AS kind,
              {rnd('actual', 3)} AS value FROM forecasts

@@ -44,6 +44,7 @@ FLOOR_DAY = "1996-01-01"
 SHIFT_DAYS = 45
 ALPHA = 0.1
 TOP_K = 20
+CODE_BUCKETS = 16
 # The driver of the models with two features, which SQL can follow.
 PAIR_DRIVER = "URGENT"
 SPLIT_SEED = 42
@@ -376,7 +377,7 @@ def driver_ffill(spark, sf_dir):
     cells = names.withColumn("days", days.agg(F.collect_list("date")).scalar())
     daily = tables.daily_drivers(spark, sf_dir)
     full = cells.select("driver", F.explode("days").alias("date")).join(daily, ["driver", "date"], "left")
-    return series.clean_series(full, YEARS)
+    return series.clean_series(full, YEARS, block=F.year("date") * 12 + F.month("date"))
 
 
 @query
@@ -842,6 +843,23 @@ def feature_sink_scan(spark, sf_dir):
     return sinks.read_features(spark, path)
 
 
+@query
+def forecasts_by_code(spark, sf_dir):
+    """Features and models stored by code and brought together as they lie: errors per model from the two tables."""
+    name = f"by_code_{uuid.uuid4().hex}"
+    for kind, frame in (("panel", _panel(spark, sf_dir, "supplier")), ("features", _supplier_features(spark, sf_dir))):
+        sinks.write_by_code(frame, f"{name}_{kind}", f"{shared_dir(spark)}/{name}-{kind}", CODE_BUCKETS)
+    matrix = sinks.read_by_code(spark, f"{name}_features")
+    parts = [
+        lasso.train_all_features(matrix, [PAIR_DRIVER], LagWindow(h, h), [h], WINDOWS, by_code=True) for h in HORIZONS
+    ]
+    fitted = forecast.model_table(reduce(DataFrame.unionByName, parts), PAIR_COLUMNS)
+    sinks.write_by_code(fitted, f"{name}_models", f"{shared_dir(spark)}/{name}-models", CODE_BUCKETS)
+    models = sinks.read_by_code(spark, f"{name}_models")
+    errors = forecast.forecast_errors(forecast.window_forecasts(models, matrix, WINDOWS, PAIR_COLUMNS))
+    return round_columns(errors.drop("feature_set"), ["mape_pct"], 4)
+
+
 @query
 def feature_scan_of_a_group(spark, sf_dir):
     """One group of the written matrix: the other groups' files are not opened."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom import schemas
 from ledgerloom.config import ELECTRICITY, YearWindow, driver_name
@@ -20,15 +20,38 @@ def fill_forward(series: DataFrame, order: str, key: str = "driver") -> DataFram
     return series.withColumn("value", F.last("value", ignorenulls=True).over(past))
 
 
-def clean_series(series: DataFrame, years: YearWindow) -> DataFrame:
+def fill_forward_in_blocks(series: DataFrame, order: str, block: Column, key: str = "driver") -> DataFrame:
+    """As ``fill_forward``, for series too long for one task.
+
+    ``block`` cuts a series into stretches of time: it must not fall while ``order``
+    rises. Each block's last value is carried over the blocks, a row per block, and the
+    gaps are then filled inside the blocks, which are spread over all tasks.
+    """
+    cut = series.withColumn("_block", block)
+    last = cut.groupBy(key, "_block").agg(
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.col(order))).alias("_value")
+    )
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(
+        F.col(key).alias("_key"), F.col("_block").alias("_of"), F.last("_value", ignorenulls=True).over(before).alias("_carried")
+    )
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = cut.withColumn("value", F.last("value", ignorenulls=True).over(inside))
+    met = filled.join(carried, filled[key].eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")), "left")
+    return met.withColumn("value", F.coalesce("value", "_carried")).drop("_key", "_of", "_carried", "_block")
+
+
+def clean_series(series: DataFrame, years: YearWindow, block: Column | None = None) -> DataFrame:
     """``(driver, date, value)`` inside the years, gaps filled forward.
 
-    The year filter comes first: a value from before the window fills nothing.
+    The year filter comes first: a value from before the window fills nothing. ``block``
+    cuts long series into stretches that are filled in tasks of their own.
     """
     inside = series.where(
         F.col("date").between(F.lit(date(years.first, 1, 1)), F.lit(date(years.last, 12, 31)))
     )
-    return fill_forward(inside, "date").select(
+    filled = fill_forward(inside, "date") if block is None else fill_forward_in_blocks(inside, "date", block)
+    return filled.select(
         "driver", "date", month_idx("date").alias("month_idx"), "value"
     )
 

@@ -27,6 +27,28 @@ def read_features(spark: SparkSession, path: str, group: str | None = None) -> D
     return features if group is None else features.where(F.col("group_desc") == group)
 
 
+def write_by_code(features: DataFrame, table: str, path: str, buckets: int, mode: str = "overwrite") -> None:
+    """A table at ``path`` whose files hold whole codes, ordered by code and month.
+
+    Whatever groups, orders or joins by code reads it without a shuffle, also together
+    with other tables of as many buckets. One file per bucket; a code's rows are bounded
+    by the calendar, so buckets are as even as the codes are many.
+    """
+    order = [c for c in ("month_idx", "ts") if c in features.columns][:1]
+    (
+        features.repartition(buckets, "rm_code")
+        .write.mode(mode)
+        .bucketBy(buckets, "rm_code")
+        .sortBy("rm_code", *order)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
+def read_by_code(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.table(table)
+
+
 def coefficient_table(coefs: DataFrame, features: list[str], places: int = 5) -> DataFrame:
     """Long ``(rm_code, horizon, test, feature, coef)`` to one row per model.
 

@@ -1,0 +1,100 @@
+"""Tables stored by code, and long series filled in blocks."""
+
+import random
+import uuid
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.config import LagWindow, half_years
+from ledgerloom.operators import forecast, lasso
+from ledgerloom.operators.features import ar_lags, ar_matrix
+from ledgerloom.plans import queries as q
+from ledgerloom.sources import drivers, sinks
+
+SF = "/root/testdata/sf0.01"
+LAGS = LagWindow(1, 2)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Panel, features and models of some codes, each stored by code."""
+    folder, name = tmp_path_factory.mktemp("layout"), f"t_{uuid.uuid4().hex}"
+    panel = q._panel(spark, SF, "supplier").where("rm_code < 12")
+    tables = {"panel": panel, "features": ar_matrix(panel, LAGS)}
+    for kind, frame in tables.items():
+        sinks.write_by_code(frame, f"{name}_{kind}", str(folder / kind), 4)
+    features = sinks.read_by_code(spark, f"{name}_features")
+    fitted = lasso.backtest(features, [], LAGS, [1], half_years(date(1998, 1, 1), 3), ["AR"], by_code=True)
+    models = forecast.model_table(fitted, ["AR_1", "AR_2"])
+    sinks.write_by_code(models, f"{name}_models", str(folder / "models"), 4)
+    yield {kind: sinks.read_by_code(spark, f"{name}_{kind}") for kind in (*tables, "models")}, fitted, tables
+    for kind in (*tables, "models"):
+        spark.sql(f"DROP TABLE {name}_{kind}")
+
+
+def test_lags_models_and_joins_need_no_shuffle(stored):
+    tables, fitted, _ = stored
+    assert "Exchange" not in plan(ar_lags(tables["panel"], LAGS))
+    assert "Exchange" not in plan(fitted)
+    joined = forecast.window_forecasts(tables["models"], tables["features"], half_years(date(1998, 1, 1), 3), ["AR_1", "AR_2"])
+    assert "Exchange hashpartitioning" not in plan(tables["features"].hint("merge").join(tables["panel"], "rm_code"))
+    assert "Exchange hashpartitioning" not in plan(joined)
+
+
+def test_stored_rows_are_the_same(stored, rows_of):
+    tables, fitted, frames = stored
+    assert rows_of(tables["features"], *frames["features"].columns) == rows_of(frames["features"])
+    plain = lasso.backtest(frames["features"], [], LAGS, [1], half_years(date(1998, 1, 1), 3), ["AR"])
+    keys = ["rm_code", "test", "status"]
+    assert rows_of(fitted, *keys) == rows_of(plain, *keys)
+    got, wanted = ({(r["rm_code"], r["test"]): r["mape_pct"] for r in df.collect()} for df in (fitted, plain))
+    assert all(got[k] == pytest.approx(wanted[k], rel=1e-9, nan_ok=True) for k in wanted if wanted[k] is not None)
+
+
+def test_one_file_per_bucket(stored):
+    tables, *_ = stored
+    assert 1 < len(tables["panel"].inputFiles()) <= 4
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    rng = random.Random(3)
+    rows = []
+    for key in ("GAS", "OIL", None):
+        for d in range(900):
+            known = rng.random() < (0.02 if key == "OIL" else 0.4) and d > 40
+            rows.append((key, date(2018, 1, 1) + timedelta(d), float(d) if known else None))
+    rows += [("GAS", None, None)]
+    return spark.createDataFrame(rows, "driver string, date date, value double")
+
+
+@pytest.mark.parametrize("block", ["year(date)", "year(date) * 12 + month(date)", "datediff(date, DATE'2018-01-01') div 3", "0"])
+def test_blocks_fill_like_one_window(gappy, rows_of, block):
+    columns = ["driver", "date", "value"]
+    in_blocks = drivers.fill_forward_in_blocks(gappy, "date", F.expr(block))
+    assert rows_of(in_blocks, *columns) == rows_of(drivers.fill_forward(gappy, "date"), *columns)
+
+
+def test_one_long_series_spreads_over_many_tasks(spark):
+    days = spark.range(20_000).select(
+        F.lit("GAS").alias("driver"), F.date_add(F.lit(date(1960, 1, 1)), F.col("id").cast("int")).alias("date"),
+        F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("value"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        filled = drivers.fill_forward_in_blocks(days, "date", F.year("date"))
+        sizes = [r["n"] for r in filled.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 8_000 and sum(sizes) == 20_000
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "driver string, date date, value double")
+    assert drivers.fill_forward_in_blocks(empty, "date", F.year("date")).collect() == []
