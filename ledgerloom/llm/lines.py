@@ -39,7 +39,7 @@ SLICE = 1 << 20
 # Nodes of a bucket that meet all its other components in one go.
 AT_ONCE = 64
 
-LINE_SCHEMA = "id long, tag long, line int, node long, bands array<long>"
+LINE_SCHEMA = "id long, tag string, line int, node long, bands array<long>"
 NAMELESS = (1 << 63) - 1
 
 _STEP = np.uint64(0x9DDFEA08EB382D69)
@@ -307,9 +307,10 @@ def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     named = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)).alias("id"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("tag"),
+        # Texts under one id, or without one, are told apart by 128 bits; those without come last.
+        F.concat(F.when(F.col("doc_id").isNull(), "~").otherwise(""), F.md5(F.coalesce("text", F.lit("")))).alias("tag"),
         "text",
-        F.struct(*[c for c in documents.columns if c != "text"]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row"),
     )
     lines = written(named.select("id", "tag", "text").mapInArrow(_lines, LINE_SCHEMA), "lines")
     place = F.struct("id", "tag", "line")

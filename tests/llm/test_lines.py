@@ -1,7 +1,10 @@
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from ledgerloom.llm import lines as L
 
@@ -112,3 +115,19 @@ def test_lines_of_one_shingle_have_bands():
     a, b, other, short = L.signatures(["-------", "----------", "=======", "------"])
     assert len(a) and sorted(a.tolist()) == sorted(b.tolist())
     assert not set(a.tolist()) & set(other.tolist()) and not len(short)
+
+
+def test_texts_without_an_id_are_told_apart_by_more_than_a_checksum(spark):
+    """Two texts with one CRC-32 and no id lose what others have, and nothing of their own."""
+    seen, pair, i = {}, None, 0
+    while pair is None:
+        text = f"shared line of some length\n{hashlib.sha256(str(i).encode()).hexdigest()}"
+        crc = zlib.crc32(text.encode())
+        pair = (seen[crc], text) if crc in seen else None
+        seen[crc] = text
+        i += 1
+    rows = [(None, pair[0]), (None, pair[1]), (1, "shared line of some length"), (2**63 - 1, pair[1])]
+    found = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)))
+    own = [t.split("\n")[1] for t in pair]
+    kept = sorted((str(r["row"]["doc_id"]), r["kept_text"]) for r in found.collect())
+    assert kept == sorted([("1", "shared line of some length"), (str(2**63 - 1), own[1]), ("None", own[0]), ("None", "")])
