@@ -733,7 +733,7 @@ ORACLES: dict[str, str] = {
         FROM split, scales, model)
       SELECT rm_code, is_test, count(*) AS n, {rnd(f"avg({ape('y', 'p')})", 4)} AS mape,
              {rnd(f"100 * avg({ape('y', 'p')})", 2)} AS mape_pct, {rnd('avg((y - p) * (y - p))', -4)} AS mse,
-             {rnd('avg(abs(y - p))', 1)} AS mae, {rnd('1 - avg((y - p) * (y - p)) / var_pop(y)', 4)} AS r2
+             {rnd('avg(abs(y - p))', 1)} AS mae, {rnd('1 - avg((y - p) * (y - p)) / nullif(var_pop(y), 0)', 4)} AS r2
       FROM scored GROUP BY 1, 2""",
     "request_features": f"""WITH {ar_matrix('p_brand', range(1, 5))},{SERIES},
       asked AS (SELECT month_idx, URGENT, HIGH FROM wide WHERE URGENT IS NOT NULL)
