@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.store import written
+from ledgerloom.llm.store import scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     flat = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = written(flat.where("u > v").distinct(), "edges")
+    with scratch(edges.sparkSession):
+        now = written(_starred(written(flat.where("u > v").distinct(), "edges")), "stars", outlives=True)
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def _starred(now: DataFrame) -> DataFrame:
     while not _stars(now):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,8 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = small.union(down.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         now = written(step, "edges")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    return now
 
 
 def _stars(edges: DataFrame) -> bool:

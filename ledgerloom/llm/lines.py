@@ -8,8 +8,8 @@ bands; nodes that share a band are compared by exact Jaccard similarity of their
 
 Within a band's bucket not all pairs are compared: first every node with the most
 frequent one, then, once links have been joined into components, only nodes of
-different components. So a large group of similar lines costs a comparison per line,
-and no link between different components is missed.
+different components whose sketches (``sketch``) allow the similarity; neither leaves out
+a pair that could link two components. Texts are joined to what is left.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.components import components
 from ledgerloom.llm.sieve import Sieve, sieve
-from ledgerloom.llm.store import written
+from ledgerloom.llm.sketch import MAPS, SKETCH, may_be_similar, sketches
+from ledgerloom.llm.store import scratch, written
 from ledgerloom.llm.text import mixed, slices, texts_of
 
 SHINGLE, SIMILAR = 7, 0.8
@@ -36,8 +37,8 @@ BANDS, ROWS = 9, 4
 LONG, SHORT = 128, 200
 # Text handled at once; small, as about twenty bytes of arrays go with each character.
 SLICE = 1 << 20
-# Nodes of a bucket that meet all its other components in one go.
-AT_ONCE = 64
+# Nodes of a bucket that meet as many others in one task; larger buckets are cut into parts.
+AT_ONCE = 1 << 12
 
 LINE_SCHEMA = "id long, tag string, line int, node long, bands array<long>"
 NAMELESS = (1 << 63) - 1
@@ -60,15 +61,9 @@ def shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
-def signatures(texts: list[str]) -> list[np.ndarray]:
-    """Band keys of each normalised line; none for lines that only equal lines can be similar to."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    sizes = np.array([len(t) - SHINGLE + 1 for t in texts], np.int64)
-    rows = np.flatnonzero(sizes > 0)
-    if not len(rows):
-        return out
-    kept, size = [texts[i] for i in rows], sizes[rows]
-    codes = np.frombuffer("".join(kept).encode("utf-32-le"), np.uint32).astype(np.uint64)
+def _runs(texts: list[str], size: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of lines that have ``size`` of them, one at least, repeats included."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     # Runs of 1, 2, 4, 6 and at last SHINGLE = 7 characters.
     two = codes[:-1] * _STEP + codes[1:]
     four = two[:-2] * _STEP**2 + two[2:]
@@ -77,7 +72,18 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
     ends = np.cumsum(size + SHINGLE - 1)
     inside = np.ones(len(codes), bool)
     inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
-    hashed = hashed[inside[: len(hashed)]]
+    return hashed[inside[: len(hashed)]]
+
+
+def signatures(texts: list[str]) -> list[np.ndarray]:
+    """Band keys of each normalised line; none for lines that only equal lines can be similar to."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    sizes = np.array([len(t) - SHINGLE + 1 for t in texts], np.int64)
+    rows = np.flatnonzero(sizes > 0)
+    if not len(rows):
+        return out
+    size = sizes[rows]
+    hashed = _runs([texts[i] for i in rows], size)
     start = np.cumsum(size) - size
     keys: dict[int, list[np.ndarray]] = {}
     long = np.flatnonzero(size >= LONG)
@@ -189,6 +195,15 @@ def _texts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             )
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, most=SLICE):
+            texts = texts_of(part)
+            size = np.array([len(t) - SHINGLE + 1 for t in texts], np.int64)
+            columns = sketches(_runs(texts, size), size) if len(texts) else sketches(np.zeros(0, np.uint64), size)
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), *columns], names=["node", "text", "size", *MAPS])
+
+
 def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, last, known = [], None, set()
@@ -219,13 +234,16 @@ def similar_lines(lines: DataFrame, nodes: DataFrame, documents: DataFrame, simi
     also = spark.sparkContext.broadcast(sieve(wanted, "node"))
     found = documents.select("text").mapInArrow(lambda it: _texts(it, also), "node long, text string")
     texts = found.groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts.join(wanted, "node", "left_semi"), "line-texts")
-    return joined_groups(members, texts, lambda it: _compared(it, similar))
+    sketched = texts.join(wanted, "node", "left_semi").mapInArrow(_sketched, f"node long, text string, {SKETCH}")
+    return joined_groups(members, written(sketched, "line-texts"), lambda it: _compared(it, similar), similar)
 
 
-def joined_groups(members: DataFrame, texts: DataFrame, compared: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def joined_groups(
+    members: DataFrame, texts: DataFrame, compared: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], similar: float
+) -> DataFrame:
     """``node, root`` of nodes that are linked to others: those under one ``key`` of ``members``
-    (``key, node, n``) whose ``texts`` (``node, text``) pass ``compared``."""
+    (``key, node, n``) whose ``texts`` (``node, text`` and the columns of a sketch) pass
+    ``compared``, which asks for a similarity of ``similar``."""
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
@@ -233,48 +251,48 @@ def joined_groups(members: DataFrame, texts: DataFrame, compared: Callable[[Iter
         met = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
         return met.mapInArrow(compared, "a long, b long")
 
+    sketch = ["size", *MAPS]
+    members = written(members.join(texts.select("node", *sketch), "node"), "members")
     # The line that occurs most often is likely the one that the others were made from.
-    centres = written(members.groupBy("key").agg(F.max(F.struct("n", "node"))["node"].alias("centre")), "line-centres")
-    tried = _pairs(members.join(centres, "key"), "centre", "node").where("a < b")
-    tried = written(tried.distinct(), "line-pairs")
-    links = written(linked(tried), "line-links")
-    groups, done = components(links), None
-    while (rest := _across(members, groups, done)) is not None:
-        pairs, offered = rest
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        more = written(linked(pairs), "line-links")
-        if not more.isEmpty():
-            links = written(links.union(more), "line-links")
-            groups = components(links)
-        tried, done = tried.union(pairs), offered if done is None else done.union(offered)
-    return groups
-
-
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-
-def _across(members: DataFrame, groups: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs of nodes that share a bucket but no component, and which nodes then have met all others.
-
-    Nodes that are not ``done`` in their bucket may still be strangers to each other unless
-    they are in one component. Those outside the largest one are offered, ``AT_ONCE`` of a
-    bucket at a time, and meet everybody of another component. None if nothing is left.
+    most = F.max(F.struct("n", "node", *sketch)).alias("most")
+    centres = members.groupBy("key").agg(most).select("key", *[F.col(f"most.{c}").alias(f"other_{c}") for c in ("node", *sketch)])
+    centres = written(centres, "centres")
+    tried = members.join(centres, "key").where((F.col("node") != F.col("other_node")) & may_be_similar(similar))
+    links = written(linked(written(_pairs(tried), "pairs")), "links")
+    groups = components(links)
+    across = written(_across(members, centres, groups, similar), "pairs")
+    more = written(linked(across), "links")
+    return groups if more.isEmpty() else components(links.union(more))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
+def _across(members: DataFrame, centres: DataFrame, groups: DataFrame, similar: float) -> DataFrame:
+    """Pairs of nodes that share a bucket but no component and may be similar.
+
+    A node outside a bucket's largest component meets all those of other components. The
+    centre has met everybody. Buckets with many such meetings are cut both ways into
+    ``parts``, so that no task makes many more than the square of ``AT_ONCE`` for one part.
     """
-    rooted = members.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "line-rooted")
-    left = rooted if done is None else rooted.join(done, ["key", "node"], "left_anti")
-    per_root = left.groupBy("key", "root").agg(F.count("*").alias("n"))
-    per_key = per_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("top"))
-    mixed_keys = written(per_key.where("roots > 1").select("key", "top"), "line-mixed")
-    if mixed_keys.isEmpty():
-        return None
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("root", "node"))
-    minor = left.join(mixed_keys, "key").where("root != top").withColumn("turn", turn)
-    offered = written(minor.where(F.col("turn") <= AT_ONCE).select("key", "node", "root"), "line-offered")
-    here = rooted.join(mixed_keys, "key").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    met = offered.join(here, "key").where("root != other_root")
-    return _pairs(met, "node", "other").distinct(), offered.select("key", "node")
+    rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("n")
+    rooted = written(rooted, "rooted")
+    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", "root"))
+    per_key = per_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("all"), top.alias("top")).where("roots > 1")
+    parts = F.ceil(F.sqrt((F.col("all") - F.col("top.n")) * F.col("all")) / AT_ONCE).cast("int")
+    mixed_keys = per_key.join(centres, "key").select("key", F.col("top.root").alias("top"), F.col("other_node").alias("centre"), parts.alias("parts"))
+    here = written(rooted.join(mixed_keys, "key").where("node != centre").drop("centre"), "mixed")
+    own, each = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    minor = here.where("root != top").withColumn("x", own).withColumn("y", each).drop("parts")
+    others = here.withColumn("y", own).withColumn("x", each).drop("parts", "top")
+    others = others.select("key", "x", "y", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", *MAPS)])
+    # Two nodes that are both outside the largest component meet once.
+    once = (F.col("other_root") == F.col("top")) | (F.col("node") < F.col("other_node"))
+    apart = F.col("root") != F.col("other_root")
+    same = [minor[c] == others[c] for c in ("key", "x", "y")]
+    return _pairs(minor.join(others, [*same, apart & once & may_be_similar(similar)]))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,19 +331,14 @@ def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row"),
     )
     lines = written(named.select("id", "tag", "text").mapInArrow(_lines, LINE_SCHEMA), "lines")
+    with scratch(documents.sparkSession):
+        keepers = written(_keepers(lines, documents, similar), "line-keepers", outlives=True)
     place = F.struct("id", "tag", "line")
-    nodes = written(lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
-    groups = similar_lines(lines, nodes, documents, similar)
-    rooted = nodes.join(groups, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
-    once = rooted.where("not linked and n > 1").select("node", "first")
-    group_first = rooted.where("linked").groupBy("root").agg(F.min("first").alias("first"))
-    several = rooted.where("linked").select("node", "root").join(group_first, "root").select("node", "first")
-    keepers = written(once.union(several), "line-keepers")
     gone = (
         lines.join(keepers, "node")
         .where(place != F.col("first"))
         .groupBy("id", "tag")
-        .agg(F.collect_list("line").alias("gone"))
+        .agg(F.collect_set("line").alias("gone"))
     )
     schema = T.StructType([named.schema["row"]]).add("kept_text", T.StringType())
     schema = schema.add("n_lines", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
@@ -333,6 +346,18 @@ def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return joined.mapInArrow(_kept, schema)
 
 
+def _keepers(lines: DataFrame, documents: DataFrame, similar: float) -> DataFrame:
+    """``node, first``: where the line stays that a node's lines have to give way to."""
+    place = F.struct("id", "tag", "line")
+    nodes = written(lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
+    groups = similar_lines(lines, nodes, documents, similar)
+    rooted = nodes.join(groups, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
+    once = rooted.where("not linked and n > 1").select("node", "first")
+    group_first = rooted.where("linked").groupBy("root").agg(F.min("first").alias("first"))
+    several = rooted.where("linked").select("node", "root").join(group_first, "root").select("node", "first")
+    return once.union(several)
+
+
 def deduplicated(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``documents`` with the lines that stay; ``n_chars``, if there is one, follows the text."""
     found = line_dedup(documents, similar)
