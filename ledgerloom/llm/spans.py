@@ -181,7 +181,7 @@ def removed_ranges(documents: DataFrame, width: int = WIDTH, k: int = ANCHOR) ->
     anchors = spans.groupBy("anchor").agg(
         F.min("doc_id").alias("first_doc"),
         F.max("doc_id").alias("last_doc"),
-        (F.min("span") == F.max("span")).alias("unbranched"),
+        ((F.min("span") == F.max("span")) & (F.min("check") == F.max("check"))).alias("unbranched"),
     )
     # Written before they are joined, so that the join can split an anchor with very many spans.
     anchors = written(anchors.where("first_doc < last_doc").drop("last_doc"), "anchors")
@@ -198,7 +198,7 @@ def removed_ranges(documents: DataFrame, width: int = WIDTH, k: int = ANCHOR) ->
     wanted = (
         classed.where("doc_id = holder")
         .groupBy("doc_id", "tag")
-        .agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
+        .agg(F.collect_set(F.struct("start", "windows")).alias("wanted"))
     )
     single = written(
         documents.join(wanted, ["doc_id", "tag"])
@@ -227,7 +227,7 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH, k: int = ANCHOR, w
     an empty table gives no rows. ``kept_text`` is null unless ``with_text``.
     """
     known = documents.where("doc_id is not null").select(
-        F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "text"
+        F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text"
     )
     ranges = (
         removed_ranges(known, width, k)
