@@ -78,7 +78,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_LABELS) ->
     """Fit on ``labels`` (``doc_id, label``), about ``most`` of them chosen by a hash of the id.
 
     A document labelled more than once counts as 1 if at least half its labels are 1; null
-    ids and labels are left out. Only the sample's statistics come to the driver.
+    ids and labels are left out. An id that several rows share counts once, with the
+    smallest of its texts. Only the sample's statistics come to the driver.
     """
     known = labels.where("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
@@ -86,7 +87,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_LABELS) ->
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_003)) / 1_000_003
     chosen = known.where(drawn < most / max(count, 1))
     # About `most` rows of two small numbers, whatever the size of the tables.
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     found: pd.DataFrame = rows.mapInArrow(_described, "label int, x array<double>").toPandas()
     x = np.array(found.x.tolist()).reshape(len(found), len(STATISTICS))
     order = np.lexsort(x.T)  # the fit does not depend on the order of arrival
