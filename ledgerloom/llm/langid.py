@@ -191,7 +191,7 @@ def identify(documents: DataFrame, fitted: LanguageId | None, carried: tuple[str
 def accepted(documents: DataFrame, fitted: LanguageId | None) -> DataFrame:
     """``documents`` without the rows that ``identify`` rejects."""
     others = [c for c in documents.columns if c != "text"]
-    rows = documents.select(F.struct(*others).alias("row"), "text")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
     kept = identify(rows, fitted, ("row", "text")).where("not rejected")
     return kept.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns])
 

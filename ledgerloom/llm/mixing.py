@@ -106,7 +106,7 @@ def mix(
     nothing; an empty table gives no rows. ``sized`` names a column that has the sizes.
     """
     size = F.col(sized) if sized else word_count(F.col("text"))
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "source", size.alias("size"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", size.alias("size"))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block)
     n_blocks = F.round(F.col("goal") / block).cast("long")

@@ -152,9 +152,10 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     found = near_duplicates(documents, radius, shingle)
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     # The name cannot clash with a column of the input.
-    copies = "copies_" + "_".join(documents.columns)
+    copies = "copies_" + "_".join(documents.columns).replace(".", "_")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
     kept = documents.join(keep.withColumnRenamed("copies", copies), "doc_id")
-    once = kept.where(F.col(copies) == 1).select(documents.columns)
-    twice = kept.where(F.col(copies) > 1).select(documents.columns).dropDuplicates(["doc_id"])
+    once = kept.where(F.col(f"`{copies}`") == 1).select(columns)
+    twice = kept.where(F.col(f"`{copies}`") > 1).select(columns).dropDuplicates(["doc_id"])
     nameless = documents.where("doc_id is null")
     return once.union(twice).union(nameless)
