@@ -438,6 +438,9 @@ ORACLES: dict[str, str] = {
       FROM days""",
     "ingest_incremental": f"""WITH {panel()}
       SELECT rm_code, month_idx, ts, price, n_purchases, is_imputed FROM panel""",
+    "ingest_by_code": f"""WITH {panel()},{lagged(q.SHORT_LAGS.lags)}
+      SELECT rm_code, month_idx, ts, price, n_purchases, is_imputed, {", ".join(f"AR_{i}" for i in q.SHORT_LAGS.lags)}
+      FROM lagged""",
     "clean_ledger": f"""WITH {FULL}
       SELECT rm_code, group_desc, ts, price, CAST(year(ts) AS INTEGER) AS year,
              CAST(month(ts) AS INTEGER) AS month, {MONTH.format('ts')} AS month_idx

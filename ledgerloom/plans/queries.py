@@ -31,7 +31,7 @@ from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import calendar as calendars
 from ledgerloom.sources import drivers as series
 from ledgerloom.sources import json_records, sinks
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import by_code, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +164,20 @@ def ingest_incremental(spark, sf_dir):
     return ingest.stored_panel(spark, root)
 
 
+@query
+def ingest_by_code(spark, sf_dir):
+    """The table lands in files by order number; each batch rewrites the codes it brings, with their lags."""
+    root = _folder(spark, "by-code")
+    columns = ["l_partkey", "l_suppkey", "l_orderkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+    landing = table(spark, sf_dir, "lineitem").select(columns).repartition(LANDED_FILES, "l_orderkey")
+    landing.write.parquet(f"{root}/landed")
+    landed = spark.read.parquet(f"{root}/landed").schema
+    stream = spark.readStream.schema(landed).option("maxFilesPerTrigger", 4).parquet(f"{root}/landed")
+    arriving = clean.clean_ledger(tables.as_purchases(stream), YEARS)
+    by_code.ingest_by_code(arriving, root, YEARS, SHORT_LAGS, buckets=CODE_BUCKETS, fold_every=2).awaitTermination()
+    return by_code.stored_features(spark, root)
+
+
 # Projections and filters
 
 
