@@ -427,6 +427,28 @@ ORACLES: dict[str, str] = {
       FROM orders WHERE year(o_orderdate) BETWEEN {YEARS.first} AND {YEARS.last} GROUP BY 1, 2, 3""",
     "json_records_parse": """
       SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
+    "json_records_variant": """WITH parts AS (
+        SELECT event_id, event_id % 10 AS kind, props, '"Time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"' AS stamp
+        FROM events),
+      records AS (
+        SELECT event_id, kind, CASE kind
+            WHEN 0 THEN '{' || stamp || ',' WHEN 2 THEN '{"props":' || props || '}'
+            WHEN 3 THEN '{"Time":"n/a","props":' || props || '}' WHEN 4 THEN '{' || stamp || ',"props":{"k":"none"}}'
+            WHEN 5 THEN CAST(event_id AS VARCHAR) ELSE '{' || stamp || ',"props":' || props || '}' END AS record
+        FROM parts),
+      bodies AS (SELECT event_id, CASE kind WHEN 1 THEN record ELSE '[' || record || ']' END AS body FROM records),
+      valid AS (SELECT event_id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body END AS body FROM bodies),
+      typed AS (
+        SELECT event_id, ok, ok AND json_type(body) = 'ARRAY' AS listed, json_type(body, '$[0]') = 'OBJECT' AS whole,
+               json_extract_string(body, '$[0].Time') AS t, json_extract_string(body, '$[0].props.k') AS k
+        FROM valid)
+      SELECT event_id, CASE WHEN listed THEN CAST(0 AS INTEGER) END AS position,
+             CASE WHEN listed THEN TRY_CAST(t AS TIMESTAMP) END AS time,
+             CASE WHEN listed THEN TRY_CAST(k AS BIGINT) END AS k,
+             CASE WHEN NOT ok THEN 'not JSON' WHEN NOT listed THEN 'not an array' WHEN NOT whole THEN 'not an object'
+               WHEN t IS NULL THEN 'time absent' WHEN TRY_CAST(t AS TIMESTAMP) IS NULL THEN 'time is no timestamp_ntz'
+               WHEN k IS NOT NULL AND TRY_CAST(k AS BIGINT) IS NULL THEN 'k is no long' END AS reason
+      FROM typed""",
     "json_records_write": f"""WITH {ledger()}
       SELECT CAST(to_json(struct_pack(rm_code := rm_code, label := strftime(ts, '%Y-%m'),
         year := year(ts), month := month(ts), month_idx := month_idx)) AS VARCHAR) AS record

@@ -30,7 +30,7 @@ from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, WINDOWS, YEARS, tab
 from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import calendar as calendars
 from ledgerloom.sources import drivers as series
-from ledgerloom.sources import json_records, sinks
+from ledgerloom.sources import json_records, sinks, variant_records
 from ledgerloom.streaming import by_code, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,27 @@ def json_records_parse(spark, sf_dir):
     return rows.select("event_id", F.col("Time").alias("ts"), F.col("props.k").alias("k"))
 
 
+@query
+def json_records_variant(spark, sf_dir):
+    """Every event as a body; six in ten are damaged, each in its own way, and come out with a reason."""
+    events = table(spark, sf_dir, "events")
+    stamp = F.concat(F.lit('"Time":"'), F.date_format("ts", json_records.ISO_MICROS), F.lit('"'))
+    props = F.concat(F.lit('"props":'), F.col("props"))
+    kind = F.col("event_id") % 10
+    record = (
+        F.when(kind == 0, F.concat(F.lit("{"), stamp, F.lit(",")))
+        .when(kind == 2, F.concat(F.lit("{"), props, F.lit("}")))
+        .when(kind == 3, F.concat(F.lit('{"Time":"n/a",'), props, F.lit("}")))
+        .when(kind == 4, F.concat(F.lit("{"), stamp, F.lit(',"props":{"k":"none"}}')))
+        .when(kind == 5, F.col("event_id").cast("string"))
+        .otherwise(F.concat(F.lit("{"), stamp, F.lit(","), props, F.lit("}")))
+    )
+    body = F.when(kind == 1, record).otherwise(F.concat(F.lit("["), record, F.lit("]")))
+    fields = {"time": ("$.Time", "timestamp_ntz"), "k": ("$.props.k", "long")}
+    bodies = events.select("event_id", body.alias("body"))
+    return variant_records.parse_variant_records(bodies, fields, ["time"]).drop(variant_records.RAW)
+
+
 @query
 def json_records_write(spark, sf_dir):
     ledger = tables.clean_purchases(spark, sf_dir, extra=["weight"])

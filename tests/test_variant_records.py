@@ -1,0 +1,65 @@
+from datetime import datetime
+
+import pytest
+
+from ledgerloom.sources import variant_records as V
+
+FIELDS = {"ts": ("$.Time", "timestamp_ntz"), "k": ("$.props.k", "long")}
+DAY = datetime(2020, 1, 5)
+BODIES = [
+    (1, '[{"Time":"2020-01-05T00:00:00","props":{"k":3},"more":[1]}, {"Time":"2020-01-05"}]'),
+    (2, None),
+    (3, '[{"Time":'),
+    (4, '{"Time":"2020-01-05"}'),
+    (5, '[7, null, {"props":{"k":1}}, {"Time":null}, {"Time":"soon"}, {"Time":"2020-01-05","props":{"k":"x"}}]'),
+    (6, "[]"),
+    (7, ""),
+    (8, '[{"Time":"2020-01-05","props":{"k":null}},{"Time":"2020-01-05","props":4}]'),
+]
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    bodies = spark.createDataFrame(BODIES, "`the.id` int, body string")
+    return V.parse_variant_records(bodies, FIELDS, ["ts"])
+
+
+def test_reason_of_every_record(records, rows_of):
+    assert rows_of(records, "`the.id`", "position", "ts", "k", "reason") == sorted(
+        [
+            (1, 0, DAY, 3, None),
+            (1, 1, DAY, None, None),
+            (2, None, None, None, "null body"),
+            (3, None, None, None, "not JSON"),
+            (4, None, None, None, "not an array"),
+            (5, 0, None, None, "not an object"),
+            (5, 1, None, None, "not an object"),
+            (5, 2, None, 1, "ts absent"),
+            (5, 3, None, None, "ts absent"),
+            (5, 4, None, None, "ts is no timestamp_ntz"),
+            (5, 5, DAY, None, "k is no long"),
+            (7, None, None, None, "not JSON"),
+            (8, 0, DAY, None, None),
+            (8, 1, DAY, None, None),
+        ],
+        key=str,
+    )
+
+
+def test_good_and_bad_are_written_once_and_apart(spark, records, tmp_path, rows_of):
+    V.write_records(records, str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    good, bad = written.where("bad = 0").drop("bad"), written.where("bad = 1").drop("bad")
+    assert rows_of(good.drop("raw", "reason")) == rows_of(V.good_records(records))
+    assert rows_of(bad.drop(*FIELDS)) == rows_of(V.bad_records(records, FIELDS))
+    raw = {(r["the.id"], r["position"]): r["raw"] for r in bad.collect()}
+    assert raw[(3, None)] == '[{"Time":' and raw[(5, 4)] == '{"Time":"soon"}' and raw[(5, 0)] == "7"
+
+
+def test_names_are_checked(spark):
+    bodies = spark.createDataFrame([], "k int, body string")
+    with pytest.raises(ValueError, match="there twice"):
+        V.parse_variant_records(bodies, FIELDS)
+    with pytest.raises(ValueError, match="no field"):
+        V.parse_variant_records(bodies.drop("k"), FIELDS, ["when"])
+    assert V.parse_variant_records(bodies.drop("k"), FIELDS).count() == 0
