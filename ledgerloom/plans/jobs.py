@@ -24,16 +24,25 @@ from ledgerloom.operators.quality import (
     ledger_report,
     require,
 )
+from ledgerloom.sources.archive import read_archive
 from ledgerloom.sources.drivers import monthly_series, read_driver_series, read_electricity
 from ledgerloom.sources.ledger import read_ledger
 
 
 def read_request(
-    spark: SparkSession, request: JobRequest, driver_paths: Mapping[str, str]
+    spark: SparkSession, request: JobRequest, driver_paths: Mapping[str, str], archive: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Ledger and drivers of a request from landed CSV files."""
+    """Ledger and drivers of a request from landed CSV files.
+
+    Series without a path of their own come from the ``archive``, in one scan.
+    """
     series, paths = [], {driver_name(name): path for name, path in driver_paths.items()}
+    archived = [d for d in request.drivers if archive and d != ELECTRICITY and d not in paths]
+    if archived:
+        series.append(read_archive(spark, archive, archived, request.driver_years))
     for driver in request.drivers:
+        if driver in archived:
+            continue
         if driver == ELECTRICITY:
             series.append(read_electricity(spark, request.electricity_path, request.driver_years))
         else:

@@ -421,6 +421,7 @@ def flagged(code_column: str) -> str:
 ORACLES: dict[str, str] = {
     "scan_ledger": f"WITH {FULL} SELECT * FROM full_ledger",
     "driver_series": f"WITH {SERIES} SELECT driver, month_idx, value FROM series",
+    "driver_archive": f"WITH {SERIES} SELECT driver, month_idx, value FROM series WHERE driver IS NOT NULL",
     "driver_electricity": f"""
       SELECT 'Electricity' AS driver, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
              {MONTH.format('o_orderdate')} AS month_idx, avg(floor(o_totalprice + 0.5)) AS value

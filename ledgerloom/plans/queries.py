@@ -28,6 +28,7 @@ from ledgerloom.config import JobRequest, LagWindow
 from ledgerloom.plans import jobs, tables
 from ledgerloom.plans.tables import DRIVERS, HORIZONS, LAGS, WINDOWS, YEARS, table
 from ledgerloom.session import cut_lineage, shared_dir
+from ledgerloom.sources import archive
 from ledgerloom.sources import calendar as calendars
 from ledgerloom.sources import drivers as series
 from ledgerloom.sources import json_records, sinks, variant_records
@@ -112,6 +113,14 @@ def driver_series(spark, sf_dir):
     return tables.driver_series(spark, sf_dir)
 
 
+@query
+def driver_archive(spark, sf_dir):
+    """All series land in the archive and are read back by series and year."""
+    path = _folder(spark, "archive")
+    archive.land_series(tables.daily_drivers(spark, sf_dir).where("driver is not null"), path)
+    return series.monthly_series(archive.read_archive(spark, path, tables.PRIORITIES.values(), YEARS))
+
+
 @query
 def driver_electricity(spark, sf_dir):
     monthly = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import month
 from ledgerloom.config import JobRequest, half_years
 from ledgerloom.plans import jobs
+from ledgerloom.sources.archive import land_series
 from ledgerloom.operators.quality import check_feature_columns
 
 
@@ -55,6 +56,14 @@ def test_request_to_features(spark, request_files, rows_of):
     ]
 
 
+def test_series_without_a_path_come_from_the_archive(spark, request_files, tmp_path, rows_of):
+    request, paths = request_files
+    _, expected = jobs.read_request(spark, request, paths)
+    land_series(expected.where("driver = 'GAS'"), str(tmp_path / "archive"))
+    _, drivers = jobs.read_request(spark, request, {}, str(tmp_path / "archive"))
+    assert rows_of(drivers) == rows_of(expected)
+
+
 def test_wrong_target_is_refused(spark, request_files):
     request, paths = request_files
     ledger, drivers = jobs.read_request(spark, request, paths)
