@@ -18,7 +18,8 @@ from ledgerloom.llm.text import slices, texts_of
 UNKNOWN = "und"
 # Documents per language that the models are fitted on, about; a tenth of them calibrates.
 SAMPLE_DOCS = 1500
-SLICE = 2 << 20
+# Text handled at once; small, as 100 to 300 bytes of arrays go with each character.
+SLICE = 1 << 18
 # Share of a language's calibration texts whose excess bounds what is accepted.
 USUAL_SHARE = 0.9
 # Letters at which the spread of a text's cross-entropy has halved towards that of long texts.

@@ -1,8 +1,11 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import SMALL
@@ -151,3 +154,20 @@ def test_copies_of_a_text_are_one_text_of_the_sample(spark):
     rows = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
     found = [r["text"] for r in langid.sample(rows, 600).collect()]
     assert Counter(found) == Counter(set(texts))
+
+
+def test_a_task_holds_arrays_of_few_texts_at_once():
+    """Four megabytes of texts in one batch, most of whose character runs no language has."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(2000)]
+    runs = np.array([[97 + i, 97 + j, 97 + k, 32] for i in range(8) for j in range(8) for k in range(8)])
+    fitted = langid.LanguageId(K.fit(["a", "b"], runs, np.ones((len(runs), 2))), 1.0, np.zeros(2), np.ones(2))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": texts})
+    langid.cross_entropy(fitted.model, texts[:1])
+    tracemalloc.start()
+    try:
+        found = list(langid._predict(iter([batch]), SimpleNamespace(value=fitted), ["doc_id"]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(len(b) for b in found) == 2000 and peak < 128 << 20
