@@ -239,11 +239,15 @@ def similar_lines(lines: DataFrame, nodes: DataFrame, documents: DataFrame, simi
 
 
 def joined_groups(
-    members: DataFrame, texts: DataFrame, compared: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], similar: float
+    members: DataFrame,
+    texts: DataFrame,
+    compared: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    similar: float,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """``node, root`` of nodes that are linked to others: those under one ``key`` of ``members``
     (``key, node, n``) whose ``texts`` (``node, text`` and the columns of a sketch) pass
-    ``compared``, which asks for a similarity of ``similar``."""
+    ``compared``, which asks for a similarity of ``similar``, and those that ``known`` (``a, b``) links."""
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
@@ -259,6 +263,7 @@ def joined_groups(
     centres = written(centres, "centres")
     tried = members.join(centres, "key").where((F.col("node") != F.col("other_node")) & may_be_similar(similar))
     links = written(linked(written(_pairs(tried), "pairs")), "links")
+    links = links if known is None else links.union(known)
     groups = components(links)
     across = written(_across(members, centres, groups, similar), "pairs")
     more = written(linked(across), "links")

@@ -35,9 +35,9 @@ SEED = 42
 CROWD = 48
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
     """SimHash of one text: bit i is set if it is set in over half of the shingle hashes."""
-    words = text.encode().lower().split()
+    words = (text.encode() if isinstance(text, str) else text).lower().split()
     if not words:
         return 0
     line = b" ".join(words)
@@ -146,8 +146,8 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     """``documents`` with one row of each component: the one with the smallest ``doc_id``.
 
     Of repeated rows with that id one stays, also if their texts differ; rows without an
-    id all stay. The pipeline takes ``near_texts.one_of_similar``, which tells rows apart
-    by their texts.
+    id all stay. The pipeline takes ``near_texts.one_of_similar``, which has the same
+    links and further ones, and tells rows apart by their texts.
     """
     found = near_duplicates(documents, radius, shingle)
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
