@@ -206,16 +206,17 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, last, known = [], None, set()
-        for a, b in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
-            if a != last:
-                last, known = a, shingles(a)
-            other = shingles(b)
-            both = len(known & other)
-            keep.append(both >= similar * (len(known) + len(other) - both))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
-        )
+        for part in slices(batch, "b_text", SLICE):
+            keep, last, known = [], None, set()
+            for a, b in zip(part.column("a_text"), part.column("b_text").to_pylist(), strict=True):
+                a = a.as_py()
+                if a != last:
+                    last, known = a, shingles(a)
+                other = shingles(b)
+                both = len(known & other)
+                keep.append(both >= similar * (len(known) + len(other) - both))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(chosen), part.column("b").filter(chosen)], names=["a", "b"])
 
 
 def similar_lines(lines: DataFrame, nodes: DataFrame, documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -302,19 +303,20 @@ def _across(members: DataFrame, centres: DataFrame, groups: DataFrame, similar:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            out = set(gone or ())
-            left = "\n".join(x for j, x in enumerate(lines) if j not in out)
-            filled = sum(1 for x in lines if x.strip())
-            # A text that loses nothing stays as it is, null included.
-            rows.append((left if out else text, filled, len(out), hashlib.sha256(left.encode()).hexdigest()))
-        text, n, removed, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
-            names=["row", "kept_text", "n_lines", "n_removed", "kept_sha256"],
-        )
+        for part in slices(batch, most=SLICE):
+            rows = []
+            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                out = set(gone or ())
+                left = "\n".join(x for j, x in enumerate(lines) if j not in out)
+                filled = sum(1 for x in lines if x.strip())
+                # A text that loses nothing stays as it is, null included.
+                rows.append((left if out else text, filled, len(out), hashlib.sha256(left.encode()).hexdigest()))
+            text, n, removed, digest = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
+                names=["row", "kept_text", "n_lines", "n_removed", "kept_sha256"],
+            )
 
 
 def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -26,6 +26,8 @@ WINDOW = 4096
 END_ID = 2
 # Distinct word pieces a task keeps encoded; beyond that it starts afresh.
 CACHE = 600_000
+# Text handled at once; its words, their ids and indices take many times its size.
+SLICE = 1 << 21
 
 TOKEN_SCHEMA = "part int, before long, doc_id long, doc_tokens long, ids binary"
 PIECE_SCHEMA = (
@@ -60,7 +62,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.place = {"": 0}
-        self.ids = np.zeros(1 << 20, self.width)
+        self.ids = np.zeros(1 << 16, self.width)
         self.used = 0
         self.starts, self.sizes = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
 
@@ -132,7 +134,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterat
     encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
     part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for rows in slices(batch):
+        for rows in slices(batch, most=SLICE):
             ids, bounds = encoder.encode(rows.column("text"))
             stop = np.array([end], encoder.width).tobytes()
             sizes = np.diff(bounds) + 1
@@ -148,11 +150,13 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterat
                 names=["part", "before", "doc_id", "doc_tokens", "ids"],
             )
             before += int(sizes.sum())
+    # The process outlives the task; what it keeps is missing elsewhere.
+    encoder.clear()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], window: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in slices(batch, "ids"):
+        for rows in slices(batch, "ids", SLICE):
             first = np.asarray(rows.column("first"))
             sizes = np.asarray(rows.column("doc_tokens"))
             n = (first + sizes - 1) // window - first // window + 1

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -131,3 +132,17 @@ def test_texts_without_an_id_are_told_apart_by_more_than_a_checksum(spark):
     own = [t.split("\n")[1] for t in pair]
     kept = sorted((str(r["row"]["doc_id"]), r["kept_text"]) for r in found.collect())
     assert kept == sorted([("1", "shared line of some length"), (str(2**63 - 1), own[1]), ("None", own[0]), ("None", "")])
+
+
+def test_whole_texts_are_handled_a_slice_at_a_time(monkeypatch):
+    """However many rows a batch has, no more than a slice of its texts is copied at once."""
+    monkeypatch.setattr(L, "SLICE", 250)
+    texts = [f"{i} {'x' * 90}\nlast" for i in range(9)]
+    kept = pa.RecordBatch.from_pydict({"row": list(range(9)), "text": texts, "gone": [[1], None, []] * 3})
+    out = list(L._kept(iter([kept])))
+    assert len(out) > 3 and all(b.num_rows <= 2 for b in out)
+    left = [t.removesuffix("\nlast") if i % 3 == 0 else t for i, t in enumerate(texts)]
+    assert [t for b in out for t in b.column("kept_text").to_pylist()] == left
+    pairs = pa.RecordBatch.from_pydict({"a": list(range(9)), "b": list(range(9, 18)), "a_text": texts, "b_text": texts[:5] + ["other line"] * 4})
+    out = list(L._compared(iter([pairs]), 0.8))
+    assert len(out) > 2 and [a for b in out for a in b.column("a").to_pylist()] == list(range(5))

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,15 @@ def test_a_full_memory_starts_afresh(tokenizer, monkeypatch):
 
 def test_empty_table(documents):
     assert packing.pack(documents([]), PATH).collect() == []
+
+
+def test_a_task_leaves_no_words_and_takes_a_slice_at_a_time(tokenizer, monkeypatch):
+    """The worker process goes on to other tasks, so what a task has encoded must not stay in it."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(packing, "SLICE", 300)
+    texts = [f"birch{i} Elm, oak {i}" * 10 for i in range(7)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": texts})
+    out = list(packing._tokenized(iter([batch]), PATH, packing.END_ID))
+    assert len(out) > 2 and len(packing._encoders[PATH].place) == 1
+    held = [np.frombuffer(x, np.uint16).tolist() for b in out for x in b.column("ids").to_pylist()]
+    assert held == streams(tokenizer, texts)
