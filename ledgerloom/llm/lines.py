@@ -37,11 +37,14 @@ BANDS, ROWS = 9, 4
 LONG, SHORT = 128, 200
 # Text handled at once; small, as about twenty bytes of arrays go with each character.
 SLICE = 1 << 20
+# Characters whose signatures are worked out at once: their arrays stay in a processor's cache.
+BLOCK = 1 << 17
 # Nodes of a bucket that meet as many others in one task; larger buckets are cut into parts.
 AT_ONCE = 1 << 12
 
 LINE_SCHEMA = "id long, tag string, line int, node long, bands array<long>"
 NAMELESS = (1 << 63) - 1
+SKETCHED = ("size", *MAPS)
 
 _STEP = np.uint64(0x9DDFEA08EB382D69)
 _NONE = ~np.uint64(0)
@@ -79,16 +82,23 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
     """Band keys of each normalised line; none for lines that only equal lines can be similar to."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     sizes = np.array([len(t) - SHINGLE + 1 for t in texts], np.int64)
-    rows = np.flatnonzero(sizes > 0)
-    if not len(rows):
-        return out
-    size = sizes[rows]
-    hashed = _runs([texts[i] for i in rows], size)
+    for chosen in (np.flatnonzero((sizes > 0) & (sizes < LONG)), np.flatnonzero(sizes >= LONG)):
+        block = np.cumsum(sizes[chosen]) // BLOCK
+        for rows in np.split(chosen, np.flatnonzero(np.diff(block)) + 1):
+            if len(rows):
+                for i, own in zip(rows.tolist(), _signatures([texts[i] for i in rows], sizes[rows]), strict=True):
+                    out[i] = own
+    return out
+
+
+def _signatures(texts: list[str], size: np.ndarray) -> list[np.ndarray]:
+    """Band keys of lines with ``size`` shingles each, one at least."""
+    hashed = _runs(texts, size)
     start = np.cumsum(size) - size
     keys: dict[int, list[np.ndarray]] = {}
     long = np.flatnonzero(size >= LONG)
     # Hashes of the long lines, and the line of each.
-    x = hashed[np.repeat(size >= LONG, size)]
+    x = hashed if len(long) == len(size) else hashed[np.repeat(size >= LONG, size)]
     line = np.repeat(np.arange(len(long)), size[long])
     short = np.flatnonzero(_few(x, line, long, size))
     if len(short):
@@ -109,9 +119,7 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
             minima = np.where(empty & ~np.roll(empty, -1, axis=1), following + _STEP, minima)
             empty = minima == _NONE
         _add(keys, long, minima, 1)
-    for i, parts in keys.items():
-        out[rows[i]] = np.concatenate(parts)
-    return out
+    return [np.concatenate(keys[i]) for i in range(len(texts))]
 
 
 def _few(x: np.ndarray, line: np.ndarray, long: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -219,23 +227,24 @@ def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column("a").filter(chosen), part.column("b").filter(chosen)], names=["a", "b"])
 
 
-def similar_lines(lines: DataFrame, nodes: DataFrame, documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``node, root`` of nodes that are linked to others, from the tables of lines and nodes and the texts."""
+def similar_lines(lines: DataFrame, documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``node, root`` of nodes that are linked to others, from the table of lines and the texts."""
     spark = lines.sparkSession
     keyed = lines.where("bands is not null").select(F.explode("bands").alias("key"), "node")
     kept = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     buckets = written(kept.select("key"), "line-buckets")
     may = spark.sparkContext.broadcast(sieve(buckets, "key"))
     rows = lines.where("bands is not null").select("node", "bands")
-    maybe = rows.mapInArrow(lambda it: _members(it, may), "key long, node long").distinct()
-    known = maybe.join(buckets, "key").join(nodes.select("node", "n"), "node")
-    members = written(known.select("key", "node", "n"), "line-members")
+    maybe = rows.mapInArrow(lambda it: _members(it, may), "key long, node long")
+    # Bands come once a slice, so ``n`` counts the slices of text that hold the line.
+    counted = maybe.groupBy("key", "node").agg(F.count("*").alias("n"))
+    members = written(counted.join(buckets, "key", "left_semi"), "line-members")
 
-    wanted = members.select("node").distinct()
+    wanted = written(members.select("node").distinct(), "line-wanted")
     also = spark.sparkContext.broadcast(sieve(wanted, "node"))
     found = documents.select("text").mapInArrow(lambda it: _texts(it, also), "node long, text string")
-    texts = found.groupBy("node").agg(F.first("text").alias("text"))
-    sketched = texts.join(wanted, "node", "left_semi").mapInArrow(_sketched, f"node long, text string, {SKETCH}")
+    texts = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sketched = texts.mapInArrow(_sketched, f"node long, text string, {SKETCH}")
     return joined_groups(members, written(sketched, "line-texts"), lambda it: _compared(it, similar), similar)
 
 
@@ -248,7 +257,13 @@ def joined_groups(
 ) -> DataFrame:
     """``node, root`` of nodes that are linked to others: those under one ``key`` of ``members``
     (``key, node, n``) whose ``texts`` (``node, text`` and the columns of a sketch) pass
-    ``compared``, which asks for a similarity of ``similar``, and those that ``known`` (``a, b``) links."""
+    ``compared``, which asks for a similarity of ``similar``, and those that ``known`` (``a, b``) links.
+
+    A node is a member of many buckets, so sketches are joined to pairs and to the buckets
+    that still hold several components, never to all members.
+    """
+    sketches_a = texts.select("node", *SKETCHED)
+    sketches_b = texts.select(*[F.col(c).alias(f"other_{c}") for c in ("node", *SKETCHED)])
 
     def linked(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
@@ -256,17 +271,14 @@ def joined_groups(
         met = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
         return met.mapInArrow(compared, "a long, b long")
 
-    sketch = ["size", *MAPS]
-    members = written(members.join(texts.select("node", *sketch), "node"), "members")
     # The line that occurs most often is likely the one that the others were made from.
-    most = F.max(F.struct("n", "node", *sketch)).alias("most")
-    centres = members.groupBy("key").agg(most).select("key", *[F.col(f"most.{c}").alias(f"other_{c}") for c in ("node", *sketch)])
-    centres = written(centres, "centres")
-    tried = members.join(centres, "key").where((F.col("node") != F.col("other_node")) & may_be_similar(similar))
-    links = written(linked(written(_pairs(tried), "pairs")), "links")
+    centres = members.groupBy("key").agg(F.max_by("node", "n").alias("other_node"))
+    others = written(members.join(centres, "key").where("node != other_node").select("key", "node", "other_node"), "members")
+    met = others.select("node", "other_node").distinct().join(sketches_a, "node").join(sketches_b, "other_node")
+    links = written(linked(written(_pairs(met.where(may_be_similar(similar))), "pairs")), "links")
     links = links if known is None else links.union(known)
     groups = components(links)
-    across = written(_across(members, centres, groups, similar), "pairs")
+    across = written(_across(others.select("key", "node"), sketches_a, groups, similar), "pairs")
     more = written(linked(across), "links")
     return groups if more.isEmpty() else components(links.union(more))
 
@@ -275,30 +287,31 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
-def _across(members: DataFrame, centres: DataFrame, groups: DataFrame, similar: float) -> DataFrame:
+def _across(others: DataFrame, sketched: DataFrame, groups: DataFrame, similar: float) -> DataFrame:
     """Pairs of nodes that share a bucket but no component and may be similar.
 
-    A node outside a bucket's largest component meets all those of other components. The
-    centre has met everybody. Buckets with many such meetings are cut both ways into
-    ``parts``, so that no task makes many more than the square of ``AT_ONCE`` for one part.
+    ``others`` are the members but for each bucket's centre, which has met everybody. A
+    node outside the largest component of these meets all those of other components.
+    Buckets with many such meetings are cut both ways into ``parts``, so that no task
+    makes many more than the square of ``AT_ONCE`` for one part.
     """
-    rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("n")
+    rooted = others.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "rooted")
     per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    top = F.max(F.struct("n", "root"))
-    per_key = per_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("all"), top.alias("top")).where("roots > 1")
-    parts = F.ceil(F.sqrt((F.col("all") - F.col("top.n")) * F.col("all")) / AT_ONCE).cast("int")
-    mixed_keys = per_key.join(centres, "key").select("key", F.col("top.root").alias("top"), F.col("other_node").alias("centre"), parts.alias("parts"))
-    here = written(rooted.join(mixed_keys, "key").where("node != centre").drop("centre"), "mixed")
+    top = F.max_by("root", "n").alias("top")
+    per_key = per_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("all"), F.max("n").alias("most"), top).where("roots > 1")
+    parts = F.ceil(F.sqrt((F.col("all") - F.col("most")) * F.col("all")) / AT_ONCE).cast("int")
+    mixed_keys = per_key.select("key", "top", parts.alias("parts"))
+    here = written(rooted.join(mixed_keys, "key").join(sketched, "node"), "mixed")
     own, each = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     minor = here.where("root != top").withColumn("x", own).withColumn("y", each).drop("parts")
-    others = here.withColumn("y", own).withColumn("x", each).drop("parts", "top")
-    others = others.select("key", "x", "y", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", *MAPS)])
+    met = here.withColumn("y", own).withColumn("x", each).drop("parts", "top")
+    met = met.select("key", "x", "y", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", *SKETCHED)])
     # Two nodes that are both outside the largest component meet once.
     once = (F.col("other_root") == F.col("top")) | (F.col("node") < F.col("other_node"))
     apart = F.col("root") != F.col("other_root")
-    same = [minor[c] == others[c] for c in ("key", "x", "y")]
-    return _pairs(minor.join(others, [*same, apart & once & may_be_similar(similar)]))
+    same = [minor[c] == met[c] for c in ("key", "x", "y")]
+    return _pairs(minor.join(met, [*same, apart & once & may_be_similar(similar)]))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,32 +350,27 @@ def line_dedup(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
         "text",
         F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row"),
     )
-    lines = written(named.select("id", "tag", "text").mapInArrow(_lines, LINE_SCHEMA), "lines")
     with scratch(documents.sparkSession):
-        keepers = written(_keepers(lines, documents, similar), "line-keepers", outlives=True)
-    place = F.struct("id", "tag", "line")
-    gone = (
-        lines.join(keepers, "node")
-        .where(place != F.col("first"))
-        .groupBy("id", "tag")
-        .agg(F.collect_set("line").alias("gone"))
-    )
+        lines = written(named.select("id", "tag", "text").mapInArrow(_lines, LINE_SCHEMA), "lines")
+        places = written(_gone(lines, documents, similar), "line-gone", outlives=True)
+    # A document's lines are few beside its text, which a hash join needs not sort.
+    gone = places.groupBy("id", "tag").agg(F.collect_set("line").alias("gone")).hint("shuffle_hash")
     schema = T.StructType([named.schema["row"]]).add("kept_text", T.StringType())
     schema = schema.add("n_lines", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType())
     joined = named.join(gone, ["id", "tag"], "left").select("row", "text", "gone")
     return joined.mapInArrow(_kept, schema)
 
 
-def _keepers(lines: DataFrame, documents: DataFrame, similar: float) -> DataFrame:
-    """``node, first``: where the line stays that a node's lines have to give way to."""
-    place = F.struct("id", "tag", "line")
-    nodes = written(lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-nodes")
-    groups = similar_lines(lines, nodes, documents, similar)
-    rooted = nodes.join(groups, "node", "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
-    once = rooted.where("not linked and n > 1").select("node", "first")
-    group_first = rooted.where("linked").groupBy("root").agg(F.min("first").alias("first"))
-    several = rooted.where("linked").select("node", "root").join(group_first, "root").select("node", "first")
-    return once.union(several)
+def _gone(lines: DataFrame, documents: DataFrame, similar: float) -> DataFrame:
+    """``id, tag, line`` of the lines that have to give way to another."""
+    groups = similar_lines(lines, documents, similar)
+    # Most lines occur once and are like no other; only the rest need their places compared.
+    repeated = lines.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    rooted = repeated.join(groups, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+    placed = lines.select("id", "tag", "line", "node").join(rooted, "node").select("root", F.struct("id", "tag", "line").alias("place"))
+    placed = written(placed, "line-places")
+    firsts = placed.groupBy("root").agg(F.min("place").alias("first"))
+    return placed.join(firsts, "root").where("place != first").select("place.*")
 
 
 def deduplicated(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:

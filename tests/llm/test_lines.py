@@ -146,3 +146,22 @@ def test_whole_texts_are_handled_a_slice_at_a_time(monkeypatch):
     pairs = pa.RecordBatch.from_pydict({"a": list(range(9)), "b": list(range(9, 18)), "a_text": texts, "b_text": texts[:5] + ["other line"] * 4})
     out = list(L._compared(iter([pairs]), 0.8))
     assert len(out) > 2 and [a for b in out for a in b.column("a").to_pylist()] == list(range(5))
+
+
+def test_signatures_are_the_same_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (0, 3, 7, 60, 130, 134, 190, 206, 207, 500, 5000)] * 2
+    whole = [s.tolist() for s in L.signatures(texts)]
+    monkeypatch.setattr(L, "BLOCK", 50)
+    assert [s.tolist() for s in L.signatures(texts)] == whole and whole[:11] == whole[11:]
+    assert [bool(w) for w in whole[:11]] == [False] * 2 + [True] * 9
+
+
+def test_sketches_are_joined_to_pairs_and_mixed_buckets_only(documents, monkeypatch):
+    """A node is in many buckets: what is written of all members holds their keys and numbers alone."""
+    made, real = {}, L.written
+    monkeypatch.setattr(L, "written", lambda df, name, **how: made.setdefault(name, []).append(df.columns) or real(df, name, **how))
+    words = [f"word{k}" for k in range(30)]
+    rows = [(i, " ".join(words[:-i or None] + [f"other{k}" for k in range(i)])) for i in range(8)]
+    assert found(documents(rows)) == by_hand(rows)
+    assert all(len(columns) <= 4 for name in ("line-members", "members", "rooted") for columns in made[name])
