@@ -39,6 +39,8 @@ LONG, SHORT = 128, 200
 SLICE = 1 << 20
 # Characters whose signatures are worked out at once: their arrays stay in a processor's cache.
 BLOCK = 1 << 17
+# Band keys of a task that looks for shared ones.
+PART = 1 << 19
 # Nodes of a bucket that meet as many others in one task; larger buckets are cut into parts.
 AT_ONCE = 1 << 12
 
@@ -51,10 +53,22 @@ _NONE = ~np.uint64(0)
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
+# Runs of spaces and white space other than spaces and line feeds; most texts have none.
+_GAPS = ("  ", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"])
+
+
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """``normal`` of each line of a text."""
+    text = text.lower()
+    if any(gap in text for gap in _GAPS):
+        return [" ".join(x.split()) for x in text.split("\n")]
+    return [x.strip(" ") for x in text.split("\n")]
+
+
 def node_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
@@ -68,34 +82,51 @@ def _runs(texts: list[str], size: np.ndarray) -> np.ndarray:
     """Hashes of the shingles of lines that have ``size`` of them, one at least, repeats included."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     # Runs of 1, 2, 4, 6 and at last SHINGLE = 7 characters.
-    two = codes[:-1] * _STEP + codes[1:]
-    four = two[:-2] * _STEP**2 + two[2:]
-    six = four[:-2] * _STEP**2 + two[4:]
-    hashed = mixed(six[:-1] * _STEP + codes[6:])
+    two = codes[:-1] * _STEP
+    two += codes[1:]
+    run = two[:-2] * _STEP**2
+    run += two[2:]
+    run = run[:-2] * _STEP**2
+    run += two[4:]
+    run = run[:-1] * _STEP
+    run += codes[6:]
+    return mixed(run[_inside(size)[: len(run)]])
+
+
+def _inside(size: np.ndarray) -> np.ndarray:
+    """Whether a shingle of its own line starts at each character of lines that have ``size`` of them."""
     ends = np.cumsum(size + SHINGLE - 1)
-    inside = np.ones(len(codes), bool)
+    inside = np.ones(ends[-1], bool)
     inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
-    return hashed[inside[: len(hashed)]]
+    return inside
 
 
 def signatures(texts: list[str]) -> list[np.ndarray]:
     """Band keys of each normalised line; none for lines that only equal lines can be similar to."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    number, keys = _banded(texts)
+    return np.split(keys, np.cumsum(number)[:-1]) if texts else []
+
+
+def _banded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many band keys each normalised line has, and all of these line by line."""
+    owner, keys = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)]
     sizes = np.array([len(t) - SHINGLE + 1 for t in texts], np.int64)
     for chosen in (np.flatnonzero((sizes > 0) & (sizes < LONG)), np.flatnonzero(sizes >= LONG)):
         block = np.cumsum(sizes[chosen]) // BLOCK
         for rows in np.split(chosen, np.flatnonzero(np.diff(block)) + 1):
             if len(rows):
-                for i, own in zip(rows.tolist(), _signatures([texts[i] for i in rows], sizes[rows]), strict=True):
-                    out[i] = own
-    return out
+                for lines, own in _signatures([texts[i] for i in rows], sizes[rows]):
+                    owner.append(rows[lines])
+                    keys.append(own)
+    at = np.concatenate(owner)
+    return np.bincount(at, minlength=len(texts)) * BANDS, np.concatenate(keys)[np.argsort(at, kind="stable")].ravel()
 
 
-def _signatures(texts: list[str], size: np.ndarray) -> list[np.ndarray]:
-    """Band keys of lines with ``size`` shingles each, one at least."""
+def _signatures(texts: list[str], size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lines and their ``BANDS`` keys by each scheme they take; lines have ``size`` shingles each, one at least."""
     hashed = _runs(texts, size)
     start = np.cumsum(size) - size
-    keys: dict[int, list[np.ndarray]] = {}
+    keys = []
     long = np.flatnonzero(size >= LONG)
     # Hashes of the long lines, and the line of each.
     x = hashed if len(long) == len(size) else hashed[np.repeat(size >= LONG, size)]
@@ -103,11 +134,11 @@ def _signatures(texts: list[str], size: np.ndarray) -> list[np.ndarray]:
     short = np.flatnonzero(_few(x, line, long, size))
     if len(short):
         own = [hashed[start[i] : start[i] + size[i]] for i in short]
-        own = [y if len(y) <= SHORT else np.unique(y) for y in own]
+        own = [y if len(y) <= 2 * SHORT else np.unique(y) for y in own]  # repeats only cost time
         y, first = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
         y = y ^ (y >> np.uint64(29))
         minima = np.stack([np.minimum.reduceat(y * f, first) for f in _FACTORS], axis=1)
-        _add(keys, short, minima, 0)
+        keys.append((short, _folded(minima, 0)))
     if len(long):
         width = BANDS * ROWS
         minima = np.full(len(long) * width, _NONE)
@@ -118,8 +149,8 @@ def _signatures(texts: list[str], size: np.ndarray) -> list[np.ndarray]:
             following = np.roll(minima, -1, axis=1)
             minima = np.where(empty & ~np.roll(empty, -1, axis=1), following + _STEP, minima)
             empty = minima == _NONE
-        _add(keys, long, minima, 1)
-    return [np.concatenate(keys[i]) for i in range(len(texts))]
+        keys.append((long, _folded(minima, 1)))
+    return keys
 
 
 def _few(x: np.ndarray, line: np.ndarray, long: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -135,35 +166,33 @@ def _few(x: np.ndarray, line: np.ndarray, long: np.ndarray, size: np.ndarray) ->
     return few
 
 
-def _add(keys: dict, lines: np.ndarray, minima: np.ndarray, scheme: int) -> None:
-    folded = np.zeros((len(lines), BANDS), np.uint64) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + scheme * BANDS)) * _STEP
-    grouped = minima.reshape(len(lines), BANDS, ROWS)
+def _folded(minima: np.ndarray, scheme: int) -> np.ndarray:
+    folded = np.zeros((len(minima), BANDS), np.uint64) + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1 + scheme * BANDS)) * _STEP
+    grouped = minima.reshape(len(minima), BANDS, ROWS)
     for j in range(ROWS):
         folded = mixed(folded * _STEP + grouped[:, :, j])
-    for i, own in zip(lines.tolist(), folded.view(np.int64), strict=True):
-        keys.setdefault(i, []).append(own)
+    return folded.view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, most=SLICE):
-            doc, line, texts = [], [], []
-            for i, text in enumerate(texts_of(part)):
-                for j, raw in enumerate(text.split("\n")):
-                    if folded := normal(raw):
-                        doc.append(i)
-                        line.append(j)
-                        texts.append(folded)
-            if not doc:
+            listed = [normal_lines(text) for text in texts_of(part)]
+            per = np.array([len(x) for x in listed], np.int64)
+            filled = np.array([bool(x) for own in listed for x in own], bool)
+            if not filled.any():
                 continue
-            distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+            doc = np.repeat(np.arange(len(per)), per)[filled]
+            line = (np.arange(len(filled)) - np.repeat(np.cumsum(per) - per, per))[filled]
+            distinct: dict[str, int] = {}
+            index = np.array([distinct.setdefault(x, len(distinct)) for own in listed for x in own if x])
             nodes = np.array([node_of(t) for t in distinct], np.int64)
-            index = np.array([distinct[t] for t in texts])
-            # Only a text's first line in the slice carries its bands.
+            # Only a text's first line in the slice carries its bands; such lines follow each other as ``distinct`` does.
             first = np.zeros(len(index), bool)
             first[np.unique(index, return_index=True)[1]] = True
-            found = signatures(list(distinct))
-            bands = [found[i] if f else None for i, f in zip(index.tolist(), first.tolist(), strict=True)]
+            number, keys = _banded(list(distinct))
+            ends = np.cumsum(np.where(first, number[index], 0), dtype=np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys), mask=pa.array(~first))
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -171,23 +200,67 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column("tag").take(take),
                     pa.array(line, pa.int32()),
                     pa.array(nodes[index]),
-                    pa.array(bands, pa.list_(pa.int64())),
+                    bands,
                 ],
                 names=["id", "tag", "line", "node", "bands"],
             )
 
 
-def _members(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Band keys that may be shared, with their nodes."""
-    may: Sieve = shared.value
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Band keys and their nodes, dealt over ``parts`` by key: rows of many keys, as each key is a short row of its own otherwise."""
+    key, node, held = [], [], 0
     for batch in batches:
         bands = batch.column("bands")
-        key = np.asarray(bands.flatten())
-        if len(key):
-            per = np.asarray(pc.fill_null(pc.list_value_length(bands), 0))
-            keep = may(key)
-            node = np.repeat(np.asarray(batch.column("node")), per)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+        per = np.asarray(pc.fill_null(pc.list_value_length(bands), 0))
+        key.append(np.asarray(bands.flatten()))
+        node.append(np.repeat(np.asarray(batch.column("node")), per))
+        held += len(key[-1])
+        if held >= PART:
+            yield _by_part(np.concatenate(key), np.concatenate(node), parts)
+            key, node, held = [], [], 0
+    if held:
+        yield _by_part(np.concatenate(key), np.concatenate(node), parts)
+
+
+def _by_part(key: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))[:-1]
+    columns = [pa.array([x.tobytes() for x in np.split(column[order], ends)], pa.binary()) for column in (key, node)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *columns], names=["part", "keys", "nodes"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, node, n`` of keys that several nodes have; a node's ``n`` under a key may come in several rows to add up.
+
+    All rows of a key are in one task, which holds a row per key: its node and number, as
+    long as that is the only one. Nodes of a key that has several are passed on at once.
+    """
+    held, several = np.zeros((3, 0), np.int64), np.zeros(0, bool)
+    for batch in batches:
+        key, node = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("keys", "nodes"))
+        if not len(key):
+            continue
+        rows = np.concatenate((held, np.stack((key, node, np.ones_like(key)))), axis=1)
+        several = np.concatenate((several, np.zeros(len(key), bool)))
+        order = np.argsort(rows[0])
+        same = rows[0, order[1:]] == rows[0, order[:-1]]
+        # Few keys have several rows; only these are put in order of their nodes.
+        some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        order[some] = order[some][np.lexsort((rows[1, order[some]], rows[0, order[some]]))]
+        rows, several = rows[:, order], several[order]
+        starts = np.flatnonzero(np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))))
+        n = np.add.reduceat(rows[2], starts)
+        key, node = rows[:2, starts]
+        several = np.logical_or.reduceat(several, starts)
+        # Now a row per key and node; of these the first of each key.
+        firsts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        nodes = np.diff(np.append(firsts, len(key)))
+        shared = np.logical_or.reduceat(several, firsts) | (nodes > 1)
+        keep = np.repeat(shared, nodes) & (n > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, n)], names=["key", "node", "n"])
+        # What is passed on counts no more.
+        held, several = np.stack((key[firsts], node[firsts], np.where(shared, 0, n[firsts]))), shared
 
 
 def _texts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -195,7 +268,7 @@ def _texts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     may: Sieve = shared.value
     for batch in batches:
         for part in slices(batch, most=SLICE):
-            distinct = list({f for text in texts_of(part) for raw in text.split("\n") if (f := normal(raw))})
+            distinct = list({x for text in texts_of(part) for x in normal_lines(text) if x})
             nodes = np.array([node_of(t) for t in distinct], np.int64)
             keep = np.flatnonzero(may(nodes)) if len(nodes) else []
             yield pa.RecordBatch.from_arrays(
@@ -215,30 +288,65 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "b_text", SLICE):
-            keep, last, known = [], None, set()
-            for a, b in zip(part.column("a_text"), part.column("b_text").to_pylist(), strict=True):
-                a = a.as_py()
-                if a != last:
-                    last, known = a, shingles(a)
-                other = shingles(b)
-                both = len(known & other)
-                keep.append(both >= similar * (len(known) + len(other) - both))
+            # Pairs come sorted by ``a``: runs of equal texts are worked out once.
+            ones, others = part.column("a_text").to_pylist(), part.column("b_text").to_pylist()
+            at = np.cumsum([a != last for a, last in zip(ones, [None, *ones], strict=False)]) - 1
+            firsts = [ones[i] for i in np.unique(at, return_index=True)[1].tolist()]
+            known = _shingled(firsts + others)
+            keep = [_similar(known[i], other, similar) for i, other in zip(at.tolist(), known[len(firsts) :], strict=True)]
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(chosen), part.column("b").filter(chosen)], names=["a", "b"])
 
 
+def _shingled(texts: list[str]) -> list[tuple[str, np.ndarray | None]]:
+    """Each text with the numbers of its distinct shingles in order.
+
+    A number holds all characters of its shingle, nine bits each, so equal ones mean equal
+    shingles among these texts. It is left out (None) for texts of less than a shingle, or with characters that
+    come after the first 512 of these texts.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    held = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    held[codes] = True
+    place = np.cumsum(held)[codes] - 1
+    run = place[: 1 - SHINGLE] & 511
+    for i in range(1, SHINGLE):
+        run = run << 9 | place[i : len(run) + i] & 511
+    ends = np.cumsum([len(t) for t in texts]).tolist()
+    out = []
+    for text, end in zip(texts, ends, strict=True):
+        start = end - len(text)
+        fits = len(text) >= SHINGLE and place[start:end].max() < 512
+        out.append((text, _distinct(run[start : end - SHINGLE + 1]) if fits else None))
+    return out
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    ordered = np.sort(numbers)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
+
+
+def _similar(one: tuple[str, np.ndarray | None], other: tuple[str, np.ndarray | None], similar: float) -> bool:
+    """Whether the Jaccard similarity of the shingles of two texts is ``similar`` or more."""
+    if one[1] is None or other[1] is None:
+        a, b = shingles(one[0]), shingles(other[0])
+        both = len(a & b)
+    else:
+        a, b = one[1], other[1]
+        merged = np.sort(np.concatenate((a, b)), kind="stable")
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return both >= similar * (len(a) + len(b) - both)
+
+
 def similar_lines(lines: DataFrame, documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``node, root`` of nodes that are linked to others, from the table of lines and the texts."""
     spark = lines.sparkSession
-    keyed = lines.where("bands is not null").select(F.explode("bands").alias("key"), "node")
-    kept = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    buckets = written(kept.select("key"), "line-buckets")
-    may = spark.sparkContext.broadcast(sieve(buckets, "key"))
     rows = lines.where("bands is not null").select("node", "bands")
-    maybe = rows.mapInArrow(lambda it: _members(it, may), "key long, node long")
+    parts = 1 + lines.count() * BANDS // PART
+    dealt = rows.mapInArrow(lambda it: _dealt(it, parts), "part int, keys binary, nodes binary").repartition(parts, "part")
     # Bands come once a slice, so ``n`` counts the slices of text that hold the line.
-    counted = maybe.groupBy("key", "node").agg(F.count("*").alias("n"))
-    members = written(counted.join(buckets, "key", "left_semi"), "line-members")
+    met = dealt.mapInArrow(_shared, "key long, node long, n long")
+    members = written(met.groupBy("key", "node").agg(F.sum("n").alias("n")), "line-members")
 
     wanted = written(members.select("node").distinct(), "line-wanted")
     also = spark.sparkContext.broadcast(sieve(wanted, "node"))

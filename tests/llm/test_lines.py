@@ -165,3 +165,63 @@ def test_sketches_are_joined_to_pairs_and_mixed_buckets_only(documents, monkeypa
     rows = [(i, " ".join(words[:-i or None] + [f"other{k}" for k in range(i)])) for i in range(8)]
     assert found(documents(rows)) == by_hand(rows)
     assert all(len(columns) <= 4 for name in ("line-members", "members", "rooted") for columns in made[name])
+
+
+def test_lines_of_a_text_are_folded_as_each_by_itself():
+    """Whole texts are lower-cased at once and seldom split into words; the lines are the same."""
+    gaps = [c for c in map(chr, range(0x110000)) if c.isspace() and c != "\n"]
+    texts = ["", "\n", " A b \n\n c  D ", "\u039f\u0394\u039f\u03a3\n\u03a3\u03a3 x\u03a3\n\u0130i", *[f"{c}a{c}B{c}\n{c}\nx c" for c in gaps]]
+    for text in texts:
+        assert L.normal_lines(text) == [L.normal(x) for x in text.split("\n")]
+
+
+def test_similarity_of_pairs_whatever_alphabets_meet():
+    """Numbers of nine bits a character mean the same on both sides, and more characters go by the shingles."""
+    rng = random.Random(7)
+    alphabets = ["abc ", "\u03b1\u03b2\u03b3 ", "".join(map(chr, range(0x4E00, 0x4E00 + 700))), "xyz\U0001f600\U0001f601"]
+    ones, others = [], []
+    for i in range(120):
+        one = [rng.choice(alphabets[i % 4]) for _ in range(rng.randrange(5, 90))]
+        other = [rng.choice("ab\u00df\u6f22\u03b1") if rng.random() < 0.015 else x for x in one]
+        ones += ["".join(one)] * 2
+        others += ["".join(other), "".join(other[: rng.randrange(4, 91)])]
+    pairs = pa.RecordBatch.from_pydict({"a": list(range(240)), "b": list(range(240)), "a_text": ones, "b_text": others})
+    expected = []
+    for i, (a, b) in enumerate(zip(ones, others, strict=True)):
+        a, b = L.shingles(a), L.shingles(b)
+        if len(a & b) >= 0.8 * len(a | b):
+            expected.append(i)
+    assert 60 < len(expected) < 200
+    assert [a for b in L._compared(iter([pairs]), 0.8) for a in b.column("a").to_pylist()] == expected
+
+
+def test_shared_keys_batch_by_batch(monkeypatch):
+    """Each key goes to one part; nodes of a key that several have are counted once, whatever batches they come in."""
+    monkeypatch.setattr(L, "PART", 100)
+    rng = random.Random(8)
+    rows = [(rng.randrange(-300, 300) << 50, rng.randrange(5)) for _ in range(1500)] + [(7, 1)] * 9 + [(8, 1)] * 4 + [(8, 2)]
+    rng.shuffle(rows)
+    cut = [rows[i : i + 40] for i in range(0, len(rows), 40)]
+    lines = [pa.RecordBatch.from_pydict({"node": [n for _, n in x], "bands": [[k] for k, _ in x]}) for x in cut]
+    parts = defaultdict(list)
+    for batch in L._dealt(iter(lines), 7):
+        for row in batch.to_pylist():
+            parts[row["part"]].append(row)
+    got = Counter()
+    for own in parts.values():
+        for batch in L._shared(pa.RecordBatch.from_pylist(own[i : i + 3]) for i in range(0, len(own), 3)):
+            for row in batch.to_pylist():
+                got[row["key"], row["node"]] += row["n"]
+    listed = Counter(rows)
+    nodes = Counter(key for key, _ in listed)
+    assert got == Counter({x: n for x, n in listed.items() if nodes[x[0]] > 1})
+
+
+def test_band_keys_are_shuffled_in_rows_of_many(monkeypatch):
+    """Keys that no other line has cost no row of their own on the way to their task."""
+    dealt, real = [], L._by_part
+    monkeypatch.setattr(L, "_by_part", lambda key, node, parts: dealt.append((len(key), real(key, node, parts))) or dealt[-1][1])
+    texts = [f"line number {i} of several words and more" for i in range(500)]
+    lines = next(iter(L._lines(iter([pa.RecordBatch.from_pydict({"id": list(range(500)), "tag": ["t"] * 500, "text": texts})]))))
+    rows = [b.num_rows for b in L._dealt(iter([lines]), 3)]
+    assert rows == [3] and [n for n, _ in dealt] == [500 * L.BANDS]
