@@ -14,6 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 
 TINY = 1e-10
+# Added to the diagonal of a system; departure from a solution after which a walk is not trusted.
+RIDGE, DRIFT = 1e-13, 1e-9
+# Smallest gap that a speed is divided by.
+NEAR = 1e-300
+# Numbers that one batch of walks may keep of its pivots, as many as there are features and some more.
+WALK_NUMBERS = 4 * 1024 * 1024
 
 
 def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolved: list) -> Iterator[tuple]:
@@ -45,7 +51,7 @@ def lasso_segments(gram: np.ndarray, corr: np.ndarray, floor: np.ndarray, unsolv
         towards = gram[here, used]
         system = np.take_along_axis(towards, used[:, None, :], axis=2)
         system = np.where(on[:, :, None] & on[:, None, :], system, 0.0)
-        system[:, range(width), range(width)] += np.where(on, 1e-13, 1.0)
+        system[:, range(width), range(width)] += np.where(on, RIDGE, 1.0)
         step_used = np.linalg.solve(system, sign[here, used][:, :, None])[:, :, 0]
         d = np.zeros_like(w)
         d[here, used] = step_used
@@ -119,12 +125,17 @@ def contiguous_folds(n: int, k: int) -> np.ndarray:
     return np.repeat(np.arange(k), sizes)
 
 
-def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.ndarray, k: int):
+def search_alpha(
+    x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.ndarray, k: int, known: np.ndarray | None = None
+):
     """Cross-validated choice of ``alpha`` for nested training sets.
 
     ``x`` is ``[b, n, p]`` and ``y`` ``[b, n]``; problem ``b`` uses its first
-    ``n_rows[b]`` rows. Returns the chosen index and mean R2 per problem.
+    ``n_rows[b]`` rows. Returns the chosen index and mean R2 per problem. With
+    ``known``, ``[m, p]``, each problem is solved once per choice of columns, and the
+    results stand in the order problem, choice.
     """
+    choices = np.ones((1, x.shape[2]), bool) if known is None else known
     grams, corrs, spread = [], [], []
     longest = -(-max(n_rows) // k)
     xh = np.zeros((len(n_rows) * k, longest, x.shape[2]))
@@ -141,36 +152,196 @@ def search_alpha(x: np.ndarray, y: np.ndarray, n_rows: list[int], alphas: np.nda
             grams.append(xt.T @ xt / len(yt))
             corrs.append(xt.T @ yt / len(yt))
             spread.append(((y[b, start:end] - y[b, start:end].mean()) ** 2).sum())
-    scores = fold_scores(np.array(grams), np.array(corrs), xh, yh, np.array(spread), alphas)
-    return best_alpha(scores.reshape(len(n_rows), k, len(alphas)))
+    scores = fold_scores(np.array(grams), np.array(corrs), xh, yh, np.array(spread), alphas, choices)
+    by_fold = scores.reshape(len(n_rows), k, len(choices), len(alphas)).swapaxes(1, 2)
+    return best_alpha(by_fold.reshape(-1, k, len(alphas)))
 
 
 def fold_scores(
-    gram: np.ndarray, corr: np.ndarray, xh: np.ndarray, yh: np.ndarray, sst: np.ndarray, alphas: np.ndarray
+    gram: np.ndarray,
+    corr: np.ndarray,
+    xh: np.ndarray,
+    yh: np.ndarray,
+    sst: np.ndarray,
+    alphas: np.ndarray,
+    known: np.ndarray | None = None,
 ) -> np.ndarray:
     """R2 of each problem on its held-out rows, at every ``alpha``.
 
     ``xh`` and ``yh`` are those rows, centred by the training means and padded
     with zeros; ``sst`` is the sum of squares of ``y`` around its own mean. A
-    problem whose path was not solved scores NaN.
+    problem whose path was not solved scores NaN. With ``known``, ``[m, p]``, a row
+    per problem and choice of columns, in this order.
     """
+    size, held = xh.shape[2], xh.shape[1]
+    choices = np.ones((1, size), bool) if known is None else known
+    which = np.repeat(np.arange(len(corr)), len(choices))
+    masks = np.tile(choices, (len(corr), 1))
+    corr = np.where(masks, corr[which], 0.0)
+    rows_of = np.concatenate([gram, xh.transpose(0, 2, 1)], axis=2)
+    rows_of[:, range(size), range(size)] += RIDGE
     unsolved: list[int] = []
-    sse = np.repeat((yh**2).sum(axis=1)[:, None], len(alphas), axis=1)
-    for rows, high, low, w, d in lasso_segments(gram, corr, np.full(len(corr), alphas.min()), unsolved):
-        fitted = xh[rows] @ np.stack([w, d], axis=2)
-        miss, move = yh[rows] - fitted[:, :, 0], fitted[:, :, 1]
-        flat, linear, square = (miss**2).sum(axis=1), (miss * move).sum(axis=1), (move**2).sum(axis=1)
-        t = high[:, None] - alphas
-        piece = (t >= 0) & (alphas >= low[:, None])
-        value = flat[:, None] + t * (t * square[:, None] - 2 * linear[:, None])
-        sse[rows] = np.where(piece, value, sse[rows])
-    varies = sst > 0
-    score = np.where(varies[:, None], 1 - sse / np.where(varies, sst, 1.0)[:, None], 0.0)
+    sse = np.repeat((yh[which] ** 2).sum(axis=1)[:, None], len(alphas), axis=1)
+    some = max(1, WALK_NUMBERS // ((size + 32) * (size + held)))
+    # Problems of many rows have the longest paths, and those that end together stand together.
+    order = np.argsort(-np.count_nonzero(yh, axis=1)[which], kind="stable")
+    for at in range(0, len(which), some):
+        part = order[at : at + some]
+        w, miss, pieces = pivot_walk(rows_of, which[part], masks[part], corr[part], yh[which[part]], alphas.min())
+        _score_pieces(sse, part, pieces, alphas)
+        for again in part[_drifted(gram, xh, yh, which[part], masks[part], corr[part], alphas.min(), w, miss)]:
+            one, mask = which[again], masks[again]
+            failed: list[int] = []
+            masked = gram[one] * (mask[:, None] & mask)
+            sse[again] = _solved_pieces(masked[None], corr[again][None], xh[one], yh[one], alphas, failed)
+            unsolved.extend([again] * len(failed))
+    varies = sst[which] > 0
+    score = np.where(varies[:, None], 1 - sse / np.where(varies, sst[which], 1.0)[:, None], 0.0)
     score[~varies & (sse <= 0).all(axis=1)] = 1.0
     score[unsolved] = np.nan
     return score
 
 
+@np.errstate(divide="ignore", invalid="ignore", over="ignore")
+def pivot_walk(
+    rows_of: np.ndarray, which: np.ndarray, known: np.ndarray, corr: np.ndarray, start: np.ndarray, floor: float
+) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """The paths of ``lasso_segments`` by principal pivots, with the errors on held-out rows.
+
+    ``rows_of`` is ``[m, p, p + h]``: of each feature the row of the Gram matrix and the
+    values in ``h`` held-out rows. Problem ``b`` uses matrix ``which[b]`` and the features
+    ``known[b]``; ``start``, ``[b, h]``, is what the held-out rows miss without weights.
+
+    A pivot changes the matrix by an outer product. None is carried out: its vector is kept
+    in ``past``, and only the column of the feature that moves next is worked out from them.
+    ``z`` holds the weights of active features, the residual correlations of the others and
+    the held-out misses; ``t`` is their change as ``alpha`` falls by one.
+
+    Problems that have ended stay in the arrays, unread, until those after them have too. Returns weights
+    and misses at ``floor``, NaN where more pivots were needed than this is good for, and the pieces: problem, ends, and squared misses as a polynomial from ``high``.
+    """
+    n, size = corr.shape
+    alpha = np.abs(corr).max(axis=1)
+    idle = ~(alpha > floor)
+    w_end = np.where(idle[:, None], np.zeros((n, size)), np.nan)
+    miss_end = np.where(idle[:, None], start, np.nan)
+    rows = np.flatnonzero(~idle)
+    which, alpha, live = which[rows], alpha[rows], np.ones(len(rows), bool)
+    z = np.concatenate([corr[rows], start[rows]], axis=1)
+    t = np.zeros_like(z)
+    past, pivots = np.empty((len(rows), size + 32, z.shape[1])), np.empty((len(rows), size + 32))
+    # 1 and 1 where a feature is not active, 0 and minus its side where it is, 0 and 0 where it is not known.
+    out, turn = known[rows].astype(float), known[rows].astype(float)
+    late = out - TINY
+    room, spare = np.empty((2, len(rows), 2, size)), np.empty((len(rows), size))
+    here = np.arange(len(rows))
+    move = np.abs(z[:, :size]).argmax(axis=1)
+    side, enters = np.sign(z[here, move]), np.ones(len(rows), bool)
+    pieces = []
+    for taken in range(min(steps_allowed(size), 3 * size + 30)):
+        if not live.any():
+            break
+        column = rows_of[which, move]
+        if taken:
+            share = past[here, :taken, move] / pivots[:, :taken]
+            column -= (share[:, None, :] @ past[:, :taken])[:, 0]
+        # The outer products leave 2 too much on the diagonal of a feature that is active.
+        pivot = column[here, move] - np.where(enters, 0.0, 2.0)
+        column[here, move] = pivot - np.where(enters, 1.0, -1.0)
+        t[here, move] += np.where(enters, side, 0.0)
+        if taken == past.shape[1]:
+            past, pivots = (np.concatenate([v, np.empty_like(v)], axis=1) for v in (past, pivots))
+        past[:, taken], pivots[:, taken] = column, pivot
+        column *= (t[here, move] / pivot)[:, None]
+        t -= column
+        t[here, move] -= np.where(enters, 0.0, side)
+        z[here, move] = np.where(enters, 0.0, side * alpha)
+        out[here, move] = np.where(enters, 0.0, 1.0)
+        late[here, move] = out[here, move] - TINY
+        turn[here, move] = np.where(enters, -side, 1.0)
+        zs, ts, a = z[:, :size], t[:, :size], alpha[:, None]
+        # How soon a feature meets the upper bound, or a weight zero, and how soon the lower bound:
+        # speed over gap. Speeds are lower by ``TINY``, and one below nothing is never the largest.
+        gaps, speeds, other = *room[:, : len(rows)], spare[: len(rows)]
+        np.subtract(np.multiply(out, a, out=gaps[:, 0]), np.multiply(turn, zs, out=other), out=gaps[:, 0])
+        np.add(a, zs, out=gaps[:, 1])
+        np.add(late, np.multiply(turn, ts, out=other), out=speeds[:, 0])
+        np.subtract(late, np.multiply(out, ts, out=other), out=speeds[:, 1])
+        # A feature that has just joined has no weight yet; one that has just left moves away
+        # from the bound it was on, but may reach the other one.
+        speeds[here, np.where(enters | (side > 0), 0, 1), move] = -1.0
+        soon = np.divide(speeds, np.maximum(gaps, NEAR, out=gaps), out=speeds).reshape(len(rows), 2 * size)
+        first = soon.argmax(axis=1)
+        bound, reaches = np.divmod(first, size)
+        up = bound == 0
+        enters = out[here, reaches] == 1
+        side = np.where(enters, np.where(up, 1.0, -1.0), -turn[here, reaches])
+        speed = np.where(up, late[here, reaches] + turn[here, reaches] * t[here, reaches], 1 - t[here, reaches])
+        reach = gaps[here, bound, reaches] / np.where(up, speed + TINY, speed)
+        reach = np.where(soon[here, first] > 0, reach, np.inf)
+        move = reaches
+        left = alpha - floor
+        going = live & (reach < left)
+        step = np.where(going, reach, left)
+        miss, shift = z[:, size:], t[:, size:]
+        low = np.where(going, alpha - step, floor)
+        squares = [np.einsum("bh,bh->b", p, q) for p, q in ((miss, miss), (miss, shift), (shift, shift))]
+        pieces.append((rows, live, alpha, low, *squares))
+        z += np.multiply(step[:, None], t, out=column)
+        alpha = low
+        ended = live & ~going
+        if ended.any():
+            w_end[rows[ended]] = np.where((out[ended] == 0) & (turn[ended] != 0), z[ended, :size], 0.0)
+            miss_end[rows[ended]] = z[ended, size:]
+            live = going
+        if not live[-1]:
+            last = len(live) - live[::-1].argmax()
+            rows, which, alpha, z, t, past, pivots, out, turn, late, here, move, side, enters, live = (
+                v[:last] for v in (rows, which, alpha, z, t, past, pivots, out, turn, late, here, move, side, enters, live)
+            )
+    if not pieces:
+        return w_end, miss_end, ()
+    problem, counts, *parts = map(np.concatenate, zip(*pieces))
+    return w_end, miss_end, (problem[counts], *(v[counts] for v in parts))
+
+
+def _score_pieces(sse: np.ndarray, part: np.ndarray, pieces: tuple, alphas: np.ndarray) -> None:
+    """Write the squared misses of ``part`` at every ``alpha`` that lies on a piece; on a border the later one counts."""
+    if not pieces:
+        return
+    order = np.argsort(alphas, kind="stable")
+    problem, high, low, flat, linear, square = pieces
+    first = np.searchsorted(alphas[order], low)
+    n = np.maximum(np.searchsorted(alphas[order], high, side="right") - first, 0)
+    piece = np.repeat(np.arange(len(n)), n)
+    place = order[np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + first[piece]]
+    t = high[piece] - alphas[place]
+    sse[part[problem[piece]], place] = flat[piece] + t * (t * square[piece] + 2 * linear[piece])
+
+
+def _drifted(gram, xh, yh, which, known, corr, floor: float, w, miss) -> np.ndarray:
+    """Problems whose walk has not ended at a solution, or whose misses are not those of its weights."""
+    lost = ~np.isfinite(w).all(axis=1) | ~np.isfinite(miss).all(axis=1)
+    w = np.where(lost[:, None], 0.0, w)
+    with_w = (w[:, None, :] @ gram[which])[:, 0]
+    rest = np.where(known, corr - with_w, 0.0)
+    gap = np.where(w != 0, np.abs(rest - floor * np.sign(w)), np.abs(rest) - floor).max(axis=1)
+    off = np.abs(yh[which] - (xh[which] @ w[:, :, None])[:, :, 0] - miss)
+    return lost | (gap > DRIFT) | (off > DRIFT * (1 + np.abs(yh[which]))).any(axis=1)
+
+
+def _solved_pieces(gram: np.ndarray, corr: np.ndarray, xh: np.ndarray, yh: np.ndarray, alphas: np.ndarray, unsolved: list):
+    """Squared misses of one problem at every ``alpha``, each piece from a system of its own."""
+    sse = np.repeat((yh**2).sum(), len(alphas))
+    for _, high, low, w, d in lasso_segments(gram, corr, np.full(1, alphas.min()), unsolved):
+        miss, move = yh - xh @ w[0], xh @ d[0]
+        t = high[0] - alphas
+        piece = (t >= 0) & (alphas >= low[0])
+        value = miss @ miss + t * (t * (move @ move) - 2 * (miss @ move))
+        sse = np.where(piece, value, sse)
+    return sse
+
+
 def best_alpha(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best mean score per problem, and that score; ``[b, folds, alphas]``.
 

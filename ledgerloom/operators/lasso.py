@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.config import ForecastWindow, LagWindow
 from ledgerloom.functions.lasso_path import lasso_weights, optimality_gap, search_alpha
@@ -46,6 +46,10 @@ MODEL_FIELDS = {
     "coefs": "array<struct<feature: string, coef: double, mean: double, scale: double>>",
 }
 
+# What a task gives back: the three arrays become ``coefs`` outside of Python.
+ARRAYS = ("coef", "mean", "scale")
+RETURNED = {k: v for k, v in MODEL_FIELDS.items() if k != "coefs"} | dict.fromkeys(ARRAYS, "array<double>")
+
 
 @dataclass(frozen=True)
 class FeaturePlan:
@@ -68,14 +72,13 @@ def _scaled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.where(flat, 1.0, np.sqrt(var))
 
 
-def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train: int) -> Iterator[dict]:
+def _fit_cells(ts: np.ndarray, x: np.ndarray, y: np.ndarray, plan: FeaturePlan, windows, alphas, min_train: int) -> Iterator[dict]:
     """One model per horizon and test window for one code and one feature set.
 
     All of them are solved together: a column a horizon rules out is zero in
     that model and can never be picked.
     """
-    ts = rows["ts"].to_numpy().astype("datetime64[us]")
-    x, y = rows[plan.columns].to_numpy(float), rows["average_price"].to_numpy(float)
+    known = np.array(list(plan.known.values()))
     jobs, xs, ys = [], [], []
     for number, (start, end) in enumerate(windows, start=1):
         n = int((ts < start).sum())
@@ -89,29 +92,31 @@ def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train
             x_mean, x_scale = _scaled(x[:n])
             y_mean, y_scale = _scaled(y[:n])
             zx, zy = (x - x_mean) / x_scale, (y - y_mean) / y_scale
-        for horizon, known in plan.known.items():
+        for horizon in plan.known:
             cell = {"horizon": horizon, "test": number, "n_train": n, "n_test": int(test.sum())}
             if status:
-                yield cell | {"status": status, "coefs": None}
+                yield cell | {"status": status} | dict.fromkeys(ARRAYS)
                 continue
-            jobs.append((cell, test, known, x_mean, x_scale, y_mean, y_scale))
-            xs.append(zx * known)
+            jobs.append((cell, test, len(xs), plan.known[horizon], x_mean, x_scale, y_mean, y_scale))
+        if not status:
+            xs.append(zx)
             ys.append(zy)
     if not jobs:
         return
     zx, zy = np.array(xs), np.array(ys)
-    sizes = [cell["n_train"] for cell, *_ in jobs]
-    best, r2 = search_alpha(zx, zy, sizes, alphas, FOLDS)
-    gram = np.array([zx[b, :n].T @ zx[b, :n] / n for b, n in enumerate(sizes)])
-    corr = np.array([zx[b, :n].T @ zy[b, :n] / n for b, n in enumerate(sizes)])
+    sizes = [cell["n_train"] for cell, *_ in jobs[:: len(known)]]
+    best, r2 = search_alpha(zx, zy, sizes, alphas, FOLDS, known)
+    both = known[:, :, None] & known[:, None, :]
+    gram = np.concatenate([np.where(both, zx[b, :n].T @ zx[b, :n] / n, 0.0) for b, n in enumerate(sizes)])
+    corr = np.concatenate([np.where(known, zx[b, :n].T @ zy[b, :n] / n, 0.0) for b, n in enumerate(sizes)])
     weights = lasso_weights(gram, corr, alphas[best])
     gaps = optimality_gap(gram, corr, alphas[best], weights)
     solved = np.isfinite(r2) & np.isfinite(weights).all(axis=1)
-    for b, (cell, test, known, x_mean, x_scale, y_mean, y_scale) in enumerate(jobs):
+    for b, (cell, test, own, known, x_mean, x_scale, y_mean, y_scale) in enumerate(jobs):
         if not solved[b]:
-            yield cell | {"status": "path not solved", "coefs": None}
+            yield cell | {"status": "path not solved"} | dict.fromkeys(ARRAYS)
             continue
-        predicted = zx[b][test] @ weights[b] * y_scale + y_mean
+        predicted = zx[own][test] @ weights[b] * y_scale + y_mean
         miss = np.abs(y[test] - predicted) / np.maximum(np.abs(y[test]), EPSILON)
         yield cell | {
             "status": "ok",
@@ -121,28 +126,44 @@ def _fit_cells(rows: pd.DataFrame, plan: FeaturePlan, windows, alphas, min_train
             "optimality_gap": float(gaps[b]),
             "y_mean": float(y_mean),
             "y_scale": float(y_scale),
-            "coefs": [
-                dict(zip(("feature", "coef", "mean", "scale"), (plan.columns[j], *map(float, values)), strict=True))
-                for j, values in zip(np.flatnonzero(known), np.stack([weights[b], x_mean, x_scale], 1)[known], strict=True)
-            ],
+            "coef": weights[b][known],
+            "mean": x_mean[known],
+            "scale": x_scale[known],
         }
 
 
-def _fit_code(plans: list[FeaturePlan], windows, alphas, min_train: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _fit_code(
+    plans: list[FeaturePlan], columns: list[str], windows, alphas, min_train: int
+) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    places = [[columns.index(c) for c in plan.columns] for plan in plans]
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
+        ts, y = rows["ts"].to_numpy().astype("datetime64[us]"), rows["average_price"].to_numpy(float)
+        x = np.array(rows["x"].tolist(), float)
         out = [
             {"feature_set": plan.name} | cell
-            for plan in plans
-            for cell in _fit_cells(rows, plan, windows, alphas, min_train)
+            for plan, at in zip(plans, places, strict=True)
+            for cell in _fit_cells(ts, x[:, at], y, plan, windows, alphas, min_train)
         ]
-        models = pd.DataFrame(out).reindex(columns=list(MODEL_FIELDS))
+        models = pd.DataFrame(out, columns=[*RETURNED])
         models.insert(0, "rm_code", rows["rm_code"].iloc[0])
         return models
 
     return fit
 
 
+def _coefs(plans: list[FeaturePlan]) -> Column:
+    """Scales and weights of a model under the names of the columns that its horizon knows."""
+    names = F.lit(None).cast("array<string>")
+    for plan in plans:
+        for horizon, known in plan.known.items():
+            own = (F.col("feature_set") == plan.name) & (F.col("horizon") == horizon)
+            listed = F.array(*[F.lit(plan.columns[j]) for j in np.flatnonzero(known)])
+            names = F.when(own, listed).otherwise(names)
+    return F.arrays_zip(names.alias("feature"), *ARRAYS).cast(MODEL_FIELDS["coefs"])
+
+
 def backtest(
     features: DataFrame,
     drivers: Iterable[str],
@@ -191,15 +212,18 @@ def backtest(
         4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
     code_type = features.schema["rm_code"].dataType.simpleString()
-    rows = features.select("rm_code", "ts", "average_price", *columns)
-    return (
+    # One array of numbers reaches Python much faster than as many columns, on the way back too.
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    rows = features.select("rm_code", "ts", "average_price", x)
+    fitted = (
         (rows if by_code else rows.repartition(partitions, "rm_code"))
         .groupBy("rm_code")
         .applyInPandas(
-            _fit_code(plans, bounds, alpha_grid(alpha_bottom), min_train),
-            ", ".join([f"rm_code {code_type}", *(f"{k} {v}" for k, v in MODEL_FIELDS.items())]),
+            _fit_code(plans, columns, bounds, alpha_grid(alpha_bottom), min_train),
+            ", ".join([f"rm_code {code_type}", *(f"{k} {v}" for k, v in RETURNED.items())]),
         )
     )
+    return fitted.select("rm_code", *[c for c in MODEL_FIELDS if c != "coefs"], _coefs(plans).alias("coefs"))
 
 
 def train_ar(features: DataFrame, lags: LagWindow, horizons, windows, **options) -> DataFrame:

@@ -211,3 +211,68 @@ def test_an_unsolved_path_is_reported_and_holds_nothing_up(monkeypatch):
     assert np.isnan(w[0]).all() and np.isfinite(w[1]).all()
     best, r2 = L.search_alpha(x, y, [40, 40], np.linspace(0.01, 1, 30), 5)
     assert np.isnan(r2[0]) and np.isfinite(r2[1])
+
+
+def folds_of(seed, n, p, duplicate):
+    x, y = standardised(seed, n + n // 4, p, duplicate)
+    gram, corr = x[:n].T @ x[:n] / n, x[:n].T @ y[:n] / n
+    return gram, corr, x[n:], y[n:]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(6, 40), st.integers(1, 40), st.booleans())
+def test_walks_by_pivots_equal_a_system_per_piece(seed, n, p, duplicate):
+    """More features than rows, copies of a feature and constant ones among them; two choices of columns."""
+    parts = [folds_of(seed + k, n, p, duplicate) for k in range(3)]
+    gram, corr, xh, yh = (np.array(v) for v in zip(*parts, strict=True))
+    alphas, known = np.linspace(0.01, 1, 50), np.array([np.ones(p, bool), np.arange(p) >= p // 2])
+    got = L.fold_scores(gram, corr, xh, yh, (yh**2).sum(axis=1), alphas, known)
+    for b in range(6):
+        one, mask = b // 2, known[b % 2]
+        w = [
+            L.lasso_weights((gram[one] * np.outer(mask, mask))[None], (corr[one] * mask)[None], np.array([a]))[0] for a in alphas
+        ]
+        miss = ((yh[one][:, None] - xh[one] @ np.array(w).T) ** 2).sum(axis=0)
+        assert np.allclose(got[b], 1 - miss / (yh[one] ** 2).sum(), atol=1e-7, rtol=1e-7)
+
+
+def test_search_solves_no_system_per_step(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(3, 60, 30)), rng.normal(size=(3, 60))
+    expected = L.search_alpha(x, y, [20, 40, 60], np.linspace(0.01, 1, 30), 5)
+    monkeypatch.setattr(np.linalg, "solve", None)
+    best, r2 = L.search_alpha(x, y, [20, 40, 60], np.linspace(0.01, 1, 30), 5)
+    assert best.tolist() == expected[0].tolist() and np.isfinite(r2).all()
+
+
+def test_a_walk_that_drifted_is_solved_anew(monkeypatch):
+    gram, corr, xh, yh = (v[None] for v in folds_of(9, 30, 20, False))
+    alphas, sst = np.linspace(0.01, 1, 40), (yh**2).sum(axis=1)
+    expected = L.fold_scores(gram, corr, xh, yh, sst, alphas)
+    walk = L.pivot_walk
+
+    def off(*problems):
+        w, miss, pieces = walk(*problems)
+        return w + 1e-6, miss, (*pieces[:3], pieces[3] + 1, *pieces[4:])
+
+    monkeypatch.setattr(L, "pivot_walk", off)
+    assert np.allclose(L.fold_scores(gram, corr, xh, yh, sst, alphas), expected, atol=1e-9)
+
+
+def test_small_batches_of_walks_give_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(4, 50, 12)), rng.normal(size=(4, 50))
+    known = np.array([np.ones(12, bool), np.arange(12) > 3])
+    at_once = L.search_alpha(x, y, [15, 30, 42, 50], np.linspace(0.01, 1, 30), 5, known)
+    monkeypatch.setattr(L, "WALK_NUMBERS", 1)
+    one_by_one = L.search_alpha(x, y, [15, 30, 42, 50], np.linspace(0.01, 1, 30), 5, known)
+    assert at_once[0].tolist() == one_by_one[0].tolist() and np.allclose(at_once[1], one_by_one[1], atol=1e-12)
+
+
+def test_features_reach_python_as_one_array(book):
+    features = ar_matrix(monthly_panel(book), LAGS)
+    models = lasso.train_ar(features, LAGS, [1, 3], half_years(date(2018, 1, 1), 4))
+    text = models._jdf.queryExecution().executedPlan().toString()
+    given_to_python = next(line for line in text.splitlines() if "FlatMapGroupsInPandas" in line)
+    assert "AR_2" not in given_to_python
+    assert models.schema["coefs"].dataType.simpleString() == lasso.MODEL_FIELDS["coefs"].replace(": ", ":").replace(", ", ",")
