@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.config import ForecastWindow
@@ -119,33 +121,72 @@ def optimality(
     A LASSO solution leaves every used column with the residual correlation
     ``alpha * sign(weight)`` and every unused one with less than ``alpha``. ``violation``
     is the largest departure, ``scale_error`` that of the stored means and scales from
-    those of the training rows, relative to the scale. Both come from one aggregation per
-    model over its training rows; a model's rows are bounded by the calendar.
+    those of the training rows, relative to the scale. The rows and the models of a code
+    meet in one task; both are bounded, by the calendar and by horizons and windows.
     """
     names = list(columns)
     at = F.col("ts")
     known = F.filter(window_array(windows), lambda w: at < w["start"])
-    rows = features.select("rm_code", "average_price", *names, F.explode(F.transform(known, lambda w: w["test"])).alias("test"))
-    held = models.select(*MODEL_KEYS, "alpha", "y_mean", "y_scale", "active", "weights", "means", "scales")
-    met = rows.join(held, ["rm_code", "test"])
-    met = met.withColumn("_rest", (F.col("average_price") - scored(names)) / F.col("y_scale"))
-
-    def z(j: int) -> Column:
-        return (F.col(f"`{names[j]}`") - F.col("means")[j]) / F.col("scales")[j]
-
-    sums = met.groupBy(*MODEL_KEYS).agg(
-        F.count(F.lit(1)).alias("n_train"),
-        *[F.first(c).alias(c) for c in ("alpha", "y_scale", "active", "weights", "scales")],
-        F.array(*[F.avg(z(j) * F.col("_rest")) for j in range(len(names))]).alias("_left"),
-        F.array(*[F.abs(F.avg(z(j))) for j in range(len(names))]).alias("_off"),
+    code_type = features.schema["rm_code"].dataType.simpleString()
+    rows = features.where("rm_code IS NOT NULL").select(
+        "rm_code", F.col("average_price").cast("double").alias("y"),
+        F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x"),
+        F.transform(known, lambda w: w["test"]).alias("tests"),
+    )
+    held = models.where("rm_code IS NOT NULL").select(
+        F.col("rm_code").cast(code_type), *MODEL_KEYS[1:], "alpha", "y_mean", "y_scale", "weights", "means", "scales",
+        F.size("active").alias("n_columns"),
+    )
+    # By count, as in the back-test: few bytes, much work.
+    spark = features.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by_code = [side.repartition(parts, "rm_code").groupBy("rm_code") for side in (rows, held)]
+    return by_code[0].cogroup(by_code[1]).applyInArrow(
+        _departures,
+        f"rm_code {code_type}, feature_set string, horizon int, test int, n_train long, alpha double, n_columns int, "
+        "violation double, scale_error double",
     )
 
-    def departure(left: Column, weight: Column) -> Column:
-        used = F.abs(left - F.col("alpha") * F.signum(weight))
-        return F.when(weight != 0, used).otherwise(F.greatest(F.abs(left) - F.col("alpha"), F.lit(0.0)))
 
-    return sums.select(
-        *MODEL_KEYS, "n_train", "alpha", F.size("active").alias("n_columns"),
-        F.array_max(F.zip_with("_left", "weights", departure)).alias("violation"),
-        F.array_max("_off").alias("scale_error"),
-    )
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of numbers or of equally long lists, and where they are not null."""
+    flat = pa.concat_arrays([c.flatten() if pa.types.is_list(c.type) else c for c in column.chunks])
+    shape = (len(column), -1) if pa.types.is_list(column.type) else (len(column),)
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    return flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(shape), there.reshape(shape)
+
+
+def _departures(rows: pa.Table, models: pa.Table) -> pa.Table:
+    """Of one code: a row per model that has training rows. A mean leaves nulls out."""
+    kept: dict[tuple, list] = {}
+    if rows.num_rows and models.num_rows:
+        (y, y_there), (x, x_there) = map(_numbers, (rows["y"], rows["x"]))
+        (weights, _), (means, m_there), (scales, s_there) = (_numbers(models[c]) for c in ("weights", "means", "scales"))
+        tests = rows["tests"].to_pylist()
+        facts = models.drop_columns(["rm_code", "weights", "means", "scales"]).to_pylist()
+        seen = {t: np.array([t in r for r in tests]) for t in {f["test"] for f in facts}}
+        for f, w, mean, scale, given in zip(facts, weights, means, scales, m_there & s_there, strict=True):
+            of = seen[f["test"]]
+            if not of.any():
+                continue
+            there = x_there[of] & given
+            z = np.where(there, (x[of] - mean) / scale, 0.0)
+            fitted = f["y_mean"] + f["y_scale"] * np.where(w != 0, w * z, 0.0).sum(axis=1)
+            rest = np.where(y_there[of], (y[of] - fitted) / f["y_scale"], 0.0)
+            sums = np.array([rest @ z, (there & y_there[of][:, None]).sum(axis=0), z.sum(axis=0), there.sum(axis=0)])
+            # A model that is stored twice is one, over its rows twice.
+            one = kept.setdefault((f["feature_set"], f["horizon"], f["test"]), [0, 0.0, f, w])
+            one[0], one[1] = one[0] + int(of.sum()), one[1] + sums
+    out = []
+    for (feature_set, horizon, test), (n, (left, n_left, off, n_off), f, w) in kept.items():
+        left, off = left / np.maximum(n_left, 1), np.abs(off[n_off > 0] / n_off[n_off > 0])
+        used = np.abs(left - f["alpha"] * np.sign(w))
+        departure = np.where(w != 0, used, np.maximum(np.abs(left) - f["alpha"], 0.0))[(w == 0) | (n_left > 0)]
+        out.append(
+            (feature_set, horizon, test, n, f["alpha"], f["n_columns"], *(float(v.max()) if v.size else None for v in (departure, off)))
+        )
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()]
+    columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+    code = (rows if rows.num_rows else models)["rm_code"]
+    listed = pa.array([code[0].as_py()] * len(out), code.type)
+    return pa.table([listed, *columns], names=[*MODEL_KEYS, "n_train", "alpha", "n_columns", "violation", "scale_error"])

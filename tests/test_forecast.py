@@ -133,3 +133,26 @@ def test_a_feature_that_left_may_come_back_on_the_other_side():
         x, y = ((a - a.mean(1, keepdims=True)) / a.std(1, keepdims=True) for a in (x, y))
         gram, corr, alpha = np.einsum("bni,bnj->bij", x, x) / n, np.einsum("bni,bn->bi", x, y) / n, np.full(b, 0.01)
         assert L.optimality_gap(gram, corr, alpha, L.lasso_weights(gram, corr, alpha)).max() < 1e-9
+
+
+def test_optimality_without_a_wide_aggregate(spark, stored, matrix):
+    """Rows and models meet once per code; no sum per column and model stands in the plan."""
+    models = forecast.read_models(spark, stored, NAMES, "long")
+    text = forecast.optimality(models, matrix, WINDOWS, NAMES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text.split("FlatMapCoGroups")[0] and "FlatMapCoGroups" in text
+
+
+def test_optimality_of_odd_tables(spark, stored, matrix):
+    """Models stored twice, models of other codes, rows with nulls and codes without models or a name."""
+    models = forecast.read_models(spark, stored, NAMES, "long")
+    once = forecast.optimality(models, matrix, WINDOWS, NAMES).toPandas().sort_values(forecast.MODEL_KEYS)
+    strange = models.limit(1).withColumn("rm_code", F.lit(-1).cast("long")).unionByName(models.limit(1).withColumn("rm_code", F.lit(None).cast("long")))
+    nameless = matrix.limit(3).withColumn("rm_code", F.lit(None).cast("long"))
+    doubled = forecast.optimality(models.unionByName(models).unionByName(strange), matrix.unionByName(nameless), WINDOWS, NAMES)
+    twice = doubled.toPandas().sort_values(forecast.MODEL_KEYS)
+    assert (twice.n_train.to_numpy() == 2 * once.n_train.to_numpy()).all()
+    assert np.allclose(twice.violation, once.violation, atol=1e-12) and np.allclose(twice.scale_error, once.scale_error, atol=1e-12)
+    holes = matrix.withColumn("average_price", F.when(F.col("month_idx") % 5 != 0, F.col("average_price")))
+    found = forecast.optimality(models, holes, WINDOWS, NAMES).toPandas().sort_values(forecast.MODEL_KEYS)
+    assert found.n_train.tolist() == once.n_train.tolist() and np.allclose(found.scale_error, once.scale_error)
+    assert np.isfinite(found.violation).all() and found.violation.max() > once.violation.max()
